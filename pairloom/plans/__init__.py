@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from pairloom.plans import (  # noqa: F401
-        benchmarks, ensembles, labels, metrics, models, quality, sources, splits, statistics, universes, vectors,
+        labels, quality, splits, universes,
     )

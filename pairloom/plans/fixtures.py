@@ -238,21 +238,37 @@ def cells(df: DataFrame, *keys: str, col: str = "vec", digits: int = 6) -> DataF
 
 def universe_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Long universe: target = supplier, candidates = its parts in key order, organism = nation."""
-    from pairloom.functions.ranks import dist_rank
-
     pairs = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    ranked = dist_rank(pairs, [F.col("l_partkey")], by=["l_suppkey"], rank_col="pos")
     nations = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey").join(
         table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey"
     ).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("organism"))
-    return ranked.join(nations, "l_suppkey").select(
+    return pairs.join(nations, "l_suppkey").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("target_id"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("candidate_id"),
-        F.col("l_suppkey").alias("source_row_id"), "organism", (F.col("pos") - 1).cast("int").alias("pos"),
+        F.col("l_suppkey").alias("source_row_id"), "organism", F.col("l_partkey").alias("pos"),
     )
 
 
 UNIVERSE = """universe AS (SELECT 'S' || l_suppkey AS target_id, 'P' || l_partkey AS candidate_id, l_suppkey AS source_row_id,
-    n_name AS organism, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) - 1 AS pos
+    n_name AS organism, l_partkey AS pos
   FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey
     JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+# -- text universe: documents, their words standing for candidates ---------------------------------
+
+def text_universe(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw text rows with a blank target for some documents."""
+    doc = F.col("doc_id").cast("string")
+    return table(spark, sf, "documents").select(
+        F.when(F.col("doc_id") % 50 == 7, " ").otherwise(doc).alias("target_id"),
+        F.regexp_replace("text", r"[\s;]+", ";").alias("candidate_ids"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("lang")).alias("target_label"),
+        F.col("lang").alias("organism"), F.concat(F.col("source"), F.lit(" ")).alias("batch"),
+    )
+
+
+TEXT_UNIVERSE = r"""text_universe AS (
+  SELECT doc_id::VARCHAR AS target_id, CASE WHEN doc_id % 3 = 0 THEN 'positive' ELSE lang END AS target_label, lang AS organism,
+    list_filter(string_split(regexp_replace("text", '[\s;]+', ';', 'g'), ';'), x -> x <> '') AS candidate_ids, source AS batch
+  FROM documents WHERE doc_id % 50 <> 7)"""

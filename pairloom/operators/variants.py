@@ -63,10 +63,12 @@ def _variant_rows(specs: Sequence[tuple[str, Column, int]]) -> Column:
     ])).alias("_v")
 
 
-def _answer(pairs: DataFrame, holders: DataFrame, policy: VariantPolicy) -> DataFrame:
+def _answer(pairs: DataFrame, holders: DataFrame | None, policy: VariantPolicy) -> DataFrame:
     """Picks (variant_id, target_id, candidate_id, draw, _ord) of each target, given the holders."""
-    held = pairs.join(holders, ["variant_id", "candidate_id"], "left")
-    free = held.where(F.col("_holder").isNull() | (F.col("_holder") >= F.col("_ord")))
+    free = pairs
+    if holders is not None:
+        held = pairs.join(holders, ["variant_id", "candidate_id"], "left")
+        free = held.where(F.col("_holder").isNull() | (F.col("_holder") >= F.col("_ord")))
     key = ["variant_id", "target_id"]
     if policy.selection == "sample_with_replacement":
         best = free.groupBy(*key, "_ord", "neg").agg(
@@ -98,34 +100,40 @@ def _holders(picks: DataFrame) -> DataFrame:
     return picks.groupBy("variant_id", "candidate_id").agg(F.min("_ord").alias("_holder"))
 
 
-def _fixpoint(pairs: DataFrame, policy: VariantPolicy, max_rounds: int) -> DataFrame:
-    nobody = pairs.sparkSession.createDataFrame([], "variant_id string, candidate_id string, _holder struct<o:string,t:string>")
-    picks = cut_lineage(_answer(pairs, nobody, policy))
-    holders = cut_lineage(_holders(picks))
-    previous = nobody
+def _pairs(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFrame:
+    """The pools of the given (variant, target) rows with each candidate's preference key."""
+    first = (
+        F.lpad(F.col("pos").cast("string"), 20, "0") if policy.selection == "use_all"
+        else pri(F.col("seed"), F.col("target_id"), F.col("candidate_id"))
+    )
+    return pool.join(targets, "target_id").withColumn("_pref", F.struct(first.alias("p"), "candidate_id"))
+
+
+def _fixpoint(pool: DataFrame, targets: DataFrame, policy: VariantPolicy, max_rounds: int) -> DataFrame:
+    picks = cut_lineage(_answer(_pairs(pool, targets, policy), None, policy), "picks")
+    key, own = ["variant_id", "candidate_id"], ["variant_id", "target_id"]
+    before = None
     for _ in range(max_rounds):
-        moved = (
-            holders.join(previous.withColumnRenamed("_holder", "_was"), ["variant_id", "candidate_id"], "full_outer")
-            .where(~F.col("_holder").eqNullSafe(F.col("_was")))
-            # open to targets at or before its holder: the targets whose view changed lie after the earlier of the two
-            .select("variant_id", "candidate_id", F.least("_holder", "_was").alias("_from"),
-                    F.when(F.col("_holder").isNotNull() & F.col("_was").isNotNull(),
-                           F.greatest("_holder", "_was")).alias("_to"))
+        holders = _holders(picks)
+        if before is None:
+            moved = holders.select(*key, F.col("_holder").alias("_from"), F.lit(None).cast(holders.schema["_holder"].dataType).alias("_to"))
+        else:
+            # a candidate is open to targets at or before its holder, so between the old and the new one the view changed
+            was = _holders(before).withColumnRenamed("_holder", "_was")
+            both = F.col("_holder").isNotNull() & F.col("_was").isNotNull()
+            moved = holders.join(was, key, "full_outer").where(~F.col("_holder").eqNullSafe(F.col("_was"))).select(
+                *key, F.least("_holder", "_was").alias("_from"), F.when(both, F.greatest("_holder", "_was")).alias("_to")
+            )
+        seen = pool.select("target_id", "candidate_id").join(moved, "candidate_id").join(targets, own)
+        touched = cut_lineage(
+            seen.where((F.col("_ord") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_ord") <= F.col("_to"))))
+            .select(*own).distinct(), "touched",
         )
-        touched = (
-            pairs.select("variant_id", "target_id", "candidate_id", "_ord")
-            .join(moved, ["variant_id", "candidate_id"])
-            .where((F.col("_ord") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_ord") <= F.col("_to"))))
-            .select("variant_id", "target_id").distinct()
-        )
-        touched = cut_lineage(touched)
         if touched.isEmpty():
             return picks
-        again = _answer(pairs.join(touched, ["variant_id", "target_id"], "left_semi"), holders, policy)
-        picks = cut_lineage(
-            picks.join(touched, ["variant_id", "target_id"], "left_anti").select(*again.columns).unionByName(again)
-        )
-        previous, holders = holders, cut_lineage(_holders(picks))
+        again = _answer(_pairs(pool, targets.join(touched, own, "left_semi"), policy), holders, policy)
+        kept = picks.join(touched, own, "left_anti").select(*again.columns)
+        before, picks = picks, cut_lineage(kept.unionByName(again), "picks")
     raise RuntimeError(f"variant assignment did not settle in {max_rounds} rounds; raise max_rounds")
 
 
@@ -138,19 +146,15 @@ def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[
         F.lpad(F.col("source_row_id").cast("string"), 20, "0") if policy.order == "source"
         else pri(F.col("seed"), F.col("target_id"))
     )
-    targets = targets.withColumn("_ord", F.struct(rank.alias("o"), F.col("target_id").alias("t")))
-    preference = (
-        F.lpad(F.min("pos").cast("string"), 20, "0") if policy.selection == "use_all" else F.lit("")
+    targets = cut_lineage(targets.select(
+        "variant_id", "target_id", "seed", "neg", F.struct(rank.alias("o"), F.col("target_id").alias("t")).alias("_ord")
+    ), "targets")
+    # The pool is written once, whatever the number of variants; sampling is on distinct candidates.
+    pool = cut_lineage(
+        as_pairs(universe).groupBy("target_id", "candidate_id").agg(F.min("pos").alias("pos")), "pool"
     )
-    pool = as_pairs(universe).groupBy("target_id", "candidate_id").agg(preference.alias("_pos"))
-    pairs = pool.join(targets.select("target_id", "variant_id", "seed", "neg", "_ord"), "target_id")
-    if policy.selection == "use_all":
-        pairs = pairs.withColumn("_pref", F.struct("_pos", "candidate_id"))
-    else:
-        pairs = pairs.withColumn("_pref", F.struct(pri(F.col("seed"), F.col("target_id"), F.col("candidate_id")), F.col("candidate_id")))
-    pairs = cut_lineage(pairs.drop("_pos"))
-
-    picks = _fixpoint(pairs, widest, max_rounds)
+
+    picks = _fixpoint(pool, targets, widest, max_rounds)
     negatives = picks.select(
         "variant_id", "target_id", F.col("candidate_id").alias("protein_id"), F.lit("negative").alias("role"), "draw"
     )

@@ -207,7 +207,7 @@ def layers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LAYERS = """layers AS (SELECT m AS model, vec_id::VARCHAR AS accession, i AS layer_index,
-    list_transform(embedding[16 * i + 1 : 16 * i + 16], x -> x::DOUBLE) AS vec
+    embedding[16 * i + 1 : 16 * i + 16]::DOUBLE[] AS vec
   FROM embeddings, (VALUES ('M0', 0), ('M0', 1), ('M0', 2), ('M0', 3), ('M1', 0)) l(m, i)),
 layer_cells AS (SELECT model, accession, layer_index, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM layers)"""
 
@@ -224,7 +224,7 @@ def features(spark: SparkSession, sf: str, view: str = "V") -> DataFrame:
 
 FEATURES = """features AS (SELECT vec_id::VARCHAR AS accession, (label % 2)::INTEGER AS label,
     CASE WHEN substr(md5('split:' || vec_id), 1, 1) < 'a' THEN 'train' WHEN substr(md5('split:' || vec_id), 1, 1) < 'd' THEN 'val' ELSE 'test' END AS split,
-    list_transform(embedding, x -> x::DOUBLE) AS vec FROM embeddings)"""
+    embedding::DOUBLE[] AS vec FROM embeddings)"""
 
 
 def cells(df: DataFrame, *keys: str, col: str = "vec", digits: int = 6) -> DataFrame:
@@ -270,5 +270,5 @@ def text_universe(spark: SparkSession, sf: str) -> DataFrame:
 
 TEXT_UNIVERSE = r"""text_universe AS (
   SELECT doc_id::VARCHAR AS target_id, CASE WHEN doc_id % 3 = 0 THEN 'positive' ELSE lang END AS target_label, lang AS organism,
-    list_filter(string_split(regexp_replace("text", '[\s;]+', ';', 'g'), ';'), x -> x <> '') AS candidate_ids, source AS batch
+    [x FOR x IN string_split(regexp_replace("text", '[\s;]+', ';', 'g'), ';') IF x <> ''] AS candidate_ids, source AS batch
   FROM documents WHERE doc_id % 50 <> 7)"""

@@ -25,7 +25,7 @@ def greedy_sql(neg: int, seed: int = 42, prefer: str | None = None, order: str |
     UNION ALL
     SELECT i, CASE WHEN len(free) >= {neg} THEN list_concat(used, free[1:{neg}]) ELSE used END, target_id, organism,
       CASE WHEN len(free) >= {neg} THEN free[1:{neg}] ELSE []::VARCHAR[] END
-    FROM (SELECT o.i, s.used, o.target_id, o.organism, list_filter(o.pool, c -> NOT list_contains(s.used, c)) AS free
+    FROM (SELECT o.i, s.used, o.target_id, o.organism, [c FOR c IN o.pool IF NOT list_contains(s.used, c)] AS free
       FROM steps s JOIN ordered o ON o.i = s.i + 1)),
   assignments AS (SELECT target_id, organism, target_id AS protein_id, 'positive' AS role FROM steps WHERE len(picks) > 0
     UNION ALL SELECT target_id, organism, unnest(picks), 'negative' FROM steps WHERE len(picks) > 0)"""

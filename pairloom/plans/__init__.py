@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from pairloom.plans import (  # noqa: F401
-        ensembles, labels, metrics, quality, splits, universes, vectors,
+        benchmarks, ensembles, labels, metrics, quality, splits, statistics, universes, vectors,
     )

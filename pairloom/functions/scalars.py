@@ -15,8 +15,21 @@ TRUE_TOKENS = ("true", "t", "yes", "y")
 FALSE_TOKENS = ("false", "f", "no", "n")
 
 
+# The characters a text strip removes.
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip(column: Column) -> Column:
-    return F.regexp_replace(column, r"^\s+|\s+$", "")
+    return F.btrim(column, F.lit(WHITESPACE))
+
+
+def spread(value: Column, like: Column) -> Column:
+    """A per-row value repeated to the length of an array.
+
+    A lambda would compute an outer expression once per element; as an array operand it is computed
+    once per row.
+    """
+    return F.array_repeat(value, F.size(like))
 
 
 def nan_to_null(column: Column) -> Column:
@@ -103,9 +116,9 @@ def norm2(vec: Column) -> Column:
 
 def l2_unit(vec: Column) -> Column:
     """Row divided by its norm; a zero row stays as it is."""
-    return F.when(norm2(vec) == 0.0, vec.cast("array<double>")).otherwise(
-        F.transform(vec, lambda x: x.cast("double") / norm2(vec))
-    )
+    length = norm2(vec)
+    divisor = spread(F.when(length == 0.0, 1.0).otherwise(length), vec)
+    return F.zip_with(vec, divisor, lambda x, n: x.cast("double") / n)
 
 
 def one_hot(index: Column, size: int) -> Column:

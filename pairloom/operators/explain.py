@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import pri
 from pairloom.functions.ranks import attach, dist_rank
+from pairloom.functions.scalars import spread
 from pairloom.operators.training import Fitted, batch_predict
 
 
@@ -40,11 +41,11 @@ def importance_permutation(fitted: Fitted, df: DataFrame, label: str = "label",
     wanted = list(range(width)) if features is None else list(features)
     rows = df.select("accession", label, F.col("vec").cast("array<double>").alias("vec"))
     base = dist_rank(rows, [pri("base", F.col("accession")), F.col("accession")], hashed=True, rank_col="_r")
-    spread = rows.select("accession").select(
+    shuffles = rows.select("accession").select(
         "accession", F.explode(F.array(*[F.lit(f) for f in wanted])).alias("feature")
     ).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat"))
     order = [pri(seed, F.col("feature"), F.col("repeat"), F.col("accession")), F.col("accession")]
-    shuffled = dist_rank(spread, order, by=["feature", "repeat"], hashed=True, rank_col="_r")
+    shuffled = dist_rank(shuffles, order, by=["feature", "repeat"], hashed=True, rank_col="_r")
     values = base.select("_r", F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col("vec")[f].alias("_value")) for f in wanted
     ])).alias("_v")).select("_r", "_v.*")
@@ -84,7 +85,8 @@ def saliency_gradient(df: DataFrame, coefficients: Sequence[float], intercept: f
     """Exact input gradient p(1-p)w of a logistic model."""
     w, dot, b = _logistic(coefficients, intercept)
     out = df.withColumn("_p", 1.0 / (1.0 + F.exp(-(dot + b))))
-    return out.withColumn("saliency", F.transform(w, lambda c: c * F.col("_p") * (1.0 - F.col("_p")))).drop("_p")
+    slope = spread(F.col("_p") * (1.0 - F.col("_p")), w)
+    return out.withColumn("saliency", F.zip_with(w, slope, lambda c, s: c * s)).drop("_p")
 
 
 def saliency_integrated(df: DataFrame, coefficients: Sequence[float], intercept: float = 0.0, steps: int = 50) -> DataFrame:
@@ -96,15 +98,13 @@ def saliency_integrated(df: DataFrame, coefficients: Sequence[float], intercept:
     out = df.withColumn("_z", dot)
     grid = F.sequence(F.lit(0), F.lit(steps - 1))
 
-    def slope(i):
-        p = 1.0 / (1.0 + F.exp(-(F.col("_z") * i.cast("double") / (steps - 1) + b)))
-        return p * (1.0 - p) * F.when((i == 0) | (i == steps - 1), 0.5).otherwise(1.0)
-
-    path = F.aggregate(grid, F.lit(0.0), lambda acc, i: acc + slope(i)) / (steps - 1)
-    out = out.withColumn("_path", path)
-    return out.withColumn(
-        "saliency", F.zip_with("vec", w, lambda x, c: x.cast("double") * c * F.col("_path"))
-    ).drop("_z", "_path")
+    # logits along the path, then p(1-p) at each point
+    logits = F.zip_with(grid, F.array_repeat(F.col("_z"), steps), lambda i, z: z * i.cast("double") / (steps - 1) + b)
+    points = F.transform(logits, lambda t: F.exp(-F.abs(t)))
+    slopes = F.transform(points, lambda e, i: e / ((1.0 + e) * (1.0 + e)) * F.when((i == 0) | (i == steps - 1), 0.5).otherwise(1.0))
+    path = F.aggregate(slopes, F.lit(0.0), lambda acc, s: acc + s) / (steps - 1)
+    pull = F.zip_with("vec", w, lambda x, c: x.cast("double") * c)
+    return out.withColumn("saliency", F.zip_with(pull, spread(path, F.col("vec")), lambda x, s: x * s)).drop("_z")
 
 
 def salient_dims(saliency: DataFrame, n: int = 10) -> DataFrame:

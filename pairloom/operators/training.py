@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.scalars import argmax_index
+from pairloom.functions.scalars import argmax_index, spread
 from pairloom.operators.labels import class_list
 from pairloom.operators.metrics import binary_metrics, macro_metrics, metrics_clean, ranking_metrics
 from pairloom.operators.sweeps import sweep_trials, trial_params
@@ -165,7 +165,7 @@ def _softmax(raw: Column) -> Column:
     """Class shares of one-vs-rest scores."""
     squashed = F.transform(raw, lambda x: 1.0 / (1.0 + F.exp(-x)))
     total = F.aggregate(squashed, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(squashed, lambda x: x / total)
+    return F.zip_with(squashed, spread(total, squashed), lambda x, t: x / t)
 
 
 def batch_predict_proba(fitted: Fitted, df: DataFrame) -> DataFrame:

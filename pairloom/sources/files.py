@@ -153,8 +153,8 @@ def read_universe_jsonl(spark: SparkSession, path: str, metadata: Column | None
 
 def parse_assignments(assignments: DataFrame) -> DataFrame:
     """(target_id, pos, candidate_id, count_ok) from comma lists."""
-    ids = split_list(F.col("candidates"), ",")
-    return assignments.select(
-        "target_id", (F.size(ids) == F.col("num_candidates").cast("int")).alias("count_ok"),
-        F.posexplode(ids).alias("pos", "candidate_id"),
+    # split below the generator, so the list is built once per row and not once per candidate
+    listed = assignments.select("target_id", "num_candidates", split_list(F.col("candidates"), ",").alias("_ids")).select(
+        "target_id", "_ids", (F.size("_ids") == F.col("num_candidates").cast("int")).alias("count_ok")
     )
+    return listed.select("target_id", "count_ok", F.posexplode("_ids").alias("pos", "candidate_id"))

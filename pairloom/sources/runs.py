@@ -108,7 +108,7 @@ def load_runs_union(spark: SparkSession, base: str, run_ids: Sequence[str], spec
 
 def run_catalog(spark: SparkSession, base: str) -> DataFrame:
     """(run_id, position, species_category, info) of the JSON catalog, in its order."""
-    text = spark.read.option("wholetext", True).text(f"{base}/runs_catalog.json")
+    text = spark.read.text(f"{base}/runs_catalog.json", wholetext=True)
     runs = F.from_json(F.get_json_object("value", "$.runs"), "map<string,string>")
     return text.select(F.posexplode(F.map_entries(runs)).alias("position", "_e")).select(
         F.col("_e.key").alias("run_id"), "position",
@@ -143,7 +143,7 @@ def run_validate(spark: SparkSession, base: str, run_id: str, required: Sequence
     )
     found: list[tuple[str, str]] = []
     if path_exists(spark, f"{folder}/run_metadata.json"):
-        text = spark.read.option("wholetext", True).text(f"{folder}/run_metadata.json").first()[0]
+        text = spark.read.text(f"{folder}/run_metadata.json", wholetext=True).first()[0]
         lost = [f for f in METADATA_FIELDS if f not in json.loads(text)]
         found += [("warning", f"metadata field missing: {f}") for f in lost]
     if path_exists(spark, f"{folder}/{PAIR_FILES[0]}"):

@@ -39,6 +39,7 @@ def export_dataset(spark: SparkSession, base: str, run_id: str, path: str, fmt:
 
 def export_bundle(assignments: DataFrame, events: DataFrame, universe_manifest: DataFrame, path: str) -> None:
     """Instances, assignments by split, manifests, events and summary of a split variant."""
+    assignments = assignments.persist()
     write_csv(assignments.select("variant_id", "protein_id", "role", "target_id"), f"{path}/instances")
     write_csv(assignments.drop("split"), f"{path}/assignments")
     assignments.write.partitionBy("split").option("header", True).csv(f"{path}/split")
@@ -46,6 +47,7 @@ def export_bundle(assignments: DataFrame, events: DataFrame, universe_manifest:
     write_json(universe_manifest, f"{path}/universe_manifest")
     write_json(bundle_summary(assignments, events), f"{path}/summary")
     write_jsonl(events, f"{path}/scarcity_events")
+    assignments.unpersist()
 
 
 def write_predictions_partitioned(predictions: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -13,19 +13,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.session import cut_lineage
+
 PREFIX_DIGITS = 3
 SLOTS = 64
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Bring columns of a per-group table to every row: equi-join, or a scalar subquery for one group."""
+    """Bring columns of a per-group table to every row.
+
+    For a single group this is a scalar subquery.  Otherwise the group table is written first, so the
+    planner knows its size: below the broadcast threshold the rows are not shuffled on their (often
+    few and skewed) group keys, above it the join falls back to a shuffle.
+    """
     if by:
-        return df.join(small.select(*by, *columns), list(by), "left")
+        return df.join(cut_lineage(small.select(*by, *columns), "groups"), list(by), "left")
     packed = small.select(F.struct(*columns).alias("_packed")).scalar()
-    df = df.withColumn("_packed", packed)
-    for name in columns:
-        df = df.withColumn(name, F.col("_packed").getField(name))
-    return df.drop("_packed")
+    return df.withColumn("_packed", packed).withColumns(
+        {name: F.col("_packed").getField(name) for name in columns}
+    ).drop("_packed")
 
 
 def with_buckets(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), hashed: bool = False,
@@ -76,18 +82,20 @@ def cut_keys(bucketed: DataFrame, by: Sequence[str], sizes) -> DataFrame:
     """
     offsets = _bucket_offsets(bucketed, by)
     positions = F.posexplode(F.array(*[p.cast("long") for p in sizes(F.col("_n"))]))
+    # one entry per cut
     wanted = (
         offsets.select("*", positions.alias("_i", "_pos"))
         .where((F.col("_pos") > F.col("_off")) & (F.col("_pos") <= F.col("_off") + F.col("_c")))
-        .select(*by, "_b", "_i", (F.col("_pos") - F.col("_off")).alias("_in"))
+        .groupBy(*by).agg(F.collect_list(F.struct("_b", "_i", (F.col("_pos") - F.col("_off")).alias("_in"))).alias("_wanted"))
     )
-    here = bucketed.select(*by, "_b", "_o").join(
-        wanted.select(*by, "_b").distinct(), [*by, "_b"], "left_semi"
+    here = attach(bucketed.select(*by, "_b", "_o"), wanted, by, ["_wanted"]).where(
+        F.exists("_wanted", lambda w: w.getField("_b") == F.col("_b"))
     )
     inside = Window.partitionBy(*by, "_b").orderBy("_o")
-    ranked = here.withColumn("_in", F.row_number().over(inside).cast("long"))
-    cuts = ranked.join(wanted, [*by, "_b", "_in"]).select(*by, F.struct("_i", "_o").alias("_cut"))
-    return cuts.groupBy(*by).agg(F.map_from_entries(F.collect_list("_cut")).alias("_cuts"))
+    hits = here.withColumn("_rn", F.row_number().over(inside).cast("long")).select(
+        *by, "_b", "_rn", "_o", F.explode("_wanted").alias("_w")
+    ).where((F.col("_w._b") == F.col("_b")) & (F.col("_w._in") == F.col("_rn")))
+    return hits.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_w._i").alias("_i"), "_o"))).alias("_cuts"))
 
 
 def label_by_cuts(df: DataFrame, order: Sequence[Column], sizes, out: str, by: Sequence[str] = (),

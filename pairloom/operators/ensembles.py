@@ -198,7 +198,7 @@ def weights_random_search(val_probs: DataFrame, model_ids: Sequence[str], proble
 
 def soft_vote(probs: DataFrame, weights: DataFrame, problem_type: str, n_classes: int, threshold: float = 0.5) -> DataFrame:
     """Weighted mean probabilities per sample and the decision at a fixed threshold."""
-    weighted = probs_canonical(probs, problem_type).join(weights.select("model_id", "weight"), "model_id")
+    weighted = attach(probs_canonical(probs, problem_type), weights, ["model_id"], ["weight"]).where("weight is not null")
     blend = [F.sum(F.col("weight") * F.col("probs")[i]).alias(f"_p{i}") for i in range(n_classes)]
     voted = weighted.groupBy("accession").agg(*blend).select(
         "accession", F.array(*[F.col(f"_p{i}") for i in range(n_classes)]).alias("probs")

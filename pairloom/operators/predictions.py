@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.ranks import attach
 from pairloom.functions.scalars import serialize_label
 from pairloom.operators.ensembles import class_probability, decision
 
@@ -20,7 +21,7 @@ def prediction_rows(samples: DataFrame, probs: DataFrame, classes: Sequence, pro
     key = ["model_type", "embedding_name"]
     rows = probs.join(samples.select("accession", "true_label"), "accession")
     if thresholds is not None:
-        rows = rows.join(thresholds.select(*key, "threshold"), key, "left")
+        rows = attach(rows, thresholds, key, ["threshold"])
     limit = F.coalesce("threshold", F.lit(0.5)) if thresholds is not None else F.lit(0.5)
     rows = rows.withColumn("_i", decision(F.col("probs"), problem_type, limit))
     names = F.array(*[F.lit(str(c)) for c in classes])

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.functions.ranks import attach
 from pairloom.functions.scalars import argmax_index, spread
 from pairloom.operators.labels import class_list
 from pairloom.operators.metrics import binary_metrics, macro_metrics, metrics_clean, ranking_metrics
@@ -80,7 +81,7 @@ def train_model(features: DataFrame, model_type: str, params: Mapping | None = N
     common = {"featuresCol": "_features", "labelCol": "_label"}
     balanced = params.get("class_weight") == "balanced"
     if balanced:
-        train = train.join(class_weights(features, label).select(F.col("label").alias(label), F.col("weight").alias("_w")), label)
+        train = attach(train, class_weights(features, label).select(F.col("label").alias(label), F.col("weight").alias("_w")), [label], ["_w"])
         common["weightCol"] = "_w"
     platt = None
     if kind == "LR":

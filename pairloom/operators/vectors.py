@@ -62,7 +62,7 @@ def layers_none(layers: DataFrame) -> DataFrame:
     view = F.when(F.col("_layers") > 1, F.concat_ws("__layer_", "model", F.col("layer_index").cast("string"))).otherwise(
         F.col("model")
     )
-    return layers.join(counts, "model").select(view.alias("view"), "accession", F.col("vec").cast("array<double>").alias("vec"))
+    return attach(layers, counts, ["model"], ["_layers"]).select(view.alias("view"), "accession", F.col("vec").cast("array<double>").alias("vec"))
 
 
 AGGREGATIONS: Mapping[str, Strategy] = {
@@ -173,7 +173,7 @@ def standard_scale(features: DataFrame, fit_split: str = "train") -> DataFrame:
     """Every split scaled with the statistics of the fitting split."""
     scaler = fit_scaler(features, fit_split)
     centred = F.zip_with("vec", "mean", lambda x, m: x.cast("double") - m)
-    return features.join(scaler, "view").withColumn(
+    return attach(features, scaler, ["view"], ["mean", "std"]).withColumn(
         "vec", F.zip_with(centred, "std", lambda x, s: x / s)
     ).drop("mean", "std")
 

@@ -292,7 +292,7 @@ def _integrated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("salient_dims", f"""WITH {LOGIT}, p AS (SELECT avg(1 / (1 + exp(-(z + {INTERCEPT}))) * (1 - 1 / (1 + exp(-(z + {INTERCEPT}))))) AS g FROM z)
-  SELECT (i - 1)::BIGINT AS dimension, round(({_W})[i] * g, 5) AS saliency FROM p, range(1, 65) r(i) ORDER BY abs(round(({_W})[i] * g, 12)) DESC, i LIMIT 12""")
+  SELECT (i - 1)::BIGINT AS dimension, round(({_W})[i] * g, 5) + 0.0 AS saliency FROM p, range(1, 65) r(i) ORDER BY abs(round(({_W})[i] * g, 12)) DESC, i LIMIT 12""")
 def _dims(spark: SparkSession, sf: str) -> DataFrame:
     rows = ex.saliency_gradient(features(spark, sf), COEFFICIENTS, INTERCEPT)
     return longs(r6(ex.salient_dims(rows, 12), 5), "dimension")

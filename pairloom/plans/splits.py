@@ -144,15 +144,15 @@ def _independent_organism(spark: SparkSession, sf: str) -> DataFrame:
     return sp.split_independent(proteins(spark, sf), conf, zero_table=split_table(spark, sf))
 
 
-@query("split_group_by_target", f"""WITH {UNIVERSE}, targets AS (SELECT target_id, row_number() OVER (ORDER BY md5('42:' || target_id), target_id) AS k, count(*) OVER () AS n
-    FROM (SELECT DISTINCT target_id FROM universe))
-  SELECT u.target_id, u.candidate_id AS protein_id, CASE WHEN k <= floor(n * 0.7::DOUBLE) THEN 'train'
+@query("split_group_by_target", f"""WITH {UNIVERSE}, targets AS (SELECT organism, target_id, row_number() OVER (PARTITION BY organism ORDER BY md5('42:' || target_id), target_id) AS k,
+    count(*) OVER (PARTITION BY organism) AS n FROM (SELECT DISTINCT organism, target_id FROM universe))
+  SELECT u.organism AS variant_id, u.target_id, u.candidate_id AS protein_id, CASE WHEN k <= floor(n * 0.7::DOUBLE) THEN 'train'
     WHEN k <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM universe u JOIN targets t ON t.target_id = u.target_id""")
 def _group(spark: SparkSession, sf: str) -> DataFrame:
     rows = universe_pairs(spark, sf).select(
-        F.lit("v").alias("variant_id"), "target_id", F.col("candidate_id").alias("protein_id")
+        F.col("organism").alias("variant_id"), "target_id", F.col("candidate_id").alias("protein_id")
     )
-    return sp.split_group_by_target(rows).select("target_id", "protein_id", "split")
+    return sp.split_group_by_target(rows).select("variant_id", "target_id", "protein_id", "split")
 
 
 @query("train_plus_val", f"""WITH {PROTEINS} SELECT accession, organism, split FROM (

@@ -11,29 +11,29 @@ from pairloom.plans.fixtures import FEATURES, LAYERS, cells, features, layers, r
 
 
 
-@query("layers_mean", f"WITH {LAYERS} SELECT model AS \"view\", accession, (pos - 1)::BIGINT AS pos, round(avg(x), 5) AS x FROM layer_cells GROUP BY model, accession, pos")
+@query("layers_mean", f"WITH {LAYERS} SELECT model AS \"view\", accession, (pos - 1)::BIGINT AS pos, round(avg(x), 5) + 0.0 AS x FROM layer_cells GROUP BY model, accession, pos")
 def _mean(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.layers_mean(layers(spark, sf)), "view", "accession", digits=5)
 
 
-@query("layers_max", f"WITH {LAYERS} SELECT model AS \"view\", accession, (pos - 1)::BIGINT AS pos, round(max(x), 5) AS x FROM layer_cells GROUP BY model, accession, pos")
+@query("layers_max", f"WITH {LAYERS} SELECT model AS \"view\", accession, (pos - 1)::BIGINT AS pos, round(max(x), 5) + 0.0 AS x FROM layer_cells GROUP BY model, accession, pos")
 def _max(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.layers_max(layers(spark, sf)), "view", "accession", digits=5)
 
 
 @query("layers_mean_max", f"""WITH {LAYERS}, a AS (SELECT model, accession, pos, avg(x) AS m, max(x) AS h FROM layer_cells GROUP BY model, accession, pos)
-  SELECT model AS "view", accession, (pos - 1)::BIGINT AS pos, round(m, 5) AS x FROM a UNION ALL SELECT model, accession, (pos + 15)::BIGINT, round(h, 5) FROM a""")
+  SELECT model AS "view", accession, (pos - 1)::BIGINT AS pos, round(m, 5) + 0.0 AS x FROM a UNION ALL SELECT model, accession, (pos + 15)::BIGINT, round(h, 5) + 0.0 FROM a""")
 def _mean_max(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.layers_mean_max(layers(spark, sf)), "view", "accession", digits=5)
 
 
-@query("layers_concat", f"""WITH {LAYERS} SELECT model AS "view", accession, (layer_index * 16 + pos - 1)::BIGINT AS pos, round(x, 5) AS x FROM layer_cells""")
+@query("layers_concat", f"""WITH {LAYERS} SELECT model AS "view", accession, (layer_index * 16 + pos - 1)::BIGINT AS pos, round(x, 5) + 0.0 AS x FROM layer_cells""")
 def _concat(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.layers_concat(layers(spark, sf)), "view", "accession", digits=5)
 
 
 @query("layers_none", f"""WITH {LAYERS} SELECT CASE model WHEN 'M1' THEN 'M1' ELSE model || '__layer_' || layer_index END AS "view", accession,
-  (pos - 1)::BIGINT AS pos, round(x, 5) AS x FROM layer_cells""")
+  (pos - 1)::BIGINT AS pos, round(x, 5) + 0.0 AS x FROM layer_cells""")
 def _none(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.layers_none(layers(spark, sf)), "view", "accession", digits=5)
 
@@ -61,7 +61,7 @@ def _wanted(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN vec_id % 5 = 1 THEN embedding[41:48] ELSE [0, 0, 0, 0, 0, 0, 0, 0]::FLOAT[] END,
     CASE WHEN vec_id % 6 = 0 THEN embedding[29:40] WHEN vec_id % 3 = 0 THEN embedding[17:28] ELSE [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0]::FLOAT[] END) AS vec
     FROM embeddings WHERE vec_id % 4 <> 3)
-  SELECT accession, (pos - 1)::BIGINT AS pos, round(x::DOUBLE, 5) AS x FROM (SELECT accession, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM a)""")
+  SELECT accession, (pos - 1)::BIGINT AS pos, round(x::DOUBLE, 5) + 0.0 AS x FROM (SELECT accession, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM a)""")
 def _go(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.go_concat(ontologies(spark, sf), _wanted(spark, sf), "ord"), "accession", digits=5)
 
@@ -80,7 +80,7 @@ def _views(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("features_join", f"""WITH {FEATURES}, wide AS (SELECT 'V1' AS "view", accession, split, vec FROM features UNION ALL
     SELECT 'V2', accession, split, CASE WHEN accession::BIGINT % 7 = 0 THEN [0, 0, 0, 0, 0, 0, 0, 0]::DOUBLE[] ELSE vec[1:8] END FROM features)
-  SELECT "view", accession, split, (pos - 1)::BIGINT AS pos, round(x, 5) AS x FROM (SELECT "view", accession, split, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM wide)""")
+  SELECT "view", accession, split, (pos - 1)::BIGINT AS pos, round(x, 5) + 0.0 AS x FROM (SELECT "view", accession, split, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM wide)""")
 def _join(spark: SparkSession, sf: str) -> DataFrame:
     samples = features(spark, sf).select("accession", "split", "label")
     return cells(ve.features_join(samples, _views(spark, sf), ["V2"]), "view", "accession", "split", digits=5)
@@ -92,14 +92,14 @@ def _missing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("l2_normalize", f"""WITH {FEATURES}, n AS (SELECT accession, vec, sqrt(list_sum([v * v FOR v IN vec])) AS norm FROM features)
-  SELECT accession, (pos - 1)::BIGINT AS pos, round(x / norm, 5) AS x FROM (SELECT accession, norm, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM n)""")
+  SELECT accession, (pos - 1)::BIGINT AS pos, round(x / norm, 5) + 0.0 AS x FROM (SELECT accession, norm, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM n)""")
 def _l2(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.l2_normalize(features(spark, sf)), "accession", digits=5)
 
 
 @query("standard_scale", f"""WITH {FEATURES}, c AS (SELECT accession, split, generate_subscripts(vec, 1) AS pos, unnest(vec) AS x FROM features),
     s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS d FROM c WHERE split = 'train' GROUP BY pos)
-  SELECT accession, split, (c.pos - 1)::BIGINT AS pos, round((x - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 5) AS x FROM c JOIN s ON s.pos = c.pos""")
+  SELECT accession, split, (c.pos - 1)::BIGINT AS pos, round((x - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 5) + 0.0 AS x FROM c JOIN s ON s.pos = c.pos""")
 def _scale(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.standard_scale(features(spark, sf)), "accession", "split", digits=5)
 

@@ -132,12 +132,15 @@ def trial_counts(val_probs: DataFrame, model_ids: Sequence[str], weights: np.nda
     _check_problem(problem_type)
     members = len(model_ids)
     many = problem_type == "multilabel"
-    by_model = F.map_from_entries(F.collect_list(F.struct("model_id", "probs")))
+    cells = [
+        F.max(F.when(F.col("model_id") == m, F.col("probs")[c].cast("double"))).alias(f"_p{i}_{c}")
+        for i, m in enumerate(model_ids) for c in range(n_classes)
+    ]
     wide = val_probs.where(F.col("model_id").isin(list(model_ids))).groupBy("accession").agg(
-        by_model.alias("_p"), F.first("y").alias("y")
-    ).where(F.size("_p") == members)
+        *cells, F.max("y").alias("y"), F.count(F.lit(1)).alias("_n")
+    ).where(F.col("_n") == members)
     flat = wide.select(
-        F.flatten(F.array(*[F.element_at("_p", m) for m in model_ids])).cast("array<double>").alias("p"),
+        F.array(*[F.col(f"_p{i}_{c}") for i in range(members) for c in range(n_classes)]).alias("p"),
         (F.col("y").cast("array<int>") if many else F.array(F.col("y").cast("int"))).alias("y"),
     )
     trials = len(weights)

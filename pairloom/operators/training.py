@@ -223,7 +223,7 @@ def train_matrix(features: DataFrame, model_types: Sequence[str], params: Mappin
     """
     params = params or {}
     ready = normalize(features, normalization).persist()
-    views = sorted(views) if views is not None else [r["view"] for r in ready.select("view").distinct().collect()]
+    views = sorted(views) if views is not None else class_list(ready, "view")
     classes = class_list(ready, label)
     score_splits = ["val", "validation"] + (["test"] if evaluate_test else [])
 

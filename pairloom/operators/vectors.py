@@ -12,10 +12,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairloom.functions.ranks import attach
 from pairloom.functions.scalars import l2_unit, normalize_name
+from pairloom.operators.labels import class_list
 
 Strategy = Callable[[DataFrame], DataFrame]
 
@@ -46,12 +46,16 @@ def layers_mean_max(layers: DataFrame) -> DataFrame:
 
 
 def layers_concat(layers: DataFrame) -> DataFrame:
-    """Concatenation in ascending layer order; an accession has a handful of layers, each once."""
-    one = layers.groupBy("model", "accession", "layer_index").agg(F.max_by("vec", F.lit(0)).alias("vec"))
-    stack = F.array_sort(F.collect_list(F.struct("layer_index", F.col("vec").cast("array<double>").alias("vec"))))
-    return one.groupBy(F.col("model").alias("view"), "accession").agg(
-        F.flatten(F.transform(stack, lambda s: s.getField("vec"))).alias("vec")
-    )
+    """Concatenation in ascending layer order, over the layers an accession has.
+
+    One aggregate per layer number (a short list), so rows are combined map-side and shuffled once.
+    """
+    numbers = class_list(layers, "layer_index")
+    parts = layers.groupBy(F.col("model").alias("view"), "accession").agg(*[
+        F.max(F.when(F.col("layer_index") == n, F.col("vec").cast("array<double>"))).alias(f"_l{i}") for i, n in enumerate(numbers)
+    ])
+    held = F.array_compact(F.array(*[F.col(f"_l{i}") for i in range(len(numbers))]))
+    return parts.select("view", "accession", F.flatten(held).alias("vec"))
 
 
 def layers_none(layers: DataFrame) -> DataFrame:
@@ -91,20 +95,15 @@ def go_concat(ontology_vectors: DataFrame, accessions: DataFrame, order_col: str
 
     Of repeated (ontology, accession) rows the last by ``order_col`` counts.
     """
+    names = class_list(ontology_vectors, "ontology")
+    width = {r["ontology"]: r["dim"] for r in ontology_vectors.groupBy("ontology").agg(F.max(F.size("vec")).alias("dim")).collect()}
     wanted = ontology_vectors.join(accessions.select("accession"), "accession", "left_semi")
-    last = wanted.groupBy("accession", "ontology").agg(
-        F.max_by("vec", F.col(order_col) if order_col else F.lit(0)).cast("array<double>").alias("vec")
-    )
-    dims = ontology_vectors.groupBy("ontology").agg(F.max(F.size("vec")).alias("dim")).agg(
-        F.array_sort(F.collect_list(F.struct("ontology", "dim"))).alias("_dims")
-    )
-    # one entry per ontology, of which there are three
-    have = last.groupBy("accession").agg(F.map_from_entries(F.collect_list(F.struct("ontology", "vec"))).alias("_have"))
-    joined = attach(accessions.select("accession").distinct().join(have, "accession", "left"), dims, (), ["_dims"])
-    part = F.transform("_dims", lambda d: F.coalesce(
-        F.try_element_at(F.col("_have"), d.getField("ontology")), F.array_repeat(F.lit(0.0), d.getField("dim"))
-    ))
-    return joined.select("accession", F.flatten(part).alias("vec"))
+    order = F.col(order_col) if order_col else F.lit(0)
+    have = wanted.groupBy("accession").agg(*[
+        F.max_by(F.col("vec").cast("array<double>"), F.when(F.col("ontology") == o, order)).alias(f"_o{i}") for i, o in enumerate(names)
+    ])
+    parts = [F.coalesce(f"_o{i}", F.array_repeat(F.lit(0.0), width[o])) for i, o in enumerate(names)]
+    return accessions.select("accession").distinct().join(have, "accession", "left").select("accession", F.concat(*parts).alias("vec"))
 
 
 def go_missing_report(ontology_vectors: DataFrame, accessions: DataFrame) -> DataFrame:
@@ -208,7 +207,3 @@ def view_select(df: DataFrame, column: str, names: Sequence[str] | None = None,
 def enabled_views(config_rows: DataFrame) -> DataFrame:
     """Names switched on in any section, sorted."""
     return config_rows.where("enabled").select(F.col("name").alias("view")).distinct().orderBy("view")
-
-
-def vector_type(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType

@@ -12,6 +12,7 @@ from pairloom.functions.hashing import pri
 from pairloom.functions.ranks import label_by_cuts
 from pairloom.functions.scalars import normalize_organism
 from pairloom.operators.quality import split_csv_duplicates, split_leakage_check
+from pairloom.session import cut_lineage
 
 # Spellings that stand for one organism.
 ORGANISM_ALIASES = {
@@ -71,6 +72,11 @@ def _fold_ends(n: Column, n_splits: int) -> list[Column]:
     return [base * i + F.least(extra, F.lit(i)) for i in range(1, n_splits)]
 
 
+def _written_folds(ids: DataFrame, key: str, n_splits: int, seed: int) -> DataFrame:
+    """The folds as a table: finding the validation head passes over them several times."""
+    return cut_lineage(fold_of(ids, key, n_splits, seed), "folds")
+
+
 def fold_of(ids: DataFrame, key: str, n_splits: int, seed: int) -> DataFrame:
     """Add ``_fold``, the shuffled fold of each row."""
     if n_splits < 2:
@@ -92,7 +98,7 @@ def split_kfold(ids: DataFrame, key: str = "accession", n_splits: int = 5, fold_
                 seed: int = 42) -> DataFrame:
     """Chosen fold to test, head of the remaining rows in key order to val."""
     chosen = fold_index % n_splits
-    parts = fold_of(ids, key, n_splits, seed).withColumn(
+    parts = _written_folds(ids, key, n_splits, seed).withColumn(
         "split", F.when(F.col("_fold") == chosen, "test").otherwise("train")
     ).drop("_fold")
     return _validation_head(parts, key)
@@ -100,7 +106,7 @@ def split_kfold(ids: DataFrame, key: str = "accession", n_splits: int = 5, fold_
 
 def kfold_all(ids: DataFrame, key: str = "accession", n_splits: int = 5, seed: int = 42) -> DataFrame:
     """Every fold as test once, with a ``fold`` column."""
-    folds = fold_of(ids, key, n_splits, seed).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    folds = _written_folds(ids, key, n_splits, seed).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     parts = folds.withColumn("split", F.when(F.col("_fold") == F.col("fold"), "test").otherwise("train")).drop("_fold")
     return _validation_head(parts, key, ["fold"])
 

@@ -194,7 +194,11 @@ def _union(spark: SparkSession, sf: str) -> DataFrame:
 @query("parse_assignments", f"""WITH {WORDS}, e AS (SELECT target_id, unnest(w) AS candidate_id, unnest(range(len(w))) AS pos FROM words WHERE lang = 'en')
   SELECT target_id, count(*) AS n, bool_and(true) AS count_ok, max(pos)::BIGINT AS last_pos, count(DISTINCT candidate_id) AS candidates FROM e GROUP BY target_id""")
 def _assignments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = files.parse_assignments(runs.load_run(spark, write_runs(spark, sf), "run_b")["assignments"])
+    path = scratch_path(spark, "assignments")
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z0-9]+", ","), ","), lambda w: w != "")
+    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("target_id"), words.alias("w"))
+    sinks.write_csv(docs.select("target_id", F.size("w").alias("num_candidates"), F.array_join("w", ",").alias("candidates")), path)
+    rows = files.parse_assignments(files.read_csv(spark, path, "target_id string, num_candidates int, candidates string"))
     return longs(rows.groupBy("target_id").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and("count_ok").alias("count_ok"), F.max("pos").alias("last_pos"),
         F.count_distinct("candidate_id").alias("candidates"),

@@ -100,7 +100,7 @@ def train_model(features: DataFrame, model_type: str, params: Mapping | None = N
         else:
             model = OneVsRest(classifier=booster, featuresCol="_features", labelCol="_label", rawPredictionCol="rawPrediction").fit(train)
     elif kind == "SVM":
-        machine = LinearSVC(**common, **({"regParam": 1.0 / float(params["C"]) / max(1, features.count())} if "C" in params else {}))
+        machine = LinearSVC(**common, **_mapped(params, LR_PARAMS), **({"regParam": 1.0 / float(params["C"]) / max(1, features.count())} if "C" in params else {}))
         if len(classes) == 2:
             model = machine.fit(train)
             margin = _margin(model.transform(train.drop("_w") if not balanced else train))

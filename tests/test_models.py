@@ -264,7 +264,7 @@ def test_separable_data_is_learned(spark, kind, params):
 def test_multiclass_one_vs_rest_models(spark):
     rows = separable(spark).withColumn("label", F.when(F.col("vec")[0] > 0, 2).when(F.col("vec")[2] > 0, 1).otherwise(0))
     for kind in ("SVM", "GBT"):
-        out = tr.batch_predict(tr.train_model(rows, kind, {"n_estimators": 2}), rows)
+        out = tr.batch_predict(tr.train_model(rows, kind, {"n_estimators": 2, "max_iter": 5}), rows)
         assert out.where("abs(aggregate(probs, 0D, (a, x) -> a + x) - 1) > 1e-6").count() == 0
 
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.common import documents
+from pairloom.llm.packing import pack_documents
+from pairloom.llm.pieces import piece_digests
 from pairloom.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +29,13 @@ def query(name: str, sql: str | None = None):
 @query("op1_simhash_bk_trees")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_sentencepiece")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

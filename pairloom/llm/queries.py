@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pairloom.llm.common import documents
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.pieces import piece_digests
+from pairloom.llm.quality_rules import quality_verdicts
+from pairloom.llm.secret_scan import secret_spans
 from pairloom.llm.simhash import simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +41,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_sentencepiece")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_secret_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "n_weak")
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(documents(spark, sf_dir))

@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.common import documents
+from pairloom.llm.line_dedup import line_dedup_report
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.pieces import piece_digests
 from pairloom.llm.quality_rules import quality_verdicts
 from pairloom.llm.secret_scan import secret_spans
 from pairloom.llm.simhash import simhash_groups
+from pairloom.llm.sketches import document_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +53,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(documents(spark, sf_dir))
+
+
+@query("op5_document_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_fingerprints(documents(spark, sf_dir))
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(documents(spark, sf_dir))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm.common import documents
+from pairloom.llm.common import documents, fold
+from pairloom.llm.language_id import identify_languages
 from pairloom.llm.line_dedup import line_dedup_report
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.pieces import piece_digests
@@ -15,6 +17,9 @@ from pairloom.llm.quality_rules import quality_verdicts
 from pairloom.llm.secret_scan import secret_spans
 from pairloom.llm.simhash import simhash_groups
 from pairloom.llm.sketches import document_fingerprints
+from pairloom.llm.token_rollups import change, commit_batch, rank_file_tokens, totals, word_tokens
+from pairloom.llm.toxicity import toxicity_scores
+from pairloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +68,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(documents(spark, sf_dir))
+
+
+def held_out(parts: int, part: int) -> Column:
+    return fold(F.col("doc_id"), parts) == part
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(documents(spark, sf_dir), held_out(3, 1)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity_scores(documents(spark, sf_dir), labels, held_out(4, 2))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted, those labelled toxic are revised (their texts in lower case), those of low quality deleted; the last two
+    batches are sent twice."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ranks = rank_file_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    versions = {"byte_bpe_50k": ranks, "words": word_tokens(F.col("text"))}
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    poor = labels.where("quality = 0").select("doc_id").distinct()
+    revised = docs.join(toxic, "doc_id", "left_semi").withColumn("text", F.lower("text"))
+    store = scratch_path(spark, "token-totals")
+    commit_batch(spark, store, "load", change(docs, "insert", versions))
+    for _ in range(2):
+        commit_batch(spark, store, "revision", change(revised, "revise", versions))
+        commit_batch(spark, store, "removal", change(docs.join(poor, "doc_id", "left_semi"), "delete", versions))
+    return totals(spark, store)

@@ -16,7 +16,8 @@ from pairloom.session import cut_lineage
 
 LEAST_WORDS = 8
 SPANS = (4, 8, 16, 32)
-BLANK = r"^[\x20\x09-\x0D]*$"
+SPACES = " \t\n\x0b\x0c\r"
+BITMAP_BITS = 24
 DOC = ["no_id", "id", "key"]
 LINE = ["h1", "h2"]
 
@@ -30,25 +31,38 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
 def _ends(line: Column, n: Column) -> Column:
     """Hashes of the first and of the last h words for the largest h that fits twice, and for the next smaller one where a line a
     word shorter would use that; none if the line is too short."""
-    def fits(h: int, after: int | None) -> Column:
-        top = 2 * after if after else None
-        here = n >= 2 * h
-        return here & (n <= top) if top else here
-
-    out = []
-    for h, after in zip(SPANS, (*SPANS[1:], None)):
-        first = F.when(fits(h, after) & (n >= LEAST_WORDS), F.xxhash64(F.lit(h), F.substring_index(line, " ", h)))
-        last = F.when(fits(h, after) & (n >= LEAST_WORDS), F.xxhash64(F.lit(-h), F.substring_index(line, " ", -h)))
-        out += [first, last]
-    return F.array_compact(F.array(*out))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line that has a word: document, position, two hashes of the line."""
-    exploded = _keyed(docs).select(*DOC, F.posexplode(F.split("body", "\n")).alias("pos", "line")).where(~F.col("line").rlike(BLANK))
+    h = F.when(n < LEAST_WORDS, 0)
+    for least in SPANS[1:]:
+        h = h.when(n < 2 * least, least // 2)
+    h = h.otherwise(SPANS[-1])
+
+    def pair(size: Column) -> list[Column]:
+        return [F.xxhash64(count, F.call_function("substring_index", line, F.lit(" "), count)) for count in (size, -size)]
+
+    def both(size: Column) -> Column:
+        here = F.array(*pair(size))
+        return F.when(size == 0, F.array().cast("array<bigint>")).when(n.isin([2 * x for x in SPANS[1:]]), F.concat(here, F.array(*pair((size / 2).cast("int"))))).otherwise(here)
+
+    return bound_to(h, both)
+
+
+def _text_lines(docs: DataFrame) -> DataFrame:
+    """One row per line that has a word: document, position, two hashes of the line, and the line."""
+    exploded = _keyed(docs).select(*DOC, F.posexplode(F.split("body", "\n")).alias("pos", "line")).where(F.trim("line", F.lit(SPACES)) != "")
     return exploded.select(*DOC, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), "line")
 
 
+def _with_ends(lines: DataFrame) -> DataFrame:
+    counted = lines.withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    return counted.withColumn("ends", _ends(F.col("line"), F.col("words")))
+
+
+def _bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """(slot, bits): a bitmap of the hashes in a fixed number of 64-bit slots, whatever their number."""
+    placed = hashes.select(F.shiftrightunsigned("end", 64 - bits).alias("place"))
+    return placed.select(F.shiftrightunsigned("place", 6).alias("slot"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
 def _words(line: Column) -> Column:
     return F.split(line, " ")
 
@@ -87,18 +101,22 @@ def near_lines(firsts: DataFrame, docs: DataFrame) -> DataFrame:
 
     ``firsts``: h1, h2, the first occurrence ``first`` (no_id, id, key, pos) and ``ends`` of each distinct line.
     """
-    shared = firsts.select(F.explode("ends").alias("end")).groupBy("end").count().where("count > 1").select("end")
-    paired = firsts.select(*LINE, "first", F.explode("ends").alias("end")).join(shared, "end", "left_semi").groupBy(*LINE).agg(F.min("first").alias("first"))
-    wanted = paired.select(*(F.col(f"first.{c}").alias(c) for c in DOC), F.struct("first.pos", "h1", "h2").alias("at")).groupBy(*DOC).agg(F.collect_list("at").alias("at"))
-    # a document's own lines: bounded by the document
-    found = _keyed(docs).join(wanted, DOC).select(*DOC, F.split("body", "\n").alias("all"), "at").select(
-        *DOC, F.explode(F.transform("at", lambda a: F.struct(a["h1"].alias("h1"), a["h2"].alias("h2"), a["pos"].alias("pos"), F.get("all", a["pos"]).alias("line")))).alias("l"))
-    lines = cut_lineage(found.select("l.h1", "l.h2", F.struct(*DOC, F.col("l.pos").alias("pos")).alias("first"), F.col("l.line").alias("line")), "lines")
-    variants = lines.select(*LINE, F.explode(_variant_keys(_words(F.col("line")))).alias("x")).select(*LINE, "x.v", "x.at")
+    ends = firsts.select(*LINE, F.explode("ends").alias("end"))
+    shared = cut_lineage(ends.groupBy("end").count().where("count > 1").select("end"), "shared")
+    paired = ends.join(shared, "end", "left_semi").select(*LINE).distinct()
+    # a bitmap of at most 2 MB first, so that of the lines without a partner only a few are shuffled with their words
+    every = _with_ends(_text_lines(docs)).where(F.size("ends") > 0).select(*LINE, F.struct(*DOC, "pos").alias("first"), "line", F.explode("ends").alias("end"))
+    place = F.shiftrightunsigned("end", 64 - BITMAP_BITS)
+    likely = every.withColumn("slot", F.shiftrightunsigned(place, 6)).join(F.broadcast(cut_lineage(_bitmap(shared), "bitmap")), "slot")
+    # written, since the semi-join below would else be moved under the bitmap
+    likely = cut_lineage(likely.where(F.getbit("bits", place.bitwiseAND(F.lit(63)).cast("int")) == 1).select(*LINE, "first", "line"), "likely")
+    only = firsts.select(*LINE, "first").join(paired, LINE, "left_semi")
+    lines = cut_lineage(likely.join(only, [*LINE, "first"], "left_semi").dropDuplicates(LINE), "lines")
+    variants = lines.select("h1", F.explode(_variant_keys(_words(F.col("line")))).alias("x")).select("h1", "x.v", "x.at")
     met = variants.groupBy("v").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("v")
-    live = variants.join(met, "v", "left_semi").groupBy(*LINE).agg(F.collect_set("at").alias("ats"))  # a line's own positions
+    live = variants.join(met, "v", "left_semi").groupBy("h1").agg(F.collect_set("at").alias("ats"))  # a line's own positions
     words = _words(F.col("line"))
-    exact = lines.join(live, LINE).select(*LINE, "first", words.alias("words"), F.explode("ats").alias("at"))
+    exact = lines.join(live, "h1").select(*LINE, "first", words.alias("words"), F.explode("ats").alias("at"))
     text = F.array_join(F.when(F.col("at") < 0, F.col("words")).otherwise(_without(F.col("words"), F.greatest(F.col("at"), F.lit(0)))), " ")
     hashed = cut_lineage(exact.select(*LINE, "first", "at", F.xxhash64(text).alias("e1"), F.xxhash64(F.lit("variant"), text).alias("e2")), "variants")
     key = ["e1", "e2"]
@@ -129,6 +147,15 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), apart(a, b) <= 1).when(F.size(a) == F.size(b) + 1, one_more(a, b)).when(F.size(b) == F.size(a) + 1, one_more(b, a)).otherwise(False)
 
 
+def _deduped(docs: DataFrame) -> DataFrame:
+    """Each row as ``doc``, its text without the removed lines as ``kept``, and their positions as ``gone`` (null: none)."""
+    text = F.col("body")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(bound_to(
+        F.struct(F.split(text, "\n").alias("all"), F.col("gone").alias("gone")),
+        lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["all"]) - 1), s["gone"]), lambda i: F.get(s["all"], i)), "\n")))
+    return _keyed(docs, F.struct("*").alias("doc")).join(removed_lines(docs), DOC, "left").select("doc", kept.alias("kept"), "gone")
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents, all of them, without the lines that repeat an earlier line: exactly, or within one word if both have at least
     ``LEAST_WORDS`` words. Adds no column; n_chars follows the text where it is given.
@@ -137,12 +164,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     single space; lines without a word stay. A document whose lines all go keeps an empty text; null texts stay null. Rows that repeat an
     id and a text are one document and come out alike. A column may have any name.
     """
-    rows = removed_lines(docs)
-    text = F.col("body")
-    kept = F.when(F.col("gone").isNull(), text).otherwise(bound_to(
-        F.struct(F.split(text, "\n").alias("all"), F.col("gone").alias("gone")),
-        lambda s: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["all"]) - 1), s["gone"]), lambda i: F.get(s["all"], i)), "\n")))
-    joined = _keyed(docs, F.struct("*").alias("doc")).join(rows, DOC, "left").select("doc", kept.alias("kept"))
+    joined = _deduped(docs)
     fields = []
     for name, kind in docs.dtypes:
         if name == "text":
@@ -156,21 +178,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(no_id, id, key, gone): per document that loses lines, their positions; key is Spark's xxhash64 of the text."""
-    lines = _lines(docs)
     place = F.struct(*DOC, "pos")
-    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    firsts = cut_lineage(lines.select(*LINE, F.struct(*DOC, "pos", _ends(F.col("line"), n).alias("ends")).alias("f")).groupBy(*LINE).agg(
-        F.min("f").alias("f"), F.count("*").alias("n")).select(*LINE, F.struct(*(F.col(f"f.{c}").alias(c) for c in (*DOC, "pos"))).alias("first"), "n", "f.ends"), "firsts")
+    occurrence = F.struct(*DOC, "pos", "ends").alias("f")
+    firsts = cut_lineage(_with_ends(_text_lines(docs)).select(*LINE, occurrence).groupBy(*LINE).agg(F.min("f").alias("f"), F.count("*").alias("n")).select(
+        *LINE, F.struct(*(F.col(f"f.{c}").alias(c) for c in (*DOC, "pos"))).alias("first"), "n", "f.ends"), "firsts")
     near = near_lines(firsts, docs).withColumn("near", F.lit(True))
     marked = firsts.select(*LINE, "first", "n").join(near, LINE, "left").where("n > 1 or near")
-    gone = lines.select(*LINE, *DOC, "pos").join(marked, LINE).where(F.col("near").isNotNull() | (place != F.col("first")))
+    gone = _text_lines(docs).select(*LINE, *DOC, "pos").join(marked, LINE).where(F.col("near").isNotNull() | (place != F.col("first")))
     return gone.groupBy(*DOC).agg(F.collect_set("pos").alias("gone"))
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, text without its repeated lines, and n_lines, n_removed."""
-    lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    before = docs.select("doc_id", "text", lines.alias("n_lines"))
-    after = dedup_lines(before)
-    left = F.when(F.col("text").isNull(), 1).when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
-    return after.select("doc_id", "text", "n_lines", F.greatest(F.col("n_lines") - left, F.lit(0)).alias("n_removed"))
+    """doc_id, text without its repeated lines, n_lines and n_removed of every document; a null text has no line."""
+    n_lines = F.coalesce(F.size(F.split("doc.text", "\n")), F.lit(0))
+    return _deduped(docs.select("doc_id", "text")).select(
+        "doc.doc_id", F.col("kept").alias("text"), F.when(F.col("kept").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -65,7 +65,21 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
 
-@query("op3_line_dedup")
+#: Lines of all documents compared by their variants in full text, without any of the operator's filters.
+LINE_DEDUP_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split("text", chr(10))) AS line, unnest(range(len(string_split("text", chr(10))))) AS pos FROM documents WHERE "text" IS NOT NULL),
+  w AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has, doc_id::HUGEINT * 1000000000 + pos AS o FROM l),
+  f AS (SELECT line, min(o) AS o FROM w WHERE has GROUP BY line),
+  ws AS (SELECT line, o, string_split(line, ' ') AS ws FROM f WHERE len(string_split(line, ' ')) >= 8),
+  v AS (SELECT line, o, i, md5(array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ')) AS v FROM (SELECT line, o, ws, unnest(range(1, len(ws) + 1)) AS i FROM ws)),
+  replaced AS (SELECT line FROM (SELECT line, o, min(o) OVER (PARTITION BY v, i) AS low FROM v) WHERE low < o),
+  cut AS (SELECT a.line AS short, a.o AS so, v.line AS long, v.o AS lo FROM ws a JOIN v ON v.v = md5(a.line)),
+  near AS (SELECT line FROM replaced UNION SELECT CASE WHEN so < lo THEN long ELSE short END FROM cut),
+  k AS (SELECT w.*, NOT has OR (w.o = f.o AND n.line IS NULL) AS kept FROM w LEFT JOIN f ON f.line = w.line LEFT JOIN near n ON n.line = w.line),
+  g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT kept) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE kept), '') AS "text" FROM k GROUP BY doc_id)
+  SELECT d.doc_id, g."text", coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op3_line_dedup", LINE_DEDUP_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(documents(spark, sf_dir))
 

@@ -60,25 +60,15 @@ def printed(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-OWN, NEXT = ["no_id", "id", "key"], ["next_no_id", "next_id", "next_key"]
-
-
-def successors(ids: DataFrame) -> DataFrame:
-    """(no_id, id, key, n, next_no_id, next_id, next_key) over distinct (no_id, id, key, n): the next in descending id, then ascending
-    key, ids that were null last; after the last comes the first.
-
-    Rows are range-partitioned, followed inside a partition, and linked across partitions by one row of each.
-    """
-    order = [F.col("no_id"), F.col("id").desc(), F.col("key")]
-    placed = cut_lineage(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ordered")
-    inside = Window.partitionBy("part").orderBy(*order)
-    heads = placed.withColumn("nth", F.row_number().over(inside)).where("nth = 1").select("part", F.struct(*OWN).alias("head"))
-    over = Window.orderBy("part")  # one row a partition
-    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = heads.select("part", F.coalesce(F.lead("head").over(over), F.first("head").over(whole)).alias("head"))
-    linked = placed.withColumn("inner", F.lead(F.struct(*OWN)).over(inside)).join(F.broadcast(after), "part")
-    linked = linked.withColumn("follow", F.coalesce("inner", "head"))
-    return linked.select(*OWN, "n", *(F.col(f"follow.{c}").alias(f"next_{c}") for c in OWN))
+def id_buckets(ids: DataFrame) -> tuple[Column, int]:
+    """The bucket of a row by its ``id`` (larger ids first, null ids last), and the number of buckets: four to a shuffle partition, cut at
+    approximate quantiles, so that following rows are neighbours in a bucket or first and last of two."""
+    parts = 4 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 10 * max(1000, parts))).first()[0] or []
+    bounds = sorted(set(found), reverse=True)
+    held = F.array(*map(F.lit, bounds)).cast("array<bigint>")
+    at = bound_to(F.struct(F.col("id").alias("id"), held.alias("bounds")), lambda s: F.size(F.filter(F.transform(s["bounds"], lambda b: b >= s["id"]), lambda x: x)))
+    return F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(at), len(bounds) + 2
 
 
 def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -86,24 +76,35 @@ def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int =
     containments in_edited and in_next.
 
     The edited text replaces the last third of the code points (rounded down) by the first as many, or all, of the next document in
-    descending doc_id; the last document is followed by the first, a single one by itself. Null texts read as empty. Rows that repeat an
-    id and a text are one document and give equal rows; one id with several texts is ordered by the texts' hashes; null ids come last.
-    Columns other than doc_id and text are not read.
+    descending doc_id; the last document is followed by the first, a single one by itself. Null texts read as empty. Rows of one id follow
+    one another in the order of their texts' hashes, so a repeated row is followed by its like; null ids come last. Columns other than
+    doc_id and text are not read.
+
+    Whole texts are shuffled once, into buckets of neighbouring ids; what follows the last row of a bucket is fetched for one row a bucket.
     """
-    doc_id = F.col("doc_id").cast("long")
-    texts = docs.select(doc_id.isNull().alias("no_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = texts.withColumn("key", F.xxhash64("text"))
-    follow = cut_lineage(successors(keyed.select(*OWN, F.length("text").alias("n")).distinct()), "successors")
-    full = keyed.select(*OWN, "text", sketch(F.col("text"), shingle, scale).alias("sketch"))
-    given = full.select(*(F.col(c).alias(f"next_{c}") for c in OWN), F.col("text").alias("next_text"), F.col("sketch").alias("next_sketch"))
-    wanted = follow.select(*OWN, *NEXT, F.floor(F.col("n") / 3).cast("int").alias("cut"))
-    after = wanted.join(given, NEXT).select(*OWN, "cut", F.expr("substring(next_text, 1, cut)").alias("head"), "next_sketch").dropDuplicates(OWN)
-    edited = full.join(after, OWN).select(
-        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "sketch", "next_sketch",
-        F.concat(F.expr("substring(text, 1, length(text) - cut)"), "head").alias("edited"))
-    sketched = edited.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), shingle, scale).alias("edited_sketch"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    bucket, _ = id_buckets(texts.select("id"))
+    keyed = texts.select("id", "text", F.xxhash64("text").alias("key"), bucket.alias("bucket"))
+    place = F.struct(F.col("bucket"), F.bitwise_not("id").alias("down"), F.col("key"))
+    firsts = keyed.groupBy("bucket").agg(F.min(place).alias("first"))
+    over = Window.orderBy("bucket")  # one row a bucket
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follow = cut_lineage(firsts.select("bucket", F.coalesce(F.lead("first").over(over), F.first("first").over(whole)).alias("next")), "follow")
+    heads = keyed.withColumn("place", place).join(F.broadcast(follow.select(F.col("next").alias("place"))), "place", "left_semi").dropDuplicates(["place"])
+    heads = cut_lineage(follow.join(heads.select(F.col("place").alias("next"), F.col("text").alias("over_text")), "next").select(F.col("bucket").alias("over_bucket"), "over_text"), "heads")
+
+    line = Window.partitionBy("bucket").orderBy(F.col("id").desc(), "key")
+    sketched = keyed.repartition("bucket").withColumn("sketch", sketch(F.col("text"), shingle, scale))
+    followed = sketched.select("id", "bucket", "text", "sketch", F.lead("text").over(line).alias("inner"), F.lead("sketch").over(line).alias("inner_sketch"))
+    joined = followed.join(heads, (F.col("bucket") == F.col("over_bucket")) & F.col("inner").isNull(), "left")
+    cut = F.floor(F.length("text") / 3).cast("int")
+    edited = joined.select(
+        F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "sketch",
+        F.coalesce(F.col("inner_sketch"), sketch(F.col("over_text"), shingle, scale)).alias("next_sketch"), cut.alias("cut"), "text", F.coalesce("inner", "over_text").alias("after"))
+    edited = edited.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.expr("substring(after, 1, cut)")))
+    done = edited.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), shingle, scale).alias("edited_sketch"))
     own, changed, after_it = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    return sketched.select(
+    return done.select(
         "doc_id", "n_chars", "edited_sha256", printed(own).alias("fingerprint"), printed(changed).alias("edited_fingerprint"),
         likeness(own, changed).alias("near_edited"), likeness(own, after_it).alias("near_next"),
         containment(own, changed).alias("in_edited"), containment(own, after_it).alias("in_next"))

@@ -23,12 +23,12 @@ PREFIXES = range(4, 9)
 LOOKALIKES = str.maketrans("авсԁеһіјкӏмпорԛѕтуѵԝхαβεικνορτυχ", "abcdehijklmnopqstyvwxabeiknoptux")
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown", "sore loser board", "idiot proof", "pond scum")
-SIGN = re.compile(r"[013457@$!](?=[^\W\d_])")
+SIGN = re.compile(r"[013457@$!](?=[013457@$!]*[^\W\d_])")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def folded(text: str) -> list[str]:
-    """Words of a text in plain lower-case letters; a sign counts as a letter only before another letter."""
+    """Words of a text in plain lower-case letters; signs count as letters only before a letter."""
     text = text.lower().translate(LOOKALIKES)
     text = SIGN.sub(lambda m: m[0].translate(SIGNS), text)
     return WORD.findall(text)

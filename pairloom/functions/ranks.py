@@ -15,8 +15,20 @@ from pyspark.sql import functions as F
 
 from pairloom.session import cut_lineage
 
-PREFIX_DIGITS = 3
-SLOTS = 64
+LEAST_SLOTS = 64
+
+
+def slots_of(df: DataFrame) -> int:
+    """Buckets a table is cut into: four to a shuffle partition, so that ranks are spread as widely as the session asks."""
+    return max(LEAST_SLOTS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def prefix_digits(df: DataFrame) -> int:
+    """Leading hex digits of an md5 key that give at least sixteen buckets a slot."""
+    digits = 3
+    while 16 ** digits < 16 * slots_of(df):
+        digits += 1
+    return digits
 
 
 def attach(df: DataFrame, small: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -35,13 +47,13 @@ def attach(df: DataFrame, small: DataFrame, by: Sequence[str], columns: Sequence
 
 
 def with_buckets(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), hashed: bool = False,
-                 slots: int = SLOTS) -> DataFrame:
+                 slots: int | None = None) -> DataFrame:
     """Add the order key ``_o`` and its bucket ``_b``; buckets are monotone in ``_o``."""
     keyed = df.withColumn("_o", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     if hashed:
-        return keyed.withColumn("_b", F.conv(F.substring(F.col("_o.k0"), 1, PREFIX_DIGITS), 16, 10).cast("int"))
+        return keyed.withColumn("_b", F.conv(F.substring(F.col("_o.k0"), 1, prefix_digits(df)), 16, 10).cast("int"))
     picked = (
-        keyed.groupBy(*by, F.pmod(F.xxhash64("_o"), F.lit(slots)).alias("_slot"))
+        keyed.groupBy(*by, F.pmod(F.xxhash64("_o"), F.lit(slots or slots_of(df))).alias("_slot"))
         .agg(F.min_by("_o", F.xxhash64(F.lit("splitter"), F.col("_o"))).alias("_pick"))
     )
     splitters = picked.groupBy(*by).agg(F.sort_array(F.collect_list("_pick")).alias("_splitters"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pairloom.functions.ranks import attach
 from pairloom.functions.scalars import nan_to_null
 from pairloom.operators.metrics import balanced_accuracy, binary_metrics, macro_metrics, mcc, micro_f1
 
@@ -113,16 +114,28 @@ def seed_rows_from_summary(executions: DataFrame, model_metrics: DataFrame | Non
 def seed_rank(seed_rows: DataFrame, scope: Sequence[str] = ("seed",)) -> DataFrame:
     """Competition rank by f1 inside each seed; a missing f1 has no rank.
 
-    Neighbours closer than 1e-12 share a rank: a new rank starts where the gap to the row above is larger.
+    A row shares the rank of the rank's first row, its leader, if it is within 1e-12 of it; otherwise it leads a new rank. So a chain of
+    close values doesn't drag on: 0.5, 0.5 - 0.8e-12, 0.5 - 1.6e-12 rank 1, 1, 3. The distinct f1 of a scope, one per configuration
+    at most, are walked as one sorted array.
     """
     rows = seed_rows.withColumn("f1", nan_to_null(F.col("f1")))
-    line = Window.partitionBy(*scope).orderBy(F.col("f1").desc_nulls_last(), *CONFIG)
-    gap = F.lag("f1").over(line) - F.col("f1")
-    starts = rows.withColumn("_rn", F.row_number().over(line)).withColumn(
-        "_new", F.when(gap.isNull() | (gap > RANK_TIE), F.col("_rn"))
+    values = rows.where("f1 is not null").groupBy(*scope, "f1").agg(F.count(F.lit(1)).alias("_n"))
+    listed = values.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("f1", "_n")), asc=False).alias("_line"))
+    start = F.struct(
+        F.lit(None).cast("double").alias("leader"), F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("passed"),
+        F.array().cast("array<struct<f1:double,rank:double>>").alias("out"),
     )
-    rank = F.max("_new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return starts.withColumn("rank", F.when(F.col("f1").isNotNull(), rank).cast("double")).drop("_rn", "_new")
+
+    def step(acc: Column, row: Column) -> Column:
+        same = F.coalesce(acc["leader"] - row["f1"] <= RANK_TIE, F.lit(False))
+        rank = F.when(same, acc["rank"]).otherwise(acc["passed"] + 1)
+        return F.struct(
+            F.when(same, acc["leader"]).otherwise(row["f1"]).alias("leader"), rank.alias("rank"), (acc["passed"] + row["_n"]).alias("passed"),
+            F.array_append(acc["out"], F.struct(row["f1"].alias("f1"), rank.cast("double").alias("rank"))).alias("out"),
+        )
+
+    ranks = listed.select(*scope, F.inline(F.aggregate("_line", start, step, lambda acc: acc["out"])))
+    return rows.join(ranks, [*scope, "f1"], "left").select(*rows.columns, "rank")
 
 
 def _ranking_order() -> list[Column]:
@@ -145,13 +158,10 @@ def seed_aggregate(ranked: DataFrame) -> DataFrame:
     ).orderBy(*_ranking_order())
 
 
-def expected_combos(spark_or_df, classifiers: Sequence[str], views: Sequence[str]) -> DataFrame:
-    """classifiers x enabled embeddings, both configuration lists."""
-    spark = spark_or_df if isinstance(spark_or_df, SparkSession) else spark_or_df.sparkSession
-    one = spark.range(1)
-    return one.select(F.explode(F.array(*[F.lit(c) for c in classifiers])).alias("model_type")).select(
-        "model_type", F.explode(F.array(*[F.lit(v) for v in views])).alias("embedding_name")
-    )
+def expected_combos(models: DataFrame, views: DataFrame) -> DataFrame:
+    """Every model_type of one table with every embedding_name of the other; both are configuration tables."""
+    names = views.select("embedding_name").distinct().agg(F.collect_list("embedding_name").alias("_views"))
+    return attach(models.select("model_type").distinct(), names, (), ["_views"]).select("model_type", F.explode("_views").alias("embedding_name"))
 
 
 def append_expected(aggregated: DataFrame, expected: DataFrame) -> DataFrame:
@@ -275,9 +285,9 @@ def ablation_specs(selections: Sequence[Mapping[str, Sequence[str]]], members: D
     return rows.join(small, "ablation", "full_outer")
 
 
-def benchmark_failures(spark: SparkSession, failures: Sequence[tuple[int, str, str]]) -> DataFrame:
-    """(seed, ablation, error) rows recorded by the caller's loop."""
-    return spark.createDataFrame(list(failures), "seed int, ablation string, error string")
+def benchmark_failures(runs: DataFrame, error: Column) -> DataFrame:
+    """Distinct (seed, ablation, error) of the runs for which the expression ``error`` is not null."""
+    return runs.select(F.col("seed").cast("int").alias("seed"), "ablation", error.alias("error")).where("error is not null").distinct()
 
 
 def weights_analysis(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,9 @@ def importance_permutation(fitted: Fitted, df: DataFrame, label: str = "label",
     values = base.select("_r", F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col("vec")[f].alias("_value")) for f in wanted
     ])).alias("_v")).select("_r", "_v.*")
-    swapped = shuffled.join(values, ["feature", "_r"]).select("accession", "feature", "repeat", "_value").join(rows, "accession")
+    # the swapped numbers of a row meet as one short list, so its vector is joined once and copied only while it is scored
+    drawn = shuffled.join(values, ["feature", "_r"]).groupBy("accession").agg(F.collect_list(F.struct("feature", "repeat", "_value")).alias("_s"))
+    swapped = rows.join(drawn, "accession").select("accession", label, "vec", F.inline("_s"))
     swapped = swapped.withColumn("vec", F.transform(
         "vec", lambda x, i: F.when(i == F.col("feature"), F.col("_value")).otherwise(x)
     ))

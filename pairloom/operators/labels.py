@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pairloom.functions.ranks import attach
 from pairloom.functions.scalars import split_list
 
-MAX_VALUES = 10_000
-
 
 def labels_from_file(rows: DataFrame, accession_col: str = "accession", label_col: str = "label",
                      order_col: str | None = None) -> DataFrame:
@@ -66,12 +64,9 @@ def problem_type(labels: DataFrame) -> DataFrame:
     )
 
 
-def class_list(df: DataFrame, column: str, limit: int = MAX_VALUES) -> list:
-    """Sorted distinct values on the driver, for classes, views, layers and the like; too many are an error."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values")
-    return [r[0] for r in rows]
+def class_list(df: DataFrame, column: str) -> list:
+    """Sorted distinct values on the driver, for the classes of a fit and the views of a grid."""
+    return [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
 
 
 def multilabel_binarize(df: DataFrame, column: str, classes: Sequence, out: str = "y") -> DataFrame:

@@ -37,21 +37,22 @@ def prediction_rows(samples: DataFrame, probs: DataFrame, classes: Sequence, pro
     )
 
 
-def predictions_wide(rows: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row per accession with ``pred_`` and ``missing_reason_`` columns for every expected model.
+def predictions_wide(rows: DataFrame, expected: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """One row per accession (and ``by``, such as the seed) with ``pred_`` and ``missing_reason_`` columns for every expected model.
 
-    The pivot columns are the expected models, so one aggregation does it.
+    The pivot columns are the expected models, so one aggregation does it; which models are there at all is found in one more.
     """
-    available = rows.select("model_type", "embedding_name").distinct()
+    model = F.struct(F.col("model_type").alias("m"), F.col("embedding_name").alias("v"))
+    available = rows.select(model.alias("_m")).distinct().agg(F.collect_list("_m").alias("_have"))
     out = []
     for model, view in expected:
         mine = (F.col("model_type") == model) & (F.col("embedding_name") == view)
         out.append(F.max(F.when(mine, F.col("predicted_label"))).alias(f"pred_{model}__{view}"))
-    wide = rows.groupBy("accession").agg(F.min("true_label").alias("true_label"), *out)
+    wide = attach(rows.groupBy(*by, "accession").agg(F.min("true_label").alias("true_label"), *out), available, (), ["_have"])
     for model, view in expected:
-        known = available.where((F.col("model_type") == model) & (F.col("embedding_name") == view)).exists()
+        known = F.array_contains("_have", F.struct(F.lit(model).alias("m"), F.lit(view).alias("v")))
         wide = wide.withColumn(f"missing_reason_{model}__{view}", F.when(known, "").otherwise("model_not_available"))
-    return wide.withColumn("dataset_split", F.lit("test"))
+    return wide.drop("_have").withColumn("dataset_split", F.lit("test"))
 
 
 def dataset_snapshot(samples: DataFrame) -> DataFrame:

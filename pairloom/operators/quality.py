@@ -183,8 +183,8 @@ def split_leakage_check(samples: DataFrame, all_ids: DataFrame) -> DataFrame:
 
 
 def split_csv_duplicates(split_table: DataFrame, allowed: Sequence[str], accession: str = "accession",
-                         split: str = "split", examples: int | None = 10) -> DataFrame:
-    """Accessions listed under several allowed split values; the first ten serve as examples."""
+                         split: str = "split", examples: int | None = None) -> DataFrame:
+    """Accessions listed under several allowed split values: all of them, or the first ``examples``."""
     scoped = split_table.where(F.col(split).cast("string").isin(list(allowed)) & F.col(accession).isNotNull())
     # distinct (accession, split) first: repeated rows of one accession are combined before the shuffle
     bad = (

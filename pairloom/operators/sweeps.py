@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 from collections.abc import Mapping, Sequence
@@ -56,15 +55,25 @@ def trial_params(trials: DataFrame) -> list[dict]:
     return [{k: plain(v) for k, v in r["p"].items()} for r in rows.collect()]
 
 
-def grid_trials(spark: SparkSession, grid: Mapping[str, Sequence], runs: int = 1) -> DataFrame:
-    """(combo, run, param, value) of the cartesian product, repeated ``runs`` times."""
-    names = list(grid)
-    rows = [
-        (i, run, name, str(value))
-        for i, combo in enumerate(itertools.product(*[grid[n] for n in names]))
-        for run in range(runs) for name, value in zip(names, combo)
-    ]
-    return spark.createDataFrame(rows, "combo int, run int, param string, value string")
+def grid_trials(settings: DataFrame, runs: int = 1) -> DataFrame:
+    """(combo, run, param, value) of the cartesian product of a table of settings (param, value), repeated ``runs`` times.
+
+    Parameters count in name order, the last one fastest, and values in text order; a combination is a number whose digits are
+    the places of its values, so the product is spread over tasks and only the number of values per parameter comes to the driver.
+    """
+    lists = settings.select("param", F.col("value").cast("string").alias("value")).where("value is not null").groupBy("param").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    sizes = {r["param"]: r["n"] for r in lists.select("param", F.size("values").alias("n")).orderBy("param").collect()}
+    names, strides, total = list(sizes), {}, 1
+    for name in reversed(names):
+        strides[name] = total
+        total *= sizes[name]
+    spark = settings.sparkSession
+    if not names:
+        return spark.createDataFrame([], "combo long, run long, param string, value string")
+    combos = spark.range(total).withColumnRenamed("id", "combo").select("combo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))).alias("run"), F.posexplode(F.array(*map(F.lit, names))).alias("_i", "param"))
+    stride, size = (F.get(F.array(*(F.lit(d[n]).cast("long") for n in names)), F.col("_i")) for d in (strides, sizes))
+    placed = combos.withColumn("_at", (F.floor(F.col("combo") / stride) % size).cast("int"))
+    return placed.join(lists, "param").select("combo", "run", "param", F.get("values", F.col("_at")).alias("value"))
 
 
 def _first_best(rows: DataFrame, key: str, score: Column, order_col: str) -> DataFrame:

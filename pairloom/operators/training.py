@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
@@ -18,18 +19,37 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from pairloom.functions.ranks import attach
-from pairloom.functions.scalars import argmax_index, spread
-from pairloom.operators.labels import class_list
-from pairloom.operators.metrics import binary_metrics, macro_metrics, metrics_clean, ranking_metrics
+from pairloom.functions.scalars import spread
+from pairloom.operators.ensembles import decide, decision
+from pairloom.operators.labels import class_list, multilabel_binarize
+from pairloom.operators.metrics import binary_metrics, macro_metrics, metrics_clean, multilabel_metrics, ranking_metrics, weighted_metrics
+from pairloom.operators.neighbours import train_knn
 from pairloom.operators.sweeps import sweep_trials, trial_params
 from pairloom.operators.vectors import l2_normalize, standard_scale
 
 # Settings of the original parameter names and the Spark ML parameters that stand for them.
-LR_PARAMS = {"max_iter": "maxIter", "tol": "tol"}
-RF_PARAMS = {"n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode"}
-GBT_PARAMS = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate"}
+LR_PARAMS = {"max_iter": "maxIter", "tol": "tol", "fit_intercept": "fitIntercept"}
+RF_PARAMS = {
+    "n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf": "minInstancesPerNode", "criterion": "impurity",
+    "max_features": "featureSubsetStrategy", "max_samples": "subsamplingRate", "bootstrap": "bootstrap",
+}
+GBT_PARAMS = {
+    "n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate",
+    "min_child_weight": "minInstancesPerNode", "colsample_bytree": "featureSubsetStrategy",
+}
+# What the estimators start from where a setting isn't given; trees of any depth are trees of Spark's largest depth.
+DEFAULTS = {"RF": {"numTrees": 100, "maxDepth": 30}, "GBT": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}}
+OTHER_PARAMS = {
+    "LR": {"C", "penalty", "l1_ratio", "class_weight"}, "SVM": {"C", "class_weight", "kernel"}, "RF": {"class_weight"}, "GBT": set(),
+    "MLP": {"epochs", "hidden_layers_mode", "custom_hidden_layers", "num_hidden_layers"}, "KNN": {"n_neighbors", "weights", "metric", "p"},
+}
+# Settings that may stand in a group of their own, and those that say how a fit runs, not what it gives.
+GROUPS = {"SVM": "kernel_config", "RF": "bootstrap_config", "KNN": "p_metric", "MLP": "custom_layer_config"}
+RUNTIME = {"n_jobs", "random_state", "seed", "verbose", "solver", "device", "tree_method", "probability", "eval_metric", "algorithm", "leaf_size"}
+CALIBRATION_FOLDS = 3
 
 
 @dataclass
@@ -38,12 +58,22 @@ class Fitted:
 
     model_type: str
     classes: list
-    model: Model
+    model: Model | Neighbours
     platt: Model | None = None
     view: str | None = None
     params: dict = field(default_factory=dict)
 
 
+@dataclass
+class Neighbours:
+    """What a k-nearest-neighbour classifier keeps: its training rows and how they vote."""
+
+    rows: DataFrame
+    k: int
+    metric: str
+    weights: str
+
+
 def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: n / (classes * count of the class)."""
     counts = samples.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
@@ -52,8 +82,34 @@ def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:
     return counts.select("label", (total["n"] / (total["k"] * F.col("n"))).alias("weight"))
 
 
+def flat_params(kind: str, params: Mapping | None) -> dict:
+    """Settings with their group spread out; a setting that a model type can't take is an error, not dropped."""
+    flat = dict(params or {})
+    group = flat.pop(GROUPS.get(kind, ""), None)
+    flat.update(group or {})
+    names = {"LR": LR_PARAMS, "SVM": LR_PARAMS, "RF": RF_PARAMS, "GBT": GBT_PARAMS}.get(kind, {})
+    unknown = {k for k, v in flat.items() if v is not None} - set(names) - OTHER_PARAMS[kind] - RUNTIME
+    if unknown:
+        raise ValueError(f"{kind} can't take {sorted(unknown)}")
+    if flat.get("class_weight") not in (None, "balanced"):
+        raise ValueError(f"class_weight {flat['class_weight']!r} is not supported")
+    if kind == "SVM" and flat.get("kernel", "linear") != "linear":
+        raise ValueError("only linear kernels are supported")
+    return flat
+
+
+def _value(name: str, value):
+    if name == "impurity":
+        return {"log_loss": "entropy"}.get(value, value)
+    if name == "featureSubsetStrategy":
+        return {"sqrt": "sqrt", "log2": "log2", "auto": "auto"}.get(value, "all" if value in (None, 1.0) else str(value))
+    if name == "minInstancesPerNode":
+        return max(1, int(-(-value // 1)))
+    return value
+
+
 def _mapped(params: Mapping, names: Mapping[str, str]) -> dict:
-    return {names[k]: v for k, v in params.items() if k in names and v is not None}
+    return {names[k]: _value(names[k], v) for k, v in params.items() if k in names and v is not None}
 
 
 def hidden_layers(params: Mapping, input_size: int) -> list[int]:
@@ -71,51 +127,62 @@ def _ready(features: DataFrame, classes: Sequence, label: str) -> DataFrame:
     )
 
 
+def kind_of(model_type: str) -> str:
+    kind = model_type.upper()
+    return {"XGB": "GBT", "KNN-2": "KNN"}.get(kind, kind)
+
+
 def train_model(features: DataFrame, model_type: str, params: Mapping | None = None, label: str = "label",
                 classes: Sequence | None = None, seed: int = 42) -> Fitted:
-    """Fit one classifier on one view; ``features`` has ``vec`` and the label column."""
-    params = dict(params or {})
-    kind = model_type.upper()
+    """Fit one classifier on one view; ``features`` has ``vec`` and the label column.
+
+    The penalty of LR and SVM is that of C (1 unless given) over the summed loss: 1 / (C n) on the mean loss, on the features as they
+    are. The margin of a binary SVM becomes a probability by a logistic curve fitted on margins of rows its machine has not seen.
+    """
+    kind = kind_of(model_type)
+    if kind not in OTHER_PARAMS:
+        raise ValueError(f"unsupported model type: {model_type}")
+    params = flat_params(kind, params)
     classes = list(classes) if classes is not None else class_list(features, label)
+    if kind == "KNN":
+        metric = {1: "manhattan", 2: "euclidean"}.get(params.get("p", 2)) if params.get("metric", "minkowski") == "minkowski" else params["metric"]
+        if metric is None:
+            raise ValueError(f"unsupported distance: p = {params['p']}")
+        rows = features.select("accession", F.col(label).cast("string").alias("label"), "vec")
+        return Fitted(model_type.upper(), classes, Neighbours(rows, int(params.get("n_neighbors", 5)), metric, params.get("weights", "uniform")), params=params)
     train = _ready(features, classes, label)
     common = {"featuresCol": "_features", "labelCol": "_label"}
-    balanced = params.get("class_weight") == "balanced"
-    if balanced:
+    if params.get("class_weight") == "balanced":
         train = attach(train, class_weights(features, label).select(F.col("label").alias(label), F.col("weight").alias("_w")), [label], ["_w"])
         common["weightCol"] = "_w"
     platt = None
+    each = {"featuresCol": "_features", "labelCol": "_label", "rawPredictionCol": "rawPrediction"}
+    if kind in ("LR", "SVM"):
+        settings = {"regParam": 1.0 / (float(params.get("C") or 1.0) * max(1, features.count())), "standardization": False, **_mapped(params, LR_PARAMS)}
     if kind == "LR":
-        settings = _mapped(params, LR_PARAMS)
-        if "C" in params:
-            n = features.count()
-            settings["regParam"] = 1.0 / (float(params["C"]) * max(1, n))
-        settings["elasticNetParam"] = {"l1": 1.0, "elasticnet": float(params.get("l1_ratio") or 0.5)}.get(params.get("penalty"), 0.0)
-        model = LogisticRegression(**common, **settings).fit(train)
+        mix = {"l1": 1.0, "elasticnet": float(params.get("l1_ratio") or 0.5)}.get(params.get("penalty"), 0.0)
+        model = LogisticRegression(**common, **settings, elasticNetParam=mix).fit(train)
     elif kind == "RF":
-        model = RandomForestClassifier(seed=seed, **common, **_mapped(params, RF_PARAMS)).fit(train)
-    elif kind in ("XGB", "GBT"):
-        booster = GBTClassifier(seed=seed, featuresCol="_features", labelCol="_label", **_mapped(params, GBT_PARAMS))
-        if len(classes) == 2:
-            model = booster.fit(train)
-        else:
-            model = OneVsRest(classifier=booster, featuresCol="_features", labelCol="_label", rawPredictionCol="rawPrediction").fit(train)
+        model = RandomForestClassifier(seed=seed, **common, **{**DEFAULTS["RF"], **_mapped(params, RF_PARAMS)}).fit(train)
+    elif kind == "GBT":
+        booster = GBTClassifier(seed=seed, featuresCol="_features", labelCol="_label", **{**DEFAULTS["GBT"], **_mapped(params, GBT_PARAMS)})
+        model = booster.fit(train) if len(classes) == 2 else OneVsRest(classifier=booster, **each).fit(train)
     elif kind == "SVM":
-        machine = LinearSVC(**common, **_mapped(params, LR_PARAMS), **({"regParam": 1.0 / float(params["C"]) / max(1, features.count())} if "C" in params else {}))
+        machine = LinearSVC(**common, **settings)
         if len(classes) == 2:
             model = machine.fit(train)
-            margin = _margin(model.transform(train.drop("_w") if not balanced else train))
-            platt = LogisticRegression(featuresCol="_margin", labelCol="_label").fit(margin)
+            folded = train.withColumn("_fold", F.pmod(F.xxhash64("vec"), F.lit(CALIBRATION_FOLDS)))
+            parts = [_margin(machine.fit(folded.where(F.col("_fold") != i)).transform(folded.where(F.col("_fold") == i))) for i in range(CALIBRATION_FOLDS)]
+            platt = LogisticRegression(**{**common, "featuresCol": "_margin"}).fit(reduce(DataFrame.unionByName, parts))
         else:
-            model = OneVsRest(classifier=machine, featuresCol="_features", labelCol="_label", rawPredictionCol="rawPrediction").fit(train)
-    elif kind == "MLP":
+            model = OneVsRest(classifier=machine, **each).fit(train)
+    else:
         width = train.select(F.size("vec").alias("w")).first()["w"]
         layers = [width, *hidden_layers(params, width), max(2, len(classes))]
         model = MultilayerPerceptronClassifier(
             layers=layers, seed=seed, featuresCol="_features", labelCol="_label", maxIter=int(params.get("epochs", 100))
         ).fit(train)
-    else:
-        raise ValueError(f"unsupported model type: {model_type}")
-    return Fitted(kind, classes, model, platt, params=params)
+    return Fitted(model_type.upper(), classes, model, platt, params=params)
 
 
 def train_lr(features: DataFrame, params: Mapping | None = None, label: str = "label") -> Fitted:
@@ -170,7 +237,9 @@ def _softmax(raw: Column) -> Column:
 
 
 def batch_predict_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
-    """``df`` plus ``probs``; a stateless transform, so it also applies to a streaming DataFrame."""
+    """``df`` plus ``probs``; a stateless transform, so it also applies to a streaming DataFrame (but for neighbours)."""
+    if isinstance(fitted.model, Neighbours):
+        return _neighbour_proba(fitted, df)
     ready = df.withColumn("_features", array_to_vector(F.col("vec").cast("array<double>")))
     scored = fitted.model.transform(ready)
     if fitted.platt is not None:
@@ -182,12 +251,21 @@ def batch_predict_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
     return scored.select(*df.columns, probs.alias("probs"))
 
 
-def batch_predict(fitted: Fitted, df: DataFrame) -> DataFrame:
-    """``df`` plus ``probs`` and the predicted class."""
+def _neighbour_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
+    """Vote shares of the k nearest training rows; ``df`` needs an accession."""
+    own = fitted.model
+    votes = train_knn(own.rows, df.select("accession", "vec").dropDuplicates(["accession"]), own.k, own.metric, own.weights)
+    shares = votes.groupBy("accession").agg(F.map_from_entries(F.collect_list(F.struct("label", "prob"))).alias("_votes"))
+    probs = F.array(*[F.coalesce(F.try_element_at("_votes", F.lit(str(c))), F.lit(0.0)) for c in fitted.classes])
+    joined = df.withColumn("_accession", F.col("accession").cast("string")).join(shares.withColumnRenamed("accession", "_accession"), "_accession", "left")
+    return joined.withColumn("probs", probs).select(*df.columns, "probs")
+
+
+def batch_predict(fitted: Fitted, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``df`` plus ``probs`` and the predicted class: of two classes the second from ``threshold`` on, else the likeliest."""
     names = F.array(*[F.lit(c) for c in fitted.classes])
-    return batch_predict_proba(fitted, df).withColumn(
-        "predicted_label", F.element_at(names, argmax_index(F.col("probs")) + 1)
-    )
+    kind = "binary" if len(fitted.classes) == 2 else "multiclass"
+    return batch_predict_proba(fitted, df).withColumn("predicted_label", F.element_at(names, decision(F.col("probs"), kind, F.lit(float(threshold))) + 1))
 
 
 def normalize(features: DataFrame, mode: str = "none") -> DataFrame:
@@ -200,75 +278,113 @@ def normalize(features: DataFrame, mode: str = "none") -> DataFrame:
     raise ValueError(f"unknown normalization: {mode}")
 
 
-def view_metrics(scored: DataFrame, classes: Sequence, label: str = "label") -> DataFrame:
-    """Tall metrics per split: binary with areas, or macro."""
+def view_metrics(scored: DataFrame, classes: Sequence, label: str = "label", average: str = "macro") -> DataFrame:
+    """Tall metrics per split: binary with areas, or averaged over classes (macro or weighted by support)."""
+    if average not in ("macro", "weighted"):
+        raise ValueError(f"unknown average: {average}")
     if len(classes) == 2:
         wide = binary_metrics(scored, ["split"], label, "predicted_label", pos_label=classes[-1]).join(
             ranking_metrics(scored.withColumn("_s", F.col("probs")[1]), ["split"], label, "_s", classes[-1]), ["split"], "left"
         )
         names = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "TP", "TN", "FP", "FN"]
     else:
-        wide = macro_metrics(scored, ["split"], label, "predicted_label")
+        wide = (macro_metrics if average == "macro" else weighted_metrics)(scored, ["split"], label, "predicted_label")
         names = ["accuracy", "precision", "recall", "f1"]
     return metrics_clean(wide, ["split"], names, prefix="")
 
 
+def multilabel_view_metrics(models: Mapping, rows: DataFrame, label: str, threshold: float) -> DataFrame:
+    """Tall metrics per split of one model per class."""
+    scored = decide(predict_multilabel(models, rows), "multilabel", threshold)
+    wide = multilabel_metrics(multilabel_binarize(scored, label, list(models), "_y"), ["split"], "_y", "pred")
+    return metrics_clean(wide, ["split"], ["precision", "recall", "f1", "micro_f1"], prefix="")
+
+
+def _held(df: DataFrame) -> tuple[DataFrame, bool]:
+    """The frame cached, and whether it was cached here, so that it is ours to drop."""
+    return (df, False) if df.is_cached else (df.persist(), True)
+
+
+def _threshold(thresholds: Mapping[str, float] | None, kind: str, view: str) -> float:
+    """Of ``model::view``, then of the model, then of ``default``, then one half."""
+    given = thresholds or {}
+    return float(next((given[k] for k in (f"{kind}::{view}", kind, "default") if k in given), 0.5))
+
+
+RESULT = "model_type string, view string, split string, metric string, value double"
+
+
+def _fit_and_score(train: DataFrame, scored: DataFrame, kind: str, view: str, params: Mapping | None, label: str, classes: Sequence, seed: int,
+                   threshold: float, average: str):
+    """(models, tall rows) of one cell of the grid; array labels get one model per class."""
+    if isinstance(train.schema[label].dataType, ArrayType):
+        fitted = one_vs_rest(train, kind, classes, params, label)
+        for part in fitted.values():
+            part.view = view
+        rows = multilabel_view_metrics(fitted, scored, label, threshold)
+    else:
+        fitted = train_model(train, kind, params, label, classes, seed)
+        fitted.view = view
+        rows = view_metrics(batch_predict(fitted, scored, threshold), classes, label, average)
+    return fitted, [(kind, view, r["split"], r["metric"], r["value"]) for r in rows.collect()]
+
+
+def _classes(df: DataFrame, label: str) -> list:
+    many = isinstance(df.schema[label].dataType, ArrayType)
+    return class_list(df.select(F.explode(label).alias(label)) if many else df, label)
+
+
 def train_matrix(features: DataFrame, model_types: Sequence[str], params: Mapping[str, Mapping] | None = None,
                  label: str = "label", normalization: str = "none", evaluate_test: bool = False,
                  views: Iterable[str] | None = None, parallelism: int = 4, seed: int = 42,
-                 fit_splits: Sequence[str] = ("train",)) -> tuple[DataFrame, dict[tuple[str, str], Fitted]]:
+                 fit_splits: Sequence[str] = ("train",), thresholds: Mapping[str, float] | None = None,
+                 metrics_average: str = "macro") -> tuple[DataFrame, dict[tuple[str, str], Fitted | dict]]:
     """Every model type on every view: tall (model_type, view, split, metric, value) rows and the models.
 
-    Fits are independent Spark jobs, submitted by a small thread pool.
+    Fits are independent Spark jobs, submitted by a small thread pool. A label column of arrays makes every cell multilabel: one
+    binary model per class. ``thresholds`` decide binary and multilabel classes, by ``model::view``, model or ``default``.
     """
     params = params or {}
-    ready = normalize(features, normalization).persist()
+    ready, ours = _held(normalize(features, normalization))
     views = sorted(views) if views is not None else class_list(ready, "view")
-    classes = class_list(ready, label)
+    classes = _classes(ready, label)
     score_splits = ["val", "validation"] + (["test"] if evaluate_test else [])
 
     def one(job: tuple[str, str]):
         kind, view = job
         mine = ready.where(F.col("view") == view)
-        fitted = train_model(mine.where(F.col("split").isin(list(fit_splits))), kind, params.get(kind), label, classes, seed)
-        fitted.view = view
-        scored = batch_predict(fitted, mine.where(F.col("split").isin(score_splits)))
-        rows = view_metrics(scored, classes, label).collect()
-        return job, fitted, [(kind, view, r["split"], r["metric"], r["value"]) for r in rows]
+        train, scored = mine.where(F.col("split").isin(list(fit_splits))), mine.where(F.col("split").isin(score_splits))
+        return job, *_fit_and_score(train, scored, kind, view, params.get(kind), label, classes, seed, _threshold(thresholds, kind, view), metrics_average)
 
     jobs = [(kind, view) for kind in model_types for view in views]
     with ThreadPool(parallelism) as pool:
         done = pool.map(one, jobs)
-    ready.unpersist()
-    rows = [row for _, _, part in done for row in part]
-    table = features.sparkSession.createDataFrame(
-        rows, "model_type string, view string, split string, metric string, value double"
-    )
+    if ours:
+        ready.unpersist()
+    table = features.sparkSession.createDataFrame([row for _, _, part in done for row in part], RESULT)
     return table, {job: fitted for job, fitted, _ in done}
 
 
 def final_retrain(features: DataFrame, best: Mapping[str, tuple[str, Mapping]], label: str = "label",
-                  normalization: str = "none", seed: int = 42) -> tuple[DataFrame, dict[str, Fitted]]:
+                  normalization: str = "none", seed: int = 42, thresholds: Mapping[str, float] | None = None,
+                  metrics_average: str = "macro") -> tuple[DataFrame, dict[str, Fitted | dict]]:
     """Refit each view's best configuration on train plus val and score test.
 
     Scores on the refitted rows are reported as split ``refit_train_val``, not as validation.
     """
-    ready = normalize(features, normalization)
-    classes = class_list(ready, label)
+    ready, ours = _held(normalize(features, normalization))
+    classes = _classes(ready, label)
     rows, models = [], {}
     for view, (kind, params) in best.items():
         mine = ready.where(F.col("view") == view)
         fit_rows = mine.where(F.col("split").isin("train", "val", "validation"))
-        fitted = train_model(fit_rows, kind, params, label, classes, seed)
-        fitted.view = view
-        models[view] = fitted
         named = F.when(F.col("split") == "test", "test").otherwise("refit_train_val")
-        scored = batch_predict(fitted, mine.where("split <> 'zero_shot'").withColumn("split", named))
-        rows += [(kind, view, r["split"], r["metric"], r["value"]) for r in view_metrics(scored, classes, label).collect()]
-    table = features.sparkSession.createDataFrame(
-        rows, "model_type string, view string, split string, metric string, value double"
-    )
-    return table, models
+        scored = mine.where("split <> 'zero_shot'").withColumn("split", named)
+        models[view], part = _fit_and_score(fit_rows, scored, kind, view, params, label, classes, seed, _threshold(thresholds, kind, view), metrics_average)
+        rows += part
+    if ours:
+        ready.unpersist()
+    return features.sparkSession.createDataFrame(rows, RESULT), models
 
 
 def sweep_run(features: DataFrame, model_type: str, space: Mapping[str, Mapping], n_trials: int, metric: str = "f1",
@@ -277,7 +393,7 @@ def sweep_run(features: DataFrame, model_type: str, space: Mapping[str, Mapping]
     """(trial, model_type, view, metric, value, config) rows and the best finite trial; the first wins a tie."""
     spark = features.sparkSession
     settings = trial_params(sweep_trials(spark, space, n_trials, seed))
-    ready = normalize(features, normalization).persist()
+    ready, ours = _held(normalize(features, normalization))
     rows = []
     best = None
     for trial, params in enumerate(settings):
@@ -288,6 +404,7 @@ def sweep_run(features: DataFrame, model_type: str, space: Mapping[str, Mapping]
                 gain = r["value"] if goal == "maximize" else -r["value"]
                 if best is None or gain > best["gain"]:
                     best = {"gain": gain, "trial": trial, "view": r["view"], "value": r["value"], "params": params}
-    ready.unpersist()
+    if ours:
+        ready.unpersist()
     out = spark.createDataFrame(rows, "trial int, model_type string, view string, metric string, value double, config string")
     return out, best or {}

@@ -32,7 +32,7 @@ class VariantPolicy:
     min_pool_size: int = 5
     scarcity_mode: str = "drop_target"
     selection: str = "sample_without_replacement"
-    order: str = "hash"
+    order: str = "source"
     policy_id: str = "policy"
     variant_count: int = 25
 
@@ -109,11 +109,11 @@ def _pairs(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFr
     return pool.join(targets, "target_id").withColumn("_pref", F.struct(first.alias("p"), "candidate_id"))
 
 
-def _fixpoint(pool: DataFrame, targets: DataFrame, policy: VariantPolicy, max_rounds: int) -> DataFrame:
+def _fixpoint(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFrame:
     picks = cut_lineage(_answer(_pairs(pool, targets, policy), None, policy), "picks")
     key, own = ["variant_id", "candidate_id"], ["variant_id", "target_id"]
     before = None
-    for _ in range(max_rounds):
+    while True:  # every round settles at least the next target in order, so the loop ends
         holders = _holders(picks)
         if before is None:
             moved = holders.select(*key, F.col("_holder").alias("_from"), F.lit(None).cast(holders.schema["_holder"].dataType).alias("_to"))
@@ -134,11 +134,9 @@ def _fixpoint(pool: DataFrame, targets: DataFrame, policy: VariantPolicy, max_ro
         again = _answer(_pairs(pool, targets.join(touched, own, "left_semi"), policy), holders, policy)
         kept = picks.join(touched, own, "left_anti").select(*again.columns)
         before, picks = picks, cut_lineage(kept.unionByName(again), "picks")
-    raise RuntimeError(f"variant assignment did not settle in {max_rounds} rounds; raise max_rounds")
 
 
-def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[str, Column, int]],
-              max_rounds: int) -> tuple[DataFrame, DataFrame]:
+def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[str, Column, int]]) -> tuple[DataFrame, DataFrame]:
     widest = replace(policy, ratio=f"1:{max(n for _, _, n in specs)}")
     kept, short = scarcity_pool(universe, policy.min_pool_size, policy.scarcity_mode)
     targets = kept.select("*", _variant_rows(specs)).select("*", "_v.*").drop("_v")
@@ -154,7 +152,7 @@ def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[
         as_pairs(universe).groupBy("target_id", "candidate_id").agg(F.min("pos").alias("pos")), "pool"
     )
 
-    picks = _fixpoint(pool, targets, widest, max_rounds)
+    picks = _fixpoint(pool, targets, widest)
     negatives = picks.select(
         "variant_id", "target_id", F.col("candidate_id").alias("protein_id"), F.lit("negative").alias("role"), "draw"
     )
@@ -178,30 +176,28 @@ def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[
 
 
 def variant_generate(universe: DataFrame, policy: VariantPolicy = VariantPolicy(), seed: int = 42,
-                     variant_id: str | None = None, max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+                     variant_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(assignments, scarcity events) of one variant."""
     variant_id = variant_id or f"variant_{seed:06d}"
-    return _generate(universe, policy, [(variant_id, F.lit(seed), policy.negatives)], max_rounds)
+    return _generate(universe, policy, [(variant_id, F.lit(seed), policy.negatives)])
 
 
-def variants_multi(universe: DataFrame, policy: VariantPolicy = VariantPolicy(), n: int | None = None,
-                   max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def variants_multi(universe: DataFrame, policy: VariantPolicy = VariantPolicy(), n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """All variants of a policy in one fixpoint; ``variant_id`` is a grouping key."""
     n = policy.variant_count if n is None else n
     specs = [
         (f"{policy.policy_id}_variant_{i:04d}", variant_seed(policy.policy_id, i), policy.negatives) for i in range(n)
     ]
-    return _generate(universe, policy, specs, max_rounds)
+    return _generate(universe, policy, specs)
 
 
 def variants_ratio_families(universe: DataFrame, policy: VariantPolicy = VariantPolicy(),
-                            ratios: Sequence[str] = ("1:1", "1:3", "1:5"), seed: int = 42,
-                            max_rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+                            ratios: Sequence[str] = ("1:1", "1:3", "1:5"), seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """One variant per ratio, all from the same seed."""
     specs = [
         (f"{policy.policy_id}_ratio_{r.replace(':', '_')}", F.lit(seed), replace(policy, ratio=r).negatives) for r in ratios
     ]
-    return _generate(universe, policy, specs, max_rounds)
+    return _generate(universe, policy, specs)
 
 
 def variant_manifest(assignments: DataFrame, events: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.ranks import attach
 from pairloom.functions.scalars import l2_unit, normalize_name
-from pairloom.operators.labels import class_list
 
 Strategy = Callable[[DataFrame], DataFrame]
 
@@ -48,14 +47,12 @@ def layers_mean_max(layers: DataFrame) -> DataFrame:
 def layers_concat(layers: DataFrame) -> DataFrame:
     """Concatenation in ascending layer order, over the layers an accession has.
 
-    One aggregate per layer number (a short list), so rows are combined map-side and shuffled once.
+    The layers of one accession, a short list, meet in one hash aggregate and are sorted there; of repeated layers the larger vector counts.
     """
-    numbers = class_list(layers, "layer_index")
-    parts = layers.groupBy(F.col("model").alias("view"), "accession").agg(*[
-        F.max(F.when(F.col("layer_index") == n, F.col("vec").cast("array<double>"))).alias(f"_l{i}") for i, n in enumerate(numbers)
-    ])
-    held = F.array_compact(F.array(*[F.col(f"_l{i}") for i in range(len(numbers))]))
-    return parts.select("view", "accession", F.flatten(held).alias("vec"))
+    layer = F.struct(F.col("layer_index").alias("i"), F.col("vec").cast("array<double>").alias("v"))
+    held = layers.where("layer_index is not null and vec is not null").groupBy(F.col("model").alias("view"), "accession").agg(F.sort_array(F.collect_list(layer)).alias("_l"))
+    last = F.filter("_l", lambda x, i: F.coalesce(F.get("_l", i + 1)["i"] != x["i"], F.lit(True)))
+    return held.select("view", "accession", F.flatten(F.transform(last, lambda x: x["v"])).alias("vec"))
 
 
 def layers_none(layers: DataFrame) -> DataFrame:
@@ -95,14 +92,15 @@ def go_concat(ontology_vectors: DataFrame, accessions: DataFrame, order_col: str
 
     Of repeated (ontology, accession) rows the last by ``order_col`` counts.
     """
-    names = class_list(ontology_vectors, "ontology")
-    width = {r["ontology"]: r["dim"] for r in ontology_vectors.groupBy("ontology").agg(F.max(F.size("vec")).alias("dim")).collect()}
+    width = {r["ontology"]: r["dim"] for r in ontology_vectors.groupBy("ontology").agg(F.max(F.size("vec")).alias("dim")).orderBy("ontology").collect()}
     wanted = ontology_vectors.join(accessions.select("accession"), "accession", "left_semi")
     order = F.col(order_col) if order_col else F.lit(0)
-    have = wanted.groupBy("accession").agg(*[
-        F.max_by(F.col("vec").cast("array<double>"), F.when(F.col("ontology") == o, order)).alias(f"_o{i}") for i, o in enumerate(names)
-    ])
-    parts = [F.coalesce(f"_o{i}", F.array_repeat(F.lit(0.0), width[o])) for i, o in enumerate(names)]
+    have = wanted.groupBy("accession").agg(F.collect_list(F.struct("ontology", order.alias("o"), F.col("vec").cast("array<double>").alias("v"))).alias("_l"))
+
+    def part(name: str) -> Column:
+        return F.coalesce(F.array_max(F.filter("_l", lambda x: x["ontology"] == F.lit(name)))["v"], F.array_repeat(F.lit(0.0), width[name]))
+
+    parts = [part(name) for name in width]
     return accessions.select("accession").distinct().join(have, "accession", "left").select("accession", F.concat(*parts).alias("vec"))
 
 

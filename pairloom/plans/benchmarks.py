@@ -10,7 +10,6 @@ from pairloom.operators.metrics import binary_metrics, binary_metrics_by_model
 from pairloom.operators.splits import split_random
 from pairloom.operators.vectors import l2_normalize
 from pairloom.functions.hashing import unit
-from pairloom.functions.scalars import norm2
 from pairloom.plans import query
 from pairloom.plans.fixtures import (
     BINARY_ROUNDED, ENSEMBLE_PREDS, ENSEMBLE_ROWS, MODELS, PREDS, SEED_ROWS, VIEWS, binary_sql, ensemble_preds, ensemble_rows,
@@ -31,7 +30,13 @@ _FLAGSHIP = f"""
     WHERE split = 'test'),
   seed_rows AS (SELECT *, 'single' AS strategy FROM ({binary_sql("seed, model_type, embedding_name", "scored")}))"""
 
-_RANKED = "ranked AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY round(f1, 11) DESC)::DOUBLE AS \"rank\" FROM seed_rows)"
+# places follow the leader of a rank, which only a walk over the ordered values can tell
+_RANKED = """listed AS (SELECT seed, f1, count(*) AS n, row_number() OVER (PARTITION BY seed ORDER BY f1 DESC) AS k,
+    sum(count(*)) OVER (PARTITION BY seed ORDER BY f1 DESC) - count(*) + 1 AS here FROM seed_rows WHERE f1 IS NOT NULL GROUP BY seed, f1),
+  walk AS (SELECT seed, k, f1, f1 AS leader, 1::DOUBLE AS place FROM listed WHERE k = 1
+    UNION ALL SELECT l.seed, l.k, l.f1, CASE WHEN w.leader - l.f1 <= 1e-12::DOUBLE THEN w.leader ELSE l.f1 END, CASE WHEN w.leader - l.f1 <= 1e-12::DOUBLE THEN w.place ELSE l.here::DOUBLE END
+    FROM walk w JOIN listed l ON l.seed = w.seed AND l.k = w.k + 1),
+  ranked AS (SELECT s.*, w.place AS "rank" FROM seed_rows s LEFT JOIN walk w ON w.seed = s.seed AND w.f1 = s.f1)"""
 _AGGREGATED = """aggregated AS (SELECT model_type, embedding_name, strategy, avg(accuracy) AS mean_accuracy, stddev_pop(accuracy) AS std_accuracy,
     avg("precision") AS mean_precision, stddev_pop("precision") AS std_precision, avg(recall) AS mean_recall, stddev_pop(recall) AS std_recall,
     avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1, avg(TP) AS "TP_mean", avg(TN) AS "TN_mean", avg(FP) AS "FP_mean", avg(FN) AS "FN_mean",
@@ -41,12 +46,12 @@ _METRIC_COLUMNS = ["mean_accuracy", "std_accuracy", "mean_precision", "std_preci
 _ROUND_AGG = "model_type, embedding_name, strategy, num_seeds, " + ", ".join(f'round("{c}", 6) AS "{c}"' for c in _METRIC_COLUMNS)
 
 
-@query("flagship_ranking", f"WITH {_FLAGSHIP}, {_RANKED}, {_AGGREGATED} SELECT {_ROUND_AGG} FROM aggregated")
+@query("flagship_ranking", f"WITH RECURSIVE {_FLAGSHIP}, {_RANKED}, {_AGGREGATED} SELECT {_ROUND_AGG} FROM aggregated")
 def _flagship(spark: SparkSession, sf: str) -> DataFrame:
     ids = table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("accession"), (F.col("label") % 2).cast("long").alias("true_label"), F.col("embedding").alias("vec")
     )
-    unit_rows = l2_normalize(split_random(ids).where("split = 'test'")).where(norm2(F.col("vec")) > 0)
+    unit_rows = l2_normalize(split_random(ids).where("split = 'test'"))
     spread = F.explode(F.array(*[
         F.struct(F.lit(m).alias("model_type"), F.lit(w).alias("w"), F.lit(v).alias("embedding_name"), F.lit(s).alias("seed"))
         for m, w in MODELS for v in VIEWS for s in (42, 43, 44)
@@ -58,29 +63,41 @@ def _flagship(spark: SparkSession, sf: str) -> DataFrame:
     return r6(be.seed_aggregate(be.seed_rank(metrics.withColumn("strategy", F.lit("single")))))
 
 
-@query("seed_rank", f"WITH {SEED_ROWS}, {_RANKED} SELECT seed, model_type, embedding_name, round(f1, 6) AS f1, \"rank\" FROM ranked")
+@query("seed_rank", f"WITH RECURSIVE {SEED_ROWS}, {_RANKED} SELECT seed, model_type, embedding_name, round(f1, 6) AS f1, \"rank\" FROM ranked")
 def _rank(spark: SparkSession, sf: str) -> DataFrame:
     return r6(be.seed_rank(seed_rows(spark, sf)).select("seed", "model_type", "embedding_name", "f1", "rank"))
 
 
-@query("seed_aggregate", f"WITH {SEED_ROWS}, {_RANKED}, {_AGGREGATED} SELECT {_ROUND_AGG} FROM aggregated")
+_CHAIN = """seed_rows AS (SELECT (p_size % 5)::BIGINT AS seed, p_partkey::VARCHAR AS model_type, p_brand AS embedding_name, 'single' AS strategy,
+    0.9::DOUBLE - (p_partkey % 50)::DOUBLE * 0.8e-12::DOUBLE AS f1 FROM part)"""
+
+
+@query("seed_rank_chain", f"WITH RECURSIVE {_CHAIN}, {_RANKED} SELECT seed, model_type, \"rank\" FROM ranked")
+def _rank_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Values in steps of less than the tie width, so that ranks by the row above would all be one."""
+    rows = table(spark, sf, "part").select(
+        (F.col("p_size") % 5).cast("long").alias("seed"), F.col("p_partkey").cast("string").alias("model_type"), F.col("p_brand").alias("embedding_name"),
+        F.lit("single").alias("strategy"), (F.lit(0.9) - (F.col("p_partkey") % 50).cast("double") * F.lit(0.8e-12)).alias("f1"))
+    return be.seed_rank(rows).select("seed", "model_type", "rank")
+
+
+@query("seed_aggregate", f"WITH RECURSIVE {SEED_ROWS}, {_RANKED}, {_AGGREGATED} SELECT {_ROUND_AGG} FROM aggregated")
 def _aggregate(spark: SparkSession, sf: str) -> DataFrame:
     return r6(be.seed_aggregate(be.seed_rank(seed_rows(spark, sf))))
 
 
-@query("expected_combos", """SELECT m AS model_type, v AS embedding_name, count(*) AS n_vectors FROM embeddings, (VALUES ('LR'), ('RF')) a(m), (VALUES ('V1'), ('V2'), ('V3')) b(v) GROUP BY m, v""")
+@query("expected_combos", """SELECT DISTINCT a.p_type AS model_type, b.p_brand AS embedding_name FROM part a, (SELECT DISTINCT p_brand FROM part WHERE p_size > 25) b""")
 def _combos(spark: SparkSession, sf: str) -> DataFrame:
-    combos = be.expected_combos(spark, ["LR", "RF"], ["V1", "V2", "V3"])
-    n = table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return combos.withColumn("n_vectors", n)
+    part = table(spark, sf, "part")
+    return be.expected_combos(part.select(F.col("p_type").alias("model_type")), part.where("p_size > 25").select(F.col("p_brand").alias("embedding_name")))
 
 
-@query("append_expected", f"""WITH {SEED_ROWS}, {_RANKED}, {_AGGREGATED} SELECT model_type, embedding_name, strategy, num_seeds, round(mean_f1, 6) AS mean_f1,
+@query("append_expected", f"""WITH RECURSIVE {SEED_ROWS}, {_RANKED}, {_AGGREGATED} SELECT model_type, embedding_name, strategy, num_seeds, round(mean_f1, 6) AS mean_f1,
     round("TP_mean", 6) AS "TP_mean", rank_sum FROM aggregated
   UNION ALL SELECT m, v, 'single', 0, NULL, 0, NULL FROM (VALUES ('LR', 'V3'), ('SVM', 'V1'), ('SVM', 'V2'), ('SVM', 'V3')) x(m, v)""")
 def _expected(spark: SparkSession, sf: str) -> DataFrame:
     rows = be.seed_aggregate(be.seed_rank(seed_rows(spark, sf)))
-    full = be.append_expected(rows, be.expected_combos(spark, ["LR", "SVM"], ["V1", "V2", "V3"]))
+    full = be.append_expected(rows, be.expected_combos(spark.createDataFrame([("LR",), ("SVM",)], "model_type string"), spark.createDataFrame([("V1",), ("V2",), ("V3",)], "embedding_name string")))
     return r6(full.select("model_type", "embedding_name", "strategy", "num_seeds", "mean_f1", "TP_mean", "rank_sum"))
 
 
@@ -322,5 +339,5 @@ def _species(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("benchmark_failures", f"""WITH {SEED_ROWS} SELECT DISTINCT seed, 'default' AS ablation, 'f1 below 0.95' AS error FROM seed_rows WHERE f1 < 0.95""")
 def _failures(spark: SparkSession, sf: str) -> DataFrame:
-    low = seed_rows(spark, sf).where("f1 < 0.95").select("seed").distinct().collect()
-    return be.benchmark_failures(spark, [(r["seed"], "default", "f1 below 0.95") for r in low])
+    runs = seed_rows(spark, sf).withColumn("ablation", F.lit("default"))
+    return be.benchmark_failures(runs, F.when(F.col("f1") < 0.95, "f1 below 0.95"))

@@ -17,14 +17,14 @@ def _three(df: DataFrame) -> DataFrame:
 
 
 def binary_probs(spark: SparkSession, sf: str) -> DataFrame:
-    """One-column binary probabilities of one seed."""
-    return preds(spark, sf).where("seed = 42").withColumn("probs", F.array("score")).withColumn("y", F.col("true_label").cast("int"))
+    """One-column binary probabilities of every seed."""
+    return preds(spark, sf).withColumn("probs", F.array("score")).withColumn("y", F.col("true_label").cast("int"))
 
 
-@query("probs_canonical", f"WITH {PREDS} SELECT model_id, accession, round(1 - score, 6) AS p0, round(score, 6) AS p1 FROM preds WHERE seed = 42")
+@query("probs_canonical", f"WITH {PREDS} SELECT seed, model_id, accession, round(1 - score, 6) AS p0, round(score, 6) AS p1 FROM preds")
 def _canonical(spark: SparkSession, sf: str) -> DataFrame:
     out = en.probs_canonical(binary_probs(spark, sf), "binary")
-    return r6(out.select("model_id", "accession", F.col("probs")[0].alias("p0"), F.col("probs")[1].alias("p1")))
+    return r6(out.select("seed", "model_id", "accession", F.col("probs")[0].alias("p0"), F.col("probs")[1].alias("p1")))
 
 
 _PAIR, _CLS = {"LR::V1": 0.7}, {"LR": 0.6, "RF": 0.55}
@@ -37,10 +37,10 @@ def _threshold(spark: SparkSession, sf: str) -> DataFrame:
     return en.threshold_resolve(models, 0.5, _CLS, _PAIR)
 
 
-@query("decide", f"WITH {PREDS} SELECT model_id, accession, (score >= {_THRESHOLD})::BIGINT AS pred FROM preds WHERE seed = 42")
+@query("decide", f"WITH {PREDS} SELECT seed, model_id, accession, (score >= {_THRESHOLD})::BIGINT AS pred FROM preds")
 def _decide(spark: SparkSession, sf: str) -> DataFrame:
     rows = en.threshold_resolve(en.probs_canonical(binary_probs(spark, sf), "binary"), 0.5, _CLS, _PAIR)
-    return longs(en.decide(rows, "binary", "threshold").select("model_id", "accession", "pred"), "pred")
+    return longs(en.decide(rows, "binary", "threshold").select("seed", "model_id", "accession", "pred"), "pred")
 
 
 @query("decide_multiclass", f"WITH {LABEL_COUNTS} SELECT model_id, accession, pred::BIGINT AS pred FROM ruled")
@@ -100,9 +100,9 @@ def search_sql(trials: int, l2: float) -> str:
   best AS (SELECT trial, round(f1 - {l2}::DOUBLE * (SELECT sum(w * w) FROM weights x WHERE x.trial = f.trial), 12) AS score FROM f ORDER BY score DESC, trial LIMIT 1)"""
 
 
-@query("weights_random_search", f"""WITH {search_sql(64, 0.01)} SELECT b.trial, round(score, 6) AS score, model_id, round(w, 6) AS weight FROM best b JOIN weights USING (trial)""")
+@query("weights_random_search", f"""WITH {search_sql(256, 0.01)} SELECT b.trial, round(score, 6) AS score, model_id, round(w, 6) AS weight FROM best b JOIN weights USING (trial)""")
 def _search(spark: SparkSession, sf: str) -> DataFrame:
-    out = en.weights_random_search(class_probs(spark, sf), MC_MODELS, "multiclass", 3, n_trials=64, l2=0.01)
+    out = en.weights_random_search(class_probs(spark, sf), MC_MODELS, "multiclass", 3, n_trials=256, l2=0.01)
     return r6(longs(out, "trial"))
 
 
@@ -168,13 +168,13 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
     return r6(pr.prediction_rows(samples, probs, CLASSES, "multiclass"))
 
 
-@query("predictions_wide", f"""WITH {PREDS} SELECT accession, 'test' AS dataset_split, any_value(true_label::VARCHAR) AS true_label,
+@query("predictions_wide", f"""WITH {PREDS} SELECT seed, accession, 'test' AS dataset_split, any_value(true_label::VARCHAR) AS true_label,
     max(predicted_label::VARCHAR) FILTER (WHERE model_id = 'LR::V1') AS "pred_LR__V1", max(predicted_label::VARCHAR) FILTER (WHERE model_id = 'RF::V2') AS "pred_RF__V2",
     NULL::VARCHAR AS "pred_SVM__V1", '' AS "missing_reason_LR__V1", '' AS "missing_reason_RF__V2", 'model_not_available' AS "missing_reason_SVM__V1"
-  FROM preds WHERE seed = 42 GROUP BY accession""")
+  FROM preds GROUP BY seed, accession""")
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
-    rows = preds(spark, sf).where("seed = 42").select(
-        "accession", "model_type", "embedding_name", F.col("true_label").cast("string").alias("true_label"),
+    rows = preds(spark, sf).select(
+        "seed", "accession", "model_type", "embedding_name", F.col("true_label").cast("string").alias("true_label"),
         F.col("predicted_label").cast("string").alias("predicted_label"),
     )
-    return pr.predictions_wide(rows, [("LR", "V1"), ("RF", "V2"), ("SVM", "V1")])
+    return pr.predictions_wide(rows, [("LR", "V1"), ("RF", "V2"), ("SVM", "V1")], by=["seed"])

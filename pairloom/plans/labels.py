@@ -25,15 +25,13 @@ def _from_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def user_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Event types of a user as its labels, in event order; some users have one label only."""
-    rows = table(spark, sf, "events").where("user_id % 5 <> 0 or event_type = 'click'").select(
-        F.col("user_id").cast("string").alias("accession"), F.col("event_id").alias("pos"), F.col("event_type").alias("label")
-    )
+    """Event types of a user as its labels, in event order; every fifth user has one label for all its events."""
+    label = F.when(F.col("user_id") % 5 == 0, "click").otherwise(F.col("event_type"))
+    rows = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("accession"), F.col("event_id").alias("pos"), label.alias("label"))
     return lb.labels_collapse(rows)
 
 
-USER_LABELS = """user_first AS (SELECT user_id::VARCHAR AS accession, event_type AS label, min(event_id) AS pos FROM events
-    WHERE user_id % 5 <> 0 OR event_type = 'click' GROUP BY 1, 2),
+USER_LABELS = """user_first AS (SELECT user_id::VARCHAR AS accession, CASE WHEN user_id % 5 = 0 THEN 'click' ELSE event_type END AS label, min(event_id) AS pos FROM events GROUP BY 1, 2),
   user_labels AS (SELECT accession, list(label ORDER BY pos) AS labels FROM user_first GROUP BY accession)"""
 
 

@@ -45,14 +45,15 @@ def _trials(spark: SparkSession, sf: str) -> DataFrame:
     return r6(rows.select("trial", "param", F.when(exact, F.col("value")).alias("value"), number.alias("number")))
 
 
-@query("grid_trials", """SELECT combo, run, s AS param, v AS "value", n_rows FROM (
-    SELECT 'C' AS s, c AS v, (ci * 2 + pi) AS combo FROM (VALUES ('0.1', 0), ('1.0', 1), ('10.0', 2)) a(c, ci), (VALUES ('l1', 0), ('l2', 1)) b(p, pi)
-    UNION ALL SELECT 'penalty', p, (ci * 2 + pi) FROM (VALUES ('0.1', 0), ('1.0', 1), ('10.0', 2)) a(c, ci), (VALUES ('l1', 0), ('l2', 1)) b(p, pi)) g, range(2) r(run),
-  (SELECT count(*) AS n_rows FROM embeddings)""")
+@query("grid_trials", """WITH p AS (SELECT DISTINCT p_type AS v, p_brand AS w, p_size AS s FROM part), a AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT w AS v FROM p)),
+    b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT s::VARCHAR AS v FROM p)), c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT v FROM p)),
+    g AS (SELECT (a.i * b.n + b.i) * c.n + c.i AS combo, a.v AS x, b.v AS y, c.v AS z FROM a, b, c)
+  SELECT combo, run, u.param, u."value" FROM g, range(2) r(run), LATERAL (SELECT 'brand' AS param, x AS "value" UNION ALL SELECT 'size', y UNION ALL SELECT 'type', z) u""")
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sw.grid_trials(spark, {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"]}, runs=2)
-    n = table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return longs(rows.withColumn("n_rows", n), "combo", "run")
+    part = table(spark, sf, "part")
+    columns = {"brand": "p_brand", "size": "p_size", "type": "p_type"}
+    settings = part.select(F.inline(F.array(*[F.struct(F.lit(n).alias("param"), F.col(c).cast("string").alias("value")) for n, c in columns.items()])))
+    return longs(sw.grid_trials(settings, runs=2), "combo", "run")
 
 
 # -- trial rows: one trial per (seed, model, view) of the predictions -------------------------------
@@ -158,7 +159,7 @@ def _near(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("nearest_neighbours_pivots", f"WITH {_neighbours_sql(_EUCLID, 5)} SELECT accession, neighbour, label, round(distance, 5) AS distance FROM near")
 def _near_pivots(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(nb.nearest_neighbours(*_sides(spark, sf), 5, broadcast_bytes=0, pivots=16, block_rows=512), 5)
+    return r6(nb.nearest_neighbours(*_sides(spark, sf), 5, pivots=16, block_rows=512), 5)
 
 
 @query("train_knn", f"WITH {_neighbours_sql(_MANHATTAN, 7)} SELECT accession, label, round(count(*) / 7.0::DOUBLE, 6) AS prob FROM near GROUP BY accession, label")
@@ -189,10 +190,10 @@ def _fit_query(kind: str, params: dict | None = None):
 
 
 query("train_lr")(_fit_query("LR", {"C": 10.0, "class_weight": "balanced"}))
-query("train_rf")(_fit_query("RF", {"n_estimators": 10, "max_depth": 5}))
-query("train_gbt")(_fit_query("GBT", {"n_estimators": 5, "max_depth": 3}))
+query("train_rf")(_fit_query("RF"))
+query("train_gbt")(_fit_query("GBT"))
 query("train_linear_svm")(_fit_query("SVM"))
-query("train_mlp")(_fit_query("MLP", {"epochs": 20, "num_hidden_layers": 2}))
+query("train_mlp")(_fit_query("MLP"))
 
 
 @query("one_vs_rest")
@@ -202,17 +203,45 @@ def _rest(spark: SparkSession, sf: str) -> DataFrame:
     )))
     models = tr.one_vs_rest(rows.where("split = 'train'"), "LR", ["a", "b"])
     scored = tr.predict_multilabel(models, rows)
-    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("probs")).alias("classes"))
+    right = [F.sum(((F.col("probs")[i] >= 0.5) == F.array_contains("labels", c)).cast("long")).alias(f"right_{c}") for i, c in enumerate(models)]
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *right)
 
 
 @query("train_matrix")
 def _matrix(spark: SparkSession, sf: str) -> DataFrame:
     rows = _view(spark, sf)
     both = rows.unionByName(rows.withColumn("view", F.lit("half")).withColumn("vec", F.slice("vec", 1, 32)))
-    out, _ = tr.train_matrix(both, ["LR", "RF"], {"RF": {"n_estimators": 5}}, normalization="standard", evaluate_test=True)
+    out, _ = tr.train_matrix(both, ["LR", "RF"], normalization="standard", evaluate_test=True)
     return r6(out, 3)
 
 
+_KNN_VOTES = f"""WITH {_neighbours_sql(_EUCLID, 7)}, votes AS (SELECT accession, count(*) FILTER (WHERE label::INTEGER % 2 = 1) / 7.0::DOUBLE AS p1 FROM near GROUP BY accession),
+  judged AS (SELECT accession, p1, (p1 >= 0.5)::INTEGER AS pred, e.label::INTEGER % 2 AS y FROM votes JOIN e USING (accession))"""
+
+
+def _split_sides(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _sides(spark, sf)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("val")))
+    return both.select("accession", (F.col("label") % 2).cast("int").alias("label"), "vec", "split", F.lit("V").alias("view"))
+
+
+@query("train_matrix_knn", f"""{_KNN_VOTES}, c AS (SELECT count(*) FILTER (WHERE pred = 1 AND y = 1) AS tp, count(*) FILTER (WHERE pred = 0 AND y = 0) AS tn, count(*) FILTER (WHERE pred = 1 AND y = 0) AS fp,
+    count(*) FILTER (WHERE pred = 0 AND y = 1) AS fn FROM judged)
+  SELECT 'KNN-2' AS model_type, 'V' AS "view", 'val' AS split, metric, "value" FROM c, LATERAL (SELECT 'TP' AS metric, tp::DOUBLE AS "value" UNION ALL SELECT 'TN', tn UNION ALL SELECT 'FP', fp UNION ALL SELECT 'FN', fn
+    UNION ALL SELECT 'accuracy', round((tp + tn)::DOUBLE / (tp + tn + fp + fn), 6) UNION ALL SELECT 'f1', round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 6)) u""")
+def _matrix_knn(spark: SparkSession, sf: str) -> DataFrame:
+    out, _ = tr.train_matrix(_split_sides(spark, sf), ["KNN-2"], {"KNN-2": {"n_neighbors": 7}})
+    return r6(out.where("metric in ('TP', 'TN', 'FP', 'FN', 'accuracy', 'f1')"))
+
+
+@query("batch_predict_knn", f"{_KNN_VOTES} SELECT accession, round(p1, 6) AS p1, pred::BIGINT AS predicted_label FROM judged")
+def _predict_knn(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _split_sides(spark, sf)
+    fitted = tr.train_model(rows.where("split = 'train'"), "KNN", {"n_neighbors": 7})
+    out = tr.batch_predict(fitted, rows.where("split = 'val'"))
+    return r6(longs(out.select("accession", F.col("probs")[1].alias("p1"), "predicted_label"), "predicted_label"))
+
+
 @query("final_retrain")
 def _retrain(spark: SparkSession, sf: str) -> DataFrame:
     out, _ = tr.final_retrain(_view(spark, sf), {"V": ("LR", {})}, normalization="l2")
@@ -222,7 +251,7 @@ def _retrain(spark: SparkSession, sf: str) -> DataFrame:
 @query("sweep_run")
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     space = {"C": {"min": 0.01, "max": 10.0, "distribution": "log_uniform"}}
-    return r6(tr.sweep_run(_view(spark, sf), "LR", space, 2)[0].drop("config"), 3)
+    return r6(tr.sweep_run(_view(spark, sf), "LR", space, 8)[0].drop("config"), 3)
 
 
 @query("batch_predict")
@@ -235,7 +264,7 @@ def _predict(spark: SparkSession, sf: str) -> DataFrame:
 @query("batch_predict_proba")
 def _proba(spark: SparkSession, sf: str) -> DataFrame:
     rows = _view(spark, sf)
-    fitted = tr.train_rf(rows.where("split = 'train'"), {"n_estimators": 5})
+    fitted = tr.train_rf(rows.where("split = 'train'"))
     return r6(tr.batch_predict_proba(fitted, rows).select("accession", F.col("probs")[1].alias("p1")), 3)
 
 
@@ -248,20 +277,20 @@ def _coef(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("importance_tree")
 def _tree(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(ex.importance_tree(spark, tr.train_rf(_view(spark, sf).where("split = 'train'"), {"n_estimators": 5})), 3)
+    return r6(ex.importance_tree(spark, tr.train_rf(_view(spark, sf).where("split = 'train'"))), 3)
 
 
 @query("importance_permutation")
 def _permutation(spark: SparkSession, sf: str) -> DataFrame:
     rows = _view(spark, sf)
     fitted = tr.train_lr(rows.where("split = 'train'"), {"C": 10.0})
-    return r6(ex.importance_permutation(fitted, rows.where("split <> 'train'"), features=[0, 1, 5], n_repeats=3), 3)
+    return r6(ex.importance_permutation(fitted, rows.where("split <> 'train'")), 3)
 
 
 @query("importance_auto")
 def _auto(spark: SparkSession, sf: str) -> DataFrame:
     rows = _view(spark, sf)
-    return r6(ex.importance_auto(tr.train_gbt(rows.where("split = 'train'"), {"n_estimators": 3}), rows), 3)
+    return r6(ex.importance_auto(tr.train_gbt(rows.where("split = 'train'")), rows), 3)
 
 
 # Coefficients of an explained logistic model.

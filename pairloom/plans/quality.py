@@ -147,7 +147,8 @@ def _contract(spark: SparkSession, sf: str) -> DataFrame:
     (VALUES ('V1'), ('V2')) v(embedding_name)
   WHERE NOT EXISTS (SELECT 1 FROM seed_rows r WHERE r.seed = s.seed AND r.model_type = m.model_type AND r.embedding_name = v.embedding_name)""")
 def _coverage(spark: SparkSession, sf: str) -> DataFrame:
-    expected = expected_combos(spark, ["LR", "RF", "SVM"], ["V1", "V2"]).withColumn(
+    names = spark.createDataFrame([("LR",), ("RF",), ("SVM",)], "model_type string"), spark.createDataFrame([("V1",), ("V2",)], "embedding_name string")
+    expected = expected_combos(*names).withColumn(
         "seed", F.explode(F.array(*[F.lit(s) for s in (42, 43, 44, 45)]))
     )
     return q.seed_coverage(expected, seed_rows(spark, sf), ["seed", "model_type", "embedding_name"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.operators.labels import class_list
 from pairloom.operators.predictions import dataset_snapshot
 from pairloom.operators.splits import split_group_by_target, split_random
 from pairloom.operators.universe import universe_manifest
@@ -12,6 +13,7 @@ from pairloom.operators.variants import VariantPolicy, variant_generate
 from pairloom.plans import query
 from pairloom.plans.fixtures import PREDS, PROTEINS, TEXT_UNIVERSE, longs, preds, proteins, r6, table, text_universe, universe_pairs
 from pairloom.plans.splits import _three, ranked_sql
+from pairloom.plans.universes import greedy_sql
 from pairloom.sources import files, relational, runs, sinks
 from pairloom.session import scratch_path
 
@@ -81,7 +83,7 @@ def store(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Two model types, two layers, a primary and a secondary accession per vector."""
     base = table(spark, sf, "embeddings")
     layers = F.explode(F.array(*[
-        F.struct(F.lit(t).alias("embedding_type_id"), F.lit(i).alias("layer_index"), F.slice("embedding", 16 * i + 8 * t + 1, 8).alias("embedding"))
+        F.struct(F.lit(t).alias("embedding_type_id"), F.lit(i).alias("layer_index"), F.slice("embedding", 32 * i + 16 * t - 15, 16).alias("embedding"))
         for t in (1, 2) for i in (0, 1)
     ]))
     codes = F.explode(F.array(
@@ -107,7 +109,7 @@ def _sum(column: str = "vec"):
     return F.aggregate(F.col(column).cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
 
 
-@query("load_layer_embeddings", "SELECT 'A' || vec_id AS accession, round(list_sum(embedding[25:32]::DOUBLE[]), 5) AS total FROM embeddings")
+@query("load_layer_embeddings", "SELECT 'A' || vec_id AS accession, round(list_sum(embedding[33:48]::DOUBLE[]), 5) AS total FROM embeddings")
 def _layer(spark: SparkSession, sf: str) -> DataFrame:
     t = store(spark, sf)
     rows = relational.load_layer_embeddings(t["embeddings"], t["sequence"], t["protein"], t["accession"], 1, 1)
@@ -122,7 +124,7 @@ def _resolve(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(type_id).alias("type_id"), "n")
 
 
-@query("load_model_layers", """SELECT 'prot' AS model, 'A' || vec_id AS accession, i AS layer_index, round(list_sum(embedding[16 * i + 17 : 16 * i + 24]::DOUBLE[]), 5) AS total
+@query("load_model_layers", """SELECT 'prot' AS model, 'A' || vec_id AS accession, i AS layer_index, round(list_sum(embedding[32 * i + 17 : 32 * i + 32]::DOUBLE[]), 5) AS total
   FROM embeddings, (VALUES (0), (1)) l(i) WHERE vec_id % 3 = 0""")
 def _model_layers(spark: SparkSession, sf: str) -> DataFrame:
     t = store(spark, sf)
@@ -133,7 +135,7 @@ def _model_layers(spark: SparkSession, sf: str) -> DataFrame:
     return r6(rows.select("model", "accession", "layer_index", _sum().alias("total")), 5)
 
 
-@query("scan_embeddings_ordered", "SELECT 'A' || vec_id AS accession, 8::BIGINT AS width FROM embeddings ORDER BY 1")
+@query("scan_embeddings_ordered", "SELECT 'A' || vec_id AS accession, 16::BIGINT AS width FROM embeddings ORDER BY 1")
 def _ordered(spark: SparkSession, sf: str) -> DataFrame:
     t = store(spark, sf)
     rows = relational.scan_embeddings_ordered(t["embeddings"], t["sequence"], t["protein"], t["accession"], 1, 0)
@@ -149,19 +151,25 @@ def _coerce(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- runs ---------------------------------------------------------------------------------------------
 
+RUN_OF = {"en": "run_b", "fr": "run_a"}
+RUN_SQL = "CASE lang WHEN 'en' THEN 'run_b' WHEN 'fr' THEN 'run_a' ELSE 'run_' || lang END"
+
+
 def write_runs(spark: SparkSession, sf: str) -> str:
-    """Two run folders from the documents: targets are documents, candidates their words."""
+    """A run folder per language of the documents: targets are documents, candidates their words."""
     base = scratch_path(spark, "runs")
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z0-9]+", ","), ","), lambda w: w != "")
     docs = table(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("target_id"), words.alias("w"))
-    for run, lang, target, other in (("run_b", "en", "tp_id", "ntp_id"), ("run_a", "fr", "target_id", "non_target_id")):
+    for lang in class_list(docs, "lang"):
+        run = RUN_OF.get(lang, f"run_{lang}")
+        target, other = ("target_id", "non_target_id") if run == "run_a" else ("tp_id", "ntp_id")
         mine = docs.where(F.col("lang") == lang)
         pairs = mine.select(F.col("target_id").alias(target), F.explode("w").alias(other))
-        sinks.write_csv(pairs, f"{base}/{run}/{'final_dataset.csv' if run == 'run_b' else 'target_non_target_pairs.csv'}")
-        name = "target_id" if run == "run_b" else "mf_id"
+        sinks.write_csv(pairs, f"{base}/{run}/{'target_non_target_pairs.csv' if run == 'run_a' else 'final_dataset.csv'}")
+        name = "mf_id" if run == "run_a" else "target_id"
         sinks.write_csv(
             mine.select(F.col("target_id").alias(name), F.size("w").alias("num_candidates"), F.array_join("w", ",").alias("candidates")),
-            f"{base}/{run}/{'target_assignments.csv' if run == 'run_b' else 'mf_assignments.csv'}",
+            f"{base}/{run}/{'mf_assignments.csv' if run == 'run_a' else 'target_assignments.csv'}",
         )
         meta = mine.agg(F.count(F.lit(1)).alias("final_rows")).select(
             F.lit(run).alias("run_id"), F.lit(lang).alias("species_category"), F.lit(42).alias("random_seed"), "final_rows"
@@ -173,7 +181,7 @@ def write_runs(spark: SparkSession, sf: str) -> str:
 WORDS = r"""words AS (SELECT lang, doc_id::VARCHAR AS target_id, [w FOR w IN string_split(regexp_replace("text", '[^A-Za-z0-9]+', ',', 'g'), ',') IF w <> ''] AS w FROM documents)"""
 
 
-@query("list_runs", "SELECT CASE lang WHEN 'en' THEN 'run_b' ELSE 'run_a' END AS run_id FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1 ORDER BY 1")
+@query("list_runs", f"SELECT {RUN_SQL} AS run_id FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY 1")
 def _list(spark: SparkSession, sf: str) -> DataFrame:
     return runs.list_runs(spark, write_runs(spark, sf))
 
@@ -184,19 +192,20 @@ def _run(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("tp_id", "ntp_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("load_runs_union", f"""WITH {WORDS} SELECT CASE lang WHEN 'en' THEN 'run_b' ELSE 'run_a' END AS run_id, lang AS species, count(*) AS n, count(DISTINCT tp_id) AS targets
-  FROM (SELECT lang, target_id AS tp_id, unnest(w) AS ntp_id FROM words WHERE lang IN ('en', 'fr')) GROUP BY lang""")
+@query("load_runs_union", f"""WITH {WORDS} SELECT {RUN_SQL} AS run_id, lang AS species, count(*) AS n, count(DISTINCT tp_id) AS targets
+  FROM (SELECT lang, target_id AS tp_id, unnest(w) AS ntp_id FROM words) GROUP BY lang""")
 def _union(spark: SparkSession, sf: str) -> DataFrame:
-    rows = runs.load_runs_union(spark, write_runs(spark, sf), ["run_b", "run_a"])
+    base = write_runs(spark, sf)
+    rows = runs.load_runs_union(spark, base, class_list(runs.list_runs(spark, base), "run_id"))
     return rows.groupBy("run_id", "species").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tp_id").alias("targets"))
 
 
-@query("parse_assignments", f"""WITH {WORDS}, e AS (SELECT target_id, unnest(w) AS candidate_id, unnest(range(len(w))) AS pos FROM words WHERE lang = 'en')
+@query("parse_assignments", f"""WITH {WORDS}, e AS (SELECT target_id, unnest(w) AS candidate_id, unnest(range(len(w))) AS pos FROM words)
   SELECT target_id, count(*) AS n, bool_and(true) AS count_ok, max(pos)::BIGINT AS last_pos, count(DISTINCT candidate_id) AS candidates FROM e GROUP BY target_id""")
 def _assignments(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "assignments")
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z0-9]+", ","), ","), lambda w: w != "")
-    docs = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("target_id"), words.alias("w"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("target_id"), words.alias("w"))
     sinks.write_csv(docs.select("target_id", F.size("w").alias("num_candidates"), F.array_join("w", ",").alias("candidates")), path)
     rows = files.parse_assignments(files.read_csv(spark, path, "target_id string, num_candidates int, candidates string"))
     return longs(rows.groupBy("target_id").agg(
@@ -275,11 +284,13 @@ def _snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return dataset_snapshot(rows.withColumn("split", held))
 
 
-@query("export_bundle")
+@query("export_bundle", f"""WITH RECURSIVE {greedy_sql(3)}, t AS (SELECT target_id, row_number() OVER (ORDER BY md5('42:' || target_id), target_id) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT target_id FROM assignments))
+  SELECT CASE WHEN k <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split, role, count(*) AS n
+  FROM assignments JOIN t USING (target_id) GROUP BY 1, 2""")
 def _bundle(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "bundle")
     universe = universe_pairs(spark, sf)
-    rows, events = variant_generate(universe, VariantPolicy(ratio="1:3"))
+    rows, events = variant_generate(universe, VariantPolicy(ratio="1:3", order="hash"))
     sinks.export_bundle(split_group_by_target(rows), events, universe_manifest(universe, "u1"), path)
     return spark.read.option("header", True).csv(f"{path}/split").groupBy("split", "role").agg(F.count(F.lit(1)).alias("n"))
 

@@ -59,12 +59,17 @@ def _average(spark: SparkSession, sf: str) -> DataFrame:
 _CHI2_5 = "11.070497693516351::DOUBLE"
 
 
+# its upper tail from s on, by Simpson's rule over the density; 1.329340388179137 is the gamma function at 2.5
+_CHI2_5_TAIL = """SELECT 1 - sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(s * i / 4000.0::DOUBLE, 1.5) * exp(-s * i / 8000.0::DOUBLE)) * s / 12000.0::DOUBLE
+    / (pow(2.0::DOUBLE, 2.5) * 1.329340388179137::DOUBLE) FROM range(4001) g(i)"""
+
+
 @query("friedman", f"""WITH {RANKS}, t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM ranks GROUP BY run_id, score)),
   r AS (SELECT sum(x * x) AS ss, count(*)::DOUBLE AS k, max(n)::DOUBLE AS n FROM (SELECT sum("rank") AS x, count(*) AS n FROM ranks GROUP BY model_id)),
   f AS (SELECT (12.0 / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS s, k, n FROM r, t)
-  SELECT 'model_embedding' AS scope, round(s, 6) AS statistic, k::BIGINT AS num_models, n::BIGINT AS num_runs, s > {_CHI2_5} AS significant, 'ok' AS status FROM f""")
+  SELECT 'model_embedding' AS scope, round(s, 6) AS statistic, k::BIGINT AS num_models, n::BIGINT AS num_runs, s > {_CHI2_5} AS significant, 'ok' AS status, round(({_CHI2_5_TAIL}), 6) AS p_value FROM f""")
 def _friedman(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(st.friedman(scores(spark, sf)).select("scope", "statistic", "num_models", "num_runs", "significant", "status"))
+    return r6(st.friedman(scores(spark, sf)).select("scope", "statistic", "num_models", "num_runs", "significant", "status", "p_value"))
 
 
 # studentized range: upper 5 % point of six groups, infinite degrees of freedom
@@ -87,6 +92,16 @@ def _nemenyi(spark: SparkSession, sf: str) -> DataFrame:
     return r6(out.select("model_a", "model_b", "rank_diff", "significant"))
 
 
-@query("nemenyi_p_values")
+# the studentized range's upper tail: an integral over z of the normal density times a power of its mass on (z - q, z), by the
+# trapezoid rule outside and Simpson's rule inside
+@query("nemenyi_p_values", f"""WITH {RANKS}, a AS (SELECT model_id, avg("rank") AS r FROM ranks GROUP BY model_id),
+  n AS (SELECT count(DISTINCT model_id)::DOUBLE AS k, count(DISTINCT run_id)::DOUBLE AS n FROM ranks),
+  p AS (SELECT x.model_id AS model_a, y.model_id AS model_b, abs(x.r - y.r) AS d, k, n, sqrt(k * (k + 1) / (6 * n)) AS e FROM a x JOIN a y ON x.model_id < y.model_id, n),
+  m AS (SELECT model_a, model_b, z, any_value(k) AS k, sum(CASE WHEN i IN (0, 80) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z - q + q * i / 80.0::DOUBLE, 2) / 2)) * any_value(q) / 240.0::DOUBLE / sqrt(2 * pi()) AS mass
+    FROM (SELECT *, d / e * sqrt(2.0::DOUBLE) AS q FROM p), (SELECT -8 + j / 40.0::DOUBLE AS z FROM range(801) t(j)), range(81) g(i) GROUP BY model_a, model_b, z),
+  t AS (SELECT model_a, model_b, 1 - any_value(k) * sum(exp(-z * z / 2) / sqrt(2 * pi()) * pow(mass, k - 1)) / 40.0::DOUBLE AS p_value FROM m GROUP BY model_a, model_b)
+  SELECT model_a, model_b, round(p_value, 4) + 0.0 AS p_value, round(d, 4) AS rank_diff, round({_Q6} / sqrt(2.0) * e, 4) AS critical_difference, d > {_Q6} / sqrt(2.0) * e AS significant FROM p JOIN t USING (model_a, model_b)""")
 def _nemenyi_p(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(st.nemenyi(st.average_ranks(st.rank_matrix(scores(spark, sf))), 3))
+    ranked = st.rank_matrix(scores(spark, sf))
+    runs = ranked.select("run_id").distinct().count()
+    return r6(st.nemenyi(st.average_ranks(ranked), runs), 4)

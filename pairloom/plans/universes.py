@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def greedy_sql(neg: int, seed: int = 42, prefer: str | None = None, order: str |
     UNION ALL SELECT target_id, organism, unnest(picks), 'negative' FROM steps WHERE len(picks) > 0)"""
 
 
-_POLICY = va.VariantPolicy(ratio="1:3")
-_SCARCE = va.VariantPolicy(ratio="1:24")
+_POLICY = va.VariantPolicy(ratio="1:3", order="hash")
+_SCARCE = va.VariantPolicy(ratio="1:24", order="hash")
 
 
 @query("universe_normalize", f"WITH {UNIVERSE} SELECT target_id, count(*) AS candidate_count FROM universe GROUP BY target_id")
@@ -74,9 +76,19 @@ def _generate_all(spark: SparkSession, sf: str) -> DataFrame:
     return va.variant_generate(universe_pairs(spark, sf), policy)[0].select("target_id", "protein_id", "role")
 
 
-@query("variant_generate_replacement")
+_DRAWS = ", ".join(f"list_min([{{'k': md5('42:{i}:' || target_id || ':' || c), 'c': c}} FOR c IN free]).c" for i in range(3))
+
+
+@query("variant_generate_replacement", f"""WITH RECURSIVE {UNIVERSE},
+  pools AS (SELECT target_id, list(DISTINCT candidate_id) AS pool, count(*) AS n FROM universe GROUP BY target_id),
+  ordered AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || target_id), target_id) AS i FROM pools WHERE n >= 5),
+  steps AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, NULL::VARCHAR AS target_id, []::VARCHAR[] AS picks
+    UNION ALL SELECT i, list_concat(used, picks), target_id, picks FROM (SELECT i, used, target_id, CASE WHEN len(free) >= 3 THEN [{_DRAWS}] ELSE []::VARCHAR[] END AS picks
+      FROM (SELECT o.i, s.used, o.target_id, [c FOR c IN o.pool IF NOT list_contains(s.used, c)] AS free FROM steps s JOIN ordered o ON o.i = s.i + 1))),
+  assignments AS (SELECT target_id, target_id AS protein_id, 'positive' AS role, -1 AS draw FROM steps WHERE len(picks) > 0 UNION ALL SELECT target_id, unnest(picks), 'negative', unnest(range(3)) FROM steps WHERE len(picks) > 0)
+  SELECT target_id, protein_id, role, draw FROM assignments""")
 def _generate_replacement(spark: SparkSession, sf: str) -> DataFrame:
-    policy = va.VariantPolicy(ratio="1:3", selection="sample_with_replacement")
+    policy = va.VariantPolicy(ratio="1:3", selection="sample_with_replacement", order="hash")
     return va.variant_generate(universe_pairs(spark, sf), policy)[0].select("target_id", "protein_id", "role", "draw")
 
 
@@ -84,7 +96,7 @@ def _generate_replacement(spark: SparkSession, sf: str) -> DataFrame:
   SELECT target_id, 'insufficient_candidates' AS reason FROM pools WHERE n < 520
   UNION ALL SELECT target_id, 'insufficient_candidates_for_ratio' FROM steps WHERE target_id IS NOT NULL AND len(picks) = 0""")
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    policy = va.VariantPolicy(ratio="1:24", min_pool_size=520)
+    policy = va.VariantPolicy(ratio="1:24", min_pool_size=520, order="hash")
     return va.variant_generate(universe_pairs(spark, sf), policy)[1].select("target_id", "reason")
 
 
@@ -103,16 +115,22 @@ def _organisms(spark: SparkSession, sf: str) -> DataFrame:
     return va.organism_distribution(va.variant_generate(universe, _POLICY)[0], universe)
 
 
-@query("variants_multi")
+def _policy_seed(i: int) -> int:
+    return int(hashlib.md5(f"p:{i}".encode()).hexdigest()[:8], 16)
+
+
+@query("variants_multi", " UNION ALL ".join(
+    f"""SELECT * FROM (WITH RECURSIVE {greedy_sql(3, seed=_policy_seed(i))} SELECT 'p_variant_{i:04d}' AS variant_id, target_id, protein_id, role FROM assignments)""" for i in range(25)))
 def _multi(spark: SparkSession, sf: str) -> DataFrame:
-    policy = va.VariantPolicy(ratio="1:3", policy_id="p")
-    return va.variants_multi(universe_pairs(spark, sf), policy, 4)[0].select("variant_id", "target_id", "protein_id", "role")
+    policy = va.VariantPolicy(ratio="1:3", policy_id="p", order="hash")
+    return va.variants_multi(universe_pairs(spark, sf), policy)[0].select("variant_id", "target_id", "protein_id", "role")
 
 
-@query("variants_ratio_families", f"""WITH RECURSIVE {greedy_sql(5)} SELECT 'policy_ratio_1_5' AS variant_id, target_id, protein_id, role FROM assignments""")
+@query("variants_ratio_families", " UNION ALL ".join(
+    f"""SELECT * FROM (WITH RECURSIVE {greedy_sql(n)} SELECT 'policy_ratio_1_{n}' AS variant_id, target_id, protein_id, role FROM assignments)""" for n in (1, 3, 5)))
 def _families(spark: SparkSession, sf: str) -> DataFrame:
-    rows = va.variants_ratio_families(universe_pairs(spark, sf))[0]
-    return rows.where("variant_id = 'policy_ratio_1_5'").select("variant_id", "target_id", "protein_id", "role")
+    rows = va.variants_ratio_families(universe_pairs(spark, sf), va.VariantPolicy(order="hash"))[0]
+    return rows.select("variant_id", "target_id", "protein_id", "role")
 
 
 @query("bundle_summary", f"""WITH RECURSIVE {greedy_sql(3)}, t AS (SELECT target_id, row_number() OVER (ORDER BY md5('1:' || target_id), target_id) AS k, count(*) OVER () AS n

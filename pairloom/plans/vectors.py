@@ -104,12 +104,12 @@ def _scale(spark: SparkSession, sf: str) -> DataFrame:
     return cells(ve.standard_scale(features(spark, sf)), "accession", "split", digits=5)
 
 
-@query("layer_sweep", f"""WITH {LAYERS}, n AS (SELECT layer_index, accession, sqrt(sum(x * x)) AS norm FROM layer_cells WHERE model = 'M0' GROUP BY layer_index, accession)
+@query("layer_sweep", f"""WITH {LAYERS}, n AS (SELECT layer_index, accession, sqrt(sum(x * x)) AS norm FROM layer_cells GROUP BY model, layer_index, accession)
   SELECT layer_index, count(*) AS n, round(avg(norm), 5) AS mean_norm FROM n GROUP BY layer_index""")
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     from pairloom.functions.scalars import norm2
 
-    return r6(ve.layer_sweep(layers(spark, sf).where("model = 'M0'"), aggregates=[
+    return r6(ve.layer_sweep(layers(spark, sf), aggregates=[
         F.count(F.lit(1)).alias("n"), F.avg(norm2(F.col("vec"))).alias("mean_norm"),
     ]), 5)
 

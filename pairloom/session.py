@@ -27,7 +27,7 @@ def build_session(master: str = "local[*]", app: str = "pairloom", shuffle_parti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only a local session may fall back to a temporary one."""
+    """Folder named by ``spark.checkpoint.dir``; only where that is unset and driver and tasks are one process, a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if current is not None:
         return current.rstrip("/")
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     path = tempfile.mkdtemp(prefix="pairloom-")
     sc.setCheckpointDir(path)

@@ -110,20 +110,18 @@ def parse_universe(raw: DataFrame, separator: str = ";", default_label: str = "p
 def number_rows(df: DataFrame) -> DataFrame:
     """Add ``source_file`` and ``source_row_id``, the 1-based data row inside each file.
 
-    Rows are numbered inside each file block and shifted by the sizes of the blocks before it.
+    A task reads the rows of a file block one after another, so a row's place is its running id less the block's first, shifted by the sizes
+    of the blocks before it: one count per block is joined, and no row is sorted. With ``multi_line`` a file is one block.
     """
     placed = df.select(
         "*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    sizes = placed.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = placed.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     before = F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block")) - F.col("_n")
-    offsets = sizes.select("source_file", "_block", before.alias("_before"))
-    inside = Window.partitionBy("source_file", "_block").orderBy("_seq")
-    numbered = placed.join(offsets, ["source_file", "_block"]).withColumn(
-        "source_row_id", (F.row_number().over(inside) + F.col("_before")).cast("long")
-    )
-    return numbered.drop("_block", "_seq", "_before")
+    offsets = sizes.select("source_file", "_block", (before - F.col("_first") + 1).alias("_shift"))
+    numbered = placed.join(offsets, ["source_file", "_block"]).withColumn("source_row_id", F.col("_seq") + F.col("_shift"))
+    return numbered.drop("_block", "_seq", "_shift")
 
 
 def read_universe_csv(spark: SparkSession, path: str, separator: str = ";", default_label: str = "positive",

@@ -7,10 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pairloom.session import build_session
 
-    session = build_session("local[8]", "tests", 4, **{"spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"})
+    session = build_session("local[8]", "tests", 4, **{"spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -50,7 +51,7 @@ def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
     if not len(got):
-        return "both empty"
+        return "both are empty: nothing was compared"
     for c in got.columns:
         a, b = kind(got[c]), kind(want[c])
         if a != b and "?" not in (a, b):
@@ -69,7 +70,7 @@ def main() -> None:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     pattern = re.compile(sys.argv[2] if len(sys.argv) > 2 else ".")
-    spark = build_session("local[8]", shuffle_partitions=8, **{"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("local[8]", shuffle_partitions=8, **{"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='oracle-')}"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     oracles, bad = oracle_sql(), 0

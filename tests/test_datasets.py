@@ -183,6 +183,13 @@ def test_variant_of_identical_pools(spark):
     assert events.count() == 3
 
 
+def test_targets_are_served_in_source_order_by_default(spark):
+    """As many rounds as targets: each settles the next one."""
+    pools = {f"t{20 - i:02d}": [f"c{j:02d}" for j in range(13)] for i in range(14)}
+    rows, events = va.variant_generate(universe(spark, pools), va.VariantPolicy("1:1", 1, selection="use_all"))
+    assert picked(rows) == {f"t{20 - i:02d}": [f"c{i:02d}"] for i in range(13)} and events.count() == 1
+
+
 def test_scarcity_fixture(spark):
     rows, events = va.variant_generate(universe(spark, {"target1": ["a", "b"], "target2": list("vwxyz")}), va.VariantPolicy("1:3", 5))
     assert set(picked(rows)) == {"target2"}
@@ -193,11 +200,11 @@ def test_scarcity_fixture(spark):
 
 def test_replay_and_families(spark, partitions):
     u = universe(spark, {f"t{i}": [f"c{(i * 7 + j) % 60}" for j in range(9)] for i in range(12)})
-    policy = va.VariantPolicy("1:2", 3)
+    policy = va.VariantPolicy("1:2", 3, order="hash")
     a, b = (picked(va.variant_generate(u, policy, 5)[0]) for _ in range(2))
     assert a == b == greedy({r["target_id"]: r["candidate_ids"] for r in u.collect()}, 2, 5, floor=3)
     rows, _ = va.variants_ratio_families(u, policy, seed=5)
-    assert picked(rows.where("variant_id = 'policy_ratio_1_3'")) == picked(va.variant_generate(u, va.VariantPolicy("1:3", 3), 5)[0])
+    assert picked(rows.where("variant_id = 'policy_ratio_1_3'")) == picked(va.variant_generate(u, va.VariantPolicy("1:3", 3, order="hash"), 5)[0])
     many = va.variants_multi(u, policy, 3)[0]
     assert many.select("variant_id").distinct().count() == 3
     assert many.where("role = 'negative'").groupBy("variant_id", "protein_id").count().where("count > 1").count() == 0
@@ -277,23 +284,23 @@ def test_split_does_not_depend_on_partitions(spark, partitions):
 
 
 def test_csv_validation(spark):
-    table = spark.createDataFrame([("A1", "validation"), ("A2", "validation"), ("B7", "validation")], "accession string, split string")
-    out = sp.split_independent(accessions(spark, 8), sp.IndependentSplit(validation="csv", test_size=0.25, train_test_seed=7), table)
+    table = spark.createDataFrame([("A3", "validation"), ("A11", "validation"), ("A17", "validation"), ("elsewhere", "validation")], "accession string, split string")
+    out = sp.split_independent(accessions(spark, 20), sp.IndependentSplit(validation="csv", test_size=0.2, train_test_seed=31), table)
     rows = dict(as_set(out, "accession", "split"))
-    assert {a for a, s in rows.items() if s == "val"} == {"A1", "A2"} and len(rows) == 8 and list(rows.values()).count("test") == 1
+    assert {a for a, s in rows.items() if s == "val"} == {"A3", "A11", "A17"} and len(rows) == 20 and list(rows.values()).count("test") == 3
 
 
 def test_csv_duplicates_are_an_error(spark):
-    table = spark.createDataFrame([("A1", "zero_shot"), ("A1", "zs")], "accession string, split string")
+    table = spark.createDataFrame([("A4", "zs"), ("A5", "zero_shot"), ("A6", "zs"), ("A5", "zs")], "accession string, split string")
     with pytest.raises(ValueError, match="Duplicate accession assignments"):
-        sp.split_independent(accessions(spark, 8), sp.IndependentSplit(zero_shot="csv"), zero_table=table)
+        sp.split_independent(accessions(spark, 6), sp.IndependentSplit(zero_shot="csv"), zero_table=table)
 
 
 def test_kfold_with_zero_shot(spark):
-    table = spark.createDataFrame([("A1", "validation"), ("A9", "zero_shot"), ("A10", "zero_shot")], "accession string, split string")
-    conf = sp.IndependentSplit(validation="csv", train_test="cross_validation", n_splits=3, train_test_seed=13, zero_shot="csv")
-    rows = dict(as_set(sp.split_independent(accessions(spark, 10), conf, table, table), "accession", "split"))
-    assert {a for a, s in rows.items() if s == "zero_shot"} == {"A9", "A10"} and len(rows) == 10
+    table = spark.createDataFrame([("A5", "validation"), ("A2", "zero_shot"), ("A7", "zero_shot"), ("A13", "zero_shot")], "accession string, split string")
+    conf = sp.IndependentSplit(validation="csv", train_test="cross_validation", n_splits=4, train_test_seed=101, zero_shot="csv")
+    rows = dict(as_set(sp.split_independent(accessions(spark, 14), conf, table, table), "accession", "split"))
+    assert {a for a, s in rows.items() if s == "zero_shot"} == {"A2", "A7", "A13"} and len(rows) == 14
 
 
 def test_organism_aliases(spark):

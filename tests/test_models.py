@@ -24,20 +24,27 @@ from pairloom.streaming.score import score_stream
 
 def layer_rows(spark):
     return spark.createDataFrame(
-        [("m", "P1", 1, [3.0, 4.0]), ("m", "P1", 0, [1.0, 2.0]), ("m", "P2", 0, [5.0, 6.0]), ("m", "P2", 1, [7.0, 8.0])],
+        [("m", "P1", 7, [1.5, 3.0, 1.0]), ("m", "P2", 2, [4.0, 4.0, 4.0]), ("m", "P1", 2, [0.5, -1.0, 9.0]), ("m", "P2", 7, [0.0, 8.0, 2.0])],
         "model string, accession string, layer_index int, vec array<float>",
     )
 
 
-@pytest.mark.parametrize("mode,want", [("mean", [2, 3]), ("attention", [2, 3]), ("max", [3, 4]), ("mean_max", [2, 3, 3, 4]), ("concat", [1, 2, 3, 4])])
+@pytest.mark.parametrize("mode,want", [
+    ("mean", [1, 1, 5]), ("attention", [1, 1, 5]), ("max", [1.5, 3, 9]), ("mean_max", [1, 1, 5, 1.5, 3, 9]), ("concat", [0.5, -1, 9, 1.5, 3, 1]),
+])
 def test_layer_modes(spark, mode, want):
     rows = {r["accession"]: list(r["vec"]) for r in ve.aggregate_layers(layer_rows(spark), mode).collect()}
     assert rows["P1"] == want and len(rows) == 2
 
 
+def test_concatenation_plans_no_sort_of_vectors(spark):
+    plan = ve.layers_concat(layer_rows(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_layer_views(spark):
-    assert {r["view"] for r in ve.layers_none(layer_rows(spark)).collect()} == {"m__layer_0", "m__layer_1"}
-    assert {r["view"] for r in ve.layers_none(layer_rows(spark).where("layer_index = 0")).collect()} == {"m"}
+    assert {r["view"] for r in ve.layers_none(layer_rows(spark)).collect()} == {"m__layer_2", "m__layer_7"}
+    assert {r["view"] for r in ve.layers_none(layer_rows(spark).where("layer_index = 2")).collect()} == {"m"}
     with pytest.raises(ValueError):
         ve.aggregate_layers(layer_rows(spark), "other")
 
@@ -52,12 +59,12 @@ def test_strict_feature_join(spark):
 
 
 def test_ontology_vectors(spark):
-    rows = [("BP", "P1", [1.0, 2.0]), ("MF", "P1", [3.0, 4.0]), ("CC", "P1", [5.0, 6.0]), ("BP", "P2", [7.0, 8.0])]
+    rows = [("MF", "Q7", [0.25]), ("BP", "Q7", [9.0, -2.0]), ("CC", "Q7", [1.0, 1.5, 2.0]), ("CC", "Q8", [6.0, 5.0, 4.0])]
     vectors = spark.createDataFrame(rows, "ontology string, accession string, vec array<float>")
-    ids = spark.createDataFrame([("P1",), ("P2",), ("P3",)], "accession string")
+    ids = spark.createDataFrame([("Q9",), ("Q7",), ("Q8",)], "accession string")
     got = {r["accession"]: list(r["vec"]) for r in ve.go_concat(vectors, ids).collect()}
-    assert got == {"P1": [1, 2, 5, 6, 3, 4], "P2": [7, 8, 0, 0, 0, 0], "P3": [0] * 6}
-    assert [ve.ontology_of(n) for n in ("go_P_x.csv", "mf.csv", "cc.csv", "other.csv")] == ["BP", "MF", "CC", "other.csv"]
+    assert got == {"Q7": [9, -2, 1, 1.5, 2, 0.25], "Q8": [0, 0, 6, 5, 4, 0], "Q9": [0] * 6}
+    assert [ve.ontology_of(n) for n in ("terms_f_v2.tsv", "bp_all.csv", "my_cc", "misc")] == ["MF", "BP", "CC", "misc"]
 
 
 def test_scaler_sees_train_only(spark):
@@ -67,15 +74,15 @@ def test_scaler_sees_train_only(spark):
 
 
 def test_relational_store(spark):
-    raw = bytearray(np.array([0.1, 0.2, 0.3], dtype="<f4").tobytes())
-    emb = spark.createDataFrame([(7, 1, 5, raw)], "sequence_id int, embedding_type_id int, layer_index int, embedding binary")
-    seq = spark.createDataFrame([(7,)], "id int")
-    prot = spark.createDataFrame([(3, 7)], "id int, sequence_id int")
-    acc = spark.createDataFrame([(3, "P12345", True), (3, "Q1", False)], "protein_id int, code string, primary boolean")
-    row = relational.load_layer_embeddings(emb, seq, prot, acc, 1, 5).collect()
-    assert len(row) == 1 and row[0]["accession"] == "P12345" and np.allclose(row[0]["vec"], [0.1, 0.2, 0.3])
+    raw = bytearray(np.array([1.25, -3.5], dtype="<f4").tobytes())
+    emb = spark.createDataFrame([(90, 4, 11, raw)], "sequence_id int, embedding_type_id int, layer_index int, embedding binary")
+    seq = spark.createDataFrame([(90,)], "id int")
+    prot = spark.createDataFrame([(17, 90)], "id int, sequence_id int")
+    acc = spark.createDataFrame([(17, "Z9", False), (17, "K0AAA1", True)], "protein_id int, code string, primary boolean")
+    row = relational.load_layer_embeddings(emb, seq, prot, acc, 4, 11).collect()
+    assert len(row) == 1 and row[0]["accession"] == "K0AAA1" and list(row[0]["vec"]) == [1.25, -3.5]
     with pytest.raises(ValueError):
-        relational.load_layer_embeddings(emb, seq, prot, acc, 1, 6)
+        relational.load_layer_embeddings(emb, seq, prot, acc, 4, 12)
     with pytest.raises(ValueError):
         relational.resolve_embedding_type(spark.createDataFrame([(1, "a")], "id int, name string"), "b")
     assert relational.load_proteins(prot, acc).first()["organism"] is None
@@ -169,70 +176,106 @@ def test_zero_division_is_zero(spark):
 
 # -- benchmark tables ------------------------------------------------------------------------------
 
-TRUTH = [0, 0, 1, 1, 0, 1]
-PREDICTED = {
-    100: {"LR ESM2": "001101", "LR ProtT5": "011001", "RF ESM2": "011001", "RF ProtT5": "111001"},
-    101: {"LR ESM2": "001001", "LR ProtT5": "011011", "RF ESM2": "011011", "RF ProtT5": "111101"},
-    102: {"LR ESM2": "001100", "LR ProtT5": "010011", "RF ESM2": "010011", "RF ProtT5": "111011"},
-}
+TRUTH = [1, 0, 1, 1, 0, 0, 1, 0]
+# positions that a model gets wrong, by seed
+WRONG = {5: {"LR A": [0], "LR B": [1, 2], "RF A": [1, 2], "RF B": []}, 6: {"LR A": [], "LR B": [3], "RF A": [3], "RF B": [4, 5]}}
+
+
+def combo_tables(spark):
+    return spark.createDataFrame([("LR",), ("SVM",)], "model_type string"), spark.createDataFrame([("A",)], "embedding_name string")
 
 
-def test_multi_seed_fixture(spark):
+def test_several_seeds(spark):
     rows = [
-        (seed, *name.split(), str(i), TRUTH[i], int(p)) for seed, models in PREDICTED.items() for name, line in models.items() for i, p in enumerate(line)
+        (seed, *name.split(), str(i), t, 1 - t if i in wrong else t)
+        for seed, models in WRONG.items() for name, wrong in models.items() for i, t in enumerate(TRUTH)
     ]
     preds = spark.createDataFrame(rows, "seed int, model_type string, embedding_name string, accession string, true_label int, predicted_label int")
     ranked = be.seed_rank(me.binary_metrics_by_model(preds).withColumn("strategy", F.lit("single")))
     table = {(r["model_type"], r["embedding_name"]): r for r in be.seed_aggregate(ranked).collect()}
-    assert table["LR", "ProtT5"]["rank_sum"] == table["RF", "ESM2"]["rank_sum"]
-    tp = [sum(t and int(p) for t, p in zip(TRUTH, PREDICTED[s]["LR ESM2"])) for s in PREDICTED]
-    assert math.isclose(table["LR", "ESM2"]["TP_mean"], sum(tp) / 3) and table["LR", "ESM2"]["num_seeds"] == 3
-    full = be.append_expected(be.seed_aggregate(ranked), be.expected_combos(spark, ["LR", "SVM"], ["ESM2"]))
+    # seed 5: RF B 1, LR A 6/7, the other two share third place; seed 6: LR A 1, LR B and RF A 6/7, RF B 8/10
+    assert {k: r["rank_sum"] for k, r in table.items()} == {("LR", "A"): 3, ("RF", "B"): 5, ("LR", "B"): 5, ("RF", "A"): 5}
+    assert table["LR", "A"]["TP_mean"] == 3.5 and table["LR", "A"]["num_seeds"] == 2
+    full = be.append_expected(be.seed_aggregate(ranked), be.expected_combos(*combo_tables(spark)))
     missing = [r for r in full.collect() if r["model_type"] == "SVM"]
     assert len(missing) == 1 and missing[0]["num_seeds"] == 0 and missing[0]["mean_f1"] is None and missing[0]["TP_mean"] == 0
 
 
+def ranks_of(spark, values):
+    df = spark.createDataFrame([(1, f"m{i}", float(v)) for i, v in enumerate(values)], "seed int, model_type string, f1 double")
+    rows = be.seed_rank(df.withColumns({"embedding_name": F.lit("v"), "strategy": F.lit("single")})).orderBy("model_type").collect()
+    return [r["rank"] for r in rows]
+
+
+def test_a_tie_is_measured_from_the_leader_of_the_rank(spark):
+    assert ranks_of(spark, [0.5, 0.5 - 0.8e-12, 0.5 - 1.6e-12]) == [1, 1, 3]
+    assert ranks_of(spark, [0.2, 0.2, 0.2, 0.1, 0.1, 0.3]) == [2, 2, 2, 5, 5, 1]
+
+
 def test_rank_ties_and_missing(spark):
     rows = [(1, "a", 0.5), (1, "b", 0.5 + 1e-14), (1, "c", 0.4), (1, "d", float("nan")), (1, "e", 0.9)]
     df = spark.createDataFrame(rows, "seed int, model_type string, f1 double").withColumns({"embedding_name": F.lit("v"), "strategy": F.lit("single")})
     assert {r["model_type"]: r["rank"] for r in be.seed_rank(df).collect()} == {"e": 1, "a": 2, "b": 2, "c": 4, "d": None}
 
 
-def test_weight_records_fixture(spark):
-    rows = [(42, "default", [0.2, 0.8], ["LR::ESM2", "RF::ProtT5"], {"LR::ESM2": 0.5, "RF::ProtT5": 0.7}),
-            (123, "default", [0.4, 0.6], ["LR::ESM2", "RF::ProtT5"], {"LR::ESM2": 0.6, "RF::ProtT5": 0.7})]
+def test_weight_records(spark):
+    names, scores = ["A::x", "B::y", "C::z"], [[0.9, 0.6, 0.5], [0.8, 0.4, 0.7]]
+    weights = [[0.5, 0.3, 0.2], [0.7, 0.1, 0.2]]
+    rows = [(7 + i, "base", w, names, dict(zip(names, s))) for i, (w, s) in enumerate(zip(weights, scores))]
     df = spark.createDataFrame(rows, "seed int, ablation string, weights array<double>, models_used array<string>, model_validation_scores map<string,double>")
     per, overall = be.weights_analysis(df)
     got = {r["model"]: (round(r["mean_weight"], 9), round(r["std_weight"], 9)) for r in per.collect()}
-    assert got == {"LR::ESM2": (0.3, 0.1), "RF::ProtT5": (0.7, 0.1)}
-    assert math.isclose(overall.first()["mean_val_weight_correlation"], 1.0, abs_tol=1e-9)
+    assert got == {"A::x": (0.6, 0.1), "B::y": (0.2, 0.1), "C::z": (0.2, 0.0)}
+    want = np.mean([np.corrcoef(s, w)[0, 1] for s, w in zip(scores, weights)])
+    assert math.isclose(overall.first()["mean_val_weight_correlation"], want, abs_tol=1e-9)
 
 
 # -- statistics ------------------------------------------------------------------------------------
 
-def fixture_scores(spark):
-    values = {42: [0.91, 0.83, 0.75, 0.60], 43: [0.89, 0.82, 0.74, 0.58], 44: [0.90, 0.81, 0.73, 0.57]}
+def scores_of(spark, lines):
     return st.score_matrix(spark.createDataFrame(
-        [(s, f"M{i + 1}", v) for s, line in values.items() for i, v in enumerate(line)], "seed int, model_config string, f1 double"
+        [(run, name, v) for run, line in enumerate(lines) for name, v in zip("abc", line)], "seed int, model_config string, f1 double"
     ))
 
 
-def test_friedman_fixture(spark):
-    scores = fixture_scores(spark)
+def test_friedman_by_hand(spark):
+    """Ranks 1 2 3, 1 3 2, 1 2 3, 2 3 1: the statistic is 4 (1.25² + 2.5² + 2.25² - 12) = 3.5, its tail exp(-1.75)."""
+    scores = scores_of(spark, [[0.70, 0.64, 0.58], [0.71, 0.60, 0.66], [0.69, 0.68, 0.50], [0.55, 0.52, 0.61]])
     ranks = st.average_ranks(st.rank_matrix(scores))
-    assert [(r["model_id"], r["avg_rank"]) for r in ranks.collect()] == [("M1", 1), ("M2", 2), ("M3", 3), ("M4", 4)]
+    assert {r["model_id"]: r["avg_rank"] for r in ranks.collect()} == {"a": 1.25, "b": 2.5, "c": 2.25}
     row = st.friedman(scores).first()
-    assert math.isclose(row["statistic"], 9.0) and math.isclose(row["p_value"], 0.0292908865, rel_tol=1e-6) and row["significant"]
+    assert math.isclose(row["statistic"], 3.5) and math.isclose(row["p_value"], math.exp(-1.75), rel_tol=1e-6) and not row["significant"]
+    assert st.nemenyi_after_friedman(scores) is None
+
+
+def test_pairs_after_a_clear_order(spark):
+    """Six runs in the same order: 6 (1 + 4 + 9 - 12) = 12, tail exp(-6)."""
+    scores = scores_of(spark, [[0.9 - i / 100, 0.8, 0.3 + i / 50] for i in range(6)])
+    row = st.friedman(scores).first()
+    assert math.isclose(row["statistic"], 12.0) and math.isclose(row["p_value"], math.exp(-6), rel_tol=1e-6) and row["significant"]
     pairs = st.nemenyi_after_friedman(scores).collect()
-    assert len(pairs) == 6 and pairs[0]["model_a"] == "M1" and pairs[0]["model_b"] == "M4"
-    assert math.isclose(pairs[0]["critical_difference"], 3.633160 / math.sqrt(2) * math.sqrt(20 / 18), rel_tol=1e-5)
+    assert [(r["model_a"], r["model_b"], r["rank_diff"]) for r in pairs] == [("a", "c", 2), ("a", "b", 1), ("b", "c", 1)]
+    assert math.isclose(pairs[0]["critical_difference"], 3.314493 / math.sqrt(2) * math.sqrt(12 / 36), rel_tol=1e-5)
+
+
+def test_more_models_than_a_block(spark):
+    ranks = spark.createDataFrame([(f"m{i:04d}", float(i)) for i in range(1100)], "model_id string, avg_rank double")
+    near = st.nemenyi(ranks.where("model_id < 'm0002'"), 4)
+    assert near.count() == 1
+    blocks = st.PAIR_BLOCK
+    st.PAIR_BLOCK = 7
+    try:
+        few = ranks.where("avg_rank < 20")
+        assert st.nemenyi(few, 4).select("model_a", "model_b").distinct().count() == 190
+    finally:
+        st.PAIR_BLOCK = blocks
 
 
 def test_friedman_statuses(spark):
-    scores = fixture_scores(spark)
-    assert st.friedman(scores.where("model_id in ('M1', 'M2')")).first()["status"] == "insufficient_models_for_friedman"
-    assert st.friedman(scores.where("run_id = 42")).first()["status"] == "insufficient_data"
-    assert st.complete_runs(scores.where("not (run_id = 43 and model_id = 'M2')")).select("run_id").distinct().count() == 2
+    scores = scores_of(spark, [[0.9, 0.8, 0.7], [0.6, 0.7, 0.5], [0.4, 0.3, 0.2]])
+    assert st.friedman(scores.where("model_id in ('a', 'b')")).first()["status"] == "insufficient_models_for_friedman"
+    assert st.friedman(scores.where("run_id = 1")).first()["status"] == "insufficient_data"
+    assert st.complete_runs(scores.where("not (run_id = 2 and model_id = 'b')")).select("run_id").distinct().count() == 2
     tied = scores.withColumn("score", F.lit(0.5))
     assert st.friedman(tied).first()["statistic"] is None
     assert st.nemenyi_after_friedman(tied) is None
@@ -252,7 +295,8 @@ def separable(spark, n=160):
 
 @pytest.mark.parametrize("kind,params", [
     ("LR", {"C": 1.0, "class_weight": "balanced"}), ("RF", {"n_estimators": 5}), ("XGB", {"n_estimators": 3}), ("SVM", {}),
-    ("MLP", {"epochs": 50, "hidden_layers_mode": "custom", "custom_hidden_layers": [4]}),
+    ("MLP", {"epochs": 50, "custom_layer_config": {"hidden_layers_mode": "custom", "custom_hidden_layers": [4]}}),
+    ("KNN-2", {"n_neighbors": 3, "p_metric": {"p": 1}, "weights": "distance"}),
 ])
 def test_separable_data_is_learned(spark, kind, params):
     rows = separable(spark)
@@ -263,8 +307,8 @@ def test_separable_data_is_learned(spark, kind, params):
 
 def test_multiclass_one_vs_rest_models(spark):
     rows = separable(spark).withColumn("label", F.when(F.col("vec")[0] > 0, 2).when(F.col("vec")[2] > 0, 1).otherwise(0))
-    for kind in ("SVM", "GBT"):
-        out = tr.batch_predict(tr.train_model(rows, kind, {"n_estimators": 2, "max_iter": 5}), rows)
+    for kind, params in (("SVM", {"max_iter": 5}), ("GBT", {"n_estimators": 2}), ("KNN", {"n_neighbors": 3})):
+        out = tr.batch_predict(tr.train_model(rows, kind, params), rows)
         assert out.where("abs(aggregate(probs, 0D, (a, x) -> a + x) - 1) > 1e-6").count() == 0
 
 
@@ -279,6 +323,62 @@ def test_matrix_sweep_and_retrain(spark):
     assert {r["split"] for r in again.collect()} == {"test", "refit_train_val"}
 
 
+def test_settings_are_mapped_or_refused(spark):
+    for kind, params in (("LR", {"gamma": 1}), ("RF", {"class_weight": "balanced_subsample"}), ("SVM", {"kernel_config": {"kernel": "rbf"}}), ("KNN", {"p": 3}), ("OTHER", {})):
+        with pytest.raises(ValueError):
+            tr.train_model(separable(spark, 8), kind, params)
+    flat = tr.flat_params("RF", {"bootstrap_config": {"bootstrap": True, "max_samples": 0.5}, "criterion": "log_loss", "max_features": "sqrt", "n_jobs": 4})
+    assert tr._mapped(flat, tr.RF_PARAMS) == {"bootstrap": True, "subsamplingRate": 0.5, "impurity": "entropy", "featureSubsetStrategy": "sqrt"}
+
+
+def test_penalty_is_that_of_one_over_c_n(spark):
+    """At the optimum the gradient of mean loss plus w² / (2 C n) vanishes; half the penalty would leave it large."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (60, 3)) * [1, 5, 0.2]
+    y = (x @ [1.0, 0.2, -2.0] + rng.normal(0, 1, 60) > 0).astype(int)
+    df = spark.createDataFrame([(f"a{i}", int(t), v.tolist()) for i, (t, v) in enumerate(zip(y, x))], "accession string, label int, vec array<double>")
+    model = tr.train_lr(df, {"tol": 1e-10, "C": 0.5}).model
+    w, b = model.coefficients.toArray(), model.intercept
+    error = 1 / (1 + np.exp(-(x @ w + b))) - y
+    gradient = error @ x / 60 + w / (0.5 * 60)
+    assert np.abs(gradient).max() < 1e-5 and abs(error.sum()) < 1e-3
+    assert np.abs(error @ x / 60 + w / (1.0 * 60)).max() > 1e-3
+
+
+def test_threshold_is_inclusive_and_looked_up(spark):
+    rows = spark.createDataFrame([("t1", 0, [0.0]), ("t2", 1, [2.0])], "accession string, label int, vec array<double>")
+    fitted = tr.train_model(rows, "KNN", {"n_neighbors": 2})
+    query = spark.createDataFrame([("q", [1.0])], "accession string, vec array<double>")
+    assert tr.batch_predict(fitted, query).first()["predicted_label"] == 1  # exactly one half
+    assert tr.batch_predict(fitted, query, 0.6).first()["predicted_label"] == 0
+    given = {"KNN::v": 0.9, "KNN": 0.7, "default": 0.4}
+    assert [tr._threshold(given, *k) for k in (("KNN", "v"), ("KNN", "w"), ("LR", "v"))] == [0.9, 0.7, 0.4] and tr._threshold(None, "LR", "v") == 0.5
+
+
+def test_grid_of_array_labels(spark):
+    rows = separable(spark).withColumn("labels", F.array_compact(F.array(F.when(F.col("label") == 1, "a"), F.when(F.col("label") == 0, "b"))))
+    table, models = tr.train_matrix(rows, ["LR", "KNN"], label="labels")
+    assert list(models["LR", "v"]) == ["a", "b"]
+    assert {(r["model_type"], r["metric"]): r["value"] for r in table.collect()} == {(k, m): 1.0 for k in ("LR", "KNN") for m in ("precision", "recall", "f1", "micro_f1")}
+
+
+def test_only_the_owner_drops_a_cache(spark):
+    rows = separable(spark).persist()
+    tr.sweep_run(rows, "LR", {"C": {"min": 0.1, "max": 1.0}}, 2)
+    assert rows.is_cached and rows.storageLevel.useMemory
+    rows.unpersist()
+
+
+def test_averages_over_classes(spark):
+    rows = separable(spark).withColumn("label", F.when(F.col("accession") < "A13", 2).otherwise(F.col("label")))
+    macro, _ = tr.train_matrix(rows, ["LR"])
+    weighted, _ = tr.train_matrix(rows, ["LR"], metrics_average="weighted")
+    pick = lambda t, m: t.where(f"metric = '{m}'").first()["value"]
+    assert pick(macro, "accuracy") == pick(weighted, "accuracy") and pick(macro, "f1") != pick(weighted, "f1")
+    with pytest.raises(ValueError):
+        tr.train_matrix(rows, ["LR"], metrics_average="other")
+
+
 def test_trial_values_stay_in_range(spark):
     space = {"k": {"min": 2, "max": 4, "distribution": "int_uniform"}, "c": {"min": 0.1, "max": 10.0, "distribution": "log_uniform"}, "s": {"values": ["a", "b"]}}
     params = sw.trial_params(sw.sweep_trials(spark, space, 50))
@@ -297,7 +397,7 @@ def test_neighbours_agree_with_brute_force(spark, metric):
     for i, v in enumerate(query):
         d = np.abs(train - v).sum(1) if metric == "manhattan" else np.sqrt(((train - v) ** 2).sum(1))
         want |= {(f"q{i}", f"t{j:03d}") for j in np.argsort(d, kind="stable")[:4]}
-    for bounds in ({}, {"broadcast_bytes": 0, "pivots": 8, "block_rows": 20}):
+    for bounds in ({}, {"pivots": 8, "block_rows": 20}, {"pivots": 1, "block_rows": 7}):
         got = nb.nearest_neighbours(t, q, 4, metric, **bounds)
         assert {(r["accession"], r["neighbour"]) for r in got.collect()} == want
 
@@ -312,8 +412,8 @@ def test_distance_weights_with_exact_hits(spark):
 
 def test_importance_finds_the_informative_features(spark):
     rows = separable(spark)
-    for kind in ("LR", "RF"):
-        fitted = tr.train_model(rows, kind, {"n_estimators": 5})
+    for kind, params in (("LR", {}), ("RF", {"n_estimators": 5})):
+        fitted = tr.train_model(rows, kind, params)
         top = {r["feature"] for r in ex.top_features(ex.importance_auto(fitted, rows), 2).collect()}
         assert top & {0, 1}
     drops = {r["feature"]: r["importance"] for r in ex.importance_permutation(tr.train_lr(rows), rows, n_repeats=2).collect()}

@@ -41,7 +41,10 @@ GBT_PARAMS = {
     "min_child_weight": "minInstancesPerNode", "colsample_bytree": "featureSubsetStrategy",
 }
 # What the estimators start from where a setting isn't given; trees of any depth are trees of Spark's largest depth.
-DEFAULTS = {"RF": {"numTrees": 100, "maxDepth": 30}, "GBT": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}}
+DEFAULTS = {
+    "LR": {"maxIter": 100, "tol": 1e-4}, "SVM": {"maxIter": 20, "tol": 1e-3}, "RF": {"numTrees": 100, "maxDepth": 30},
+    "GBT": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3},
+}
 OTHER_PARAMS = {
     "LR": {"C", "penalty", "l1_ratio", "class_weight"}, "SVM": {"C", "class_weight", "kernel"}, "RF": {"class_weight"}, "GBT": set(),
     "MLP": {"epochs", "hidden_layers_mode", "custom_hidden_layers", "num_hidden_layers"}, "KNN": {"n_neighbors", "weights", "metric", "p"},
@@ -158,7 +161,7 @@ def train_model(features: DataFrame, model_type: str, params: Mapping | None = N
     platt = None
     each = {"featuresCol": "_features", "labelCol": "_label", "rawPredictionCol": "rawPrediction"}
     if kind in ("LR", "SVM"):
-        settings = {"regParam": 1.0 / (float(params.get("C") or 1.0) * max(1, features.count())), "standardization": False, **_mapped(params, LR_PARAMS)}
+        settings = {"regParam": 1.0 / (float(params.get("C") or 1.0) * max(1, features.count())), "standardization": False, **DEFAULTS[kind], **_mapped(params, LR_PARAMS)}
     if kind == "LR":
         mix = {"l1": 1.0, "elasticnet": float(params.get("l1_ratio") or 0.5)}.get(params.get("penalty"), 0.0)
         model = LogisticRegression(**common, **settings, elasticNetParam=mix).fit(train)

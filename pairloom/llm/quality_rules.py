@@ -6,10 +6,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import text_columns, text_table
 from pairloom.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -83,12 +83,11 @@ def signals(text: str) -> tuple:
     return n, chars, symbols, dup_lines, repeat, "".join(votes)
 
 
-def quality_signals(text: Column) -> Column:
-    """Struct of the counts and votes of a text; null reads as empty."""
-    def each(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signals(t or "") for t in texts], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "votes"])
+SIGNALS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string"
 
-    return F.pandas_udf(each, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes string")(text.cast("string"))
+
+def _signals():
+    return lambda text: signals(text or "")
 
 
 def label_model(patterns: list[str], counts: list[int], rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -133,8 +132,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     Null and empty texts have no word and fail; repeated rows give repeated rows and count as often in the estimates; an empty table
     gives an empty table. Columns other than doc_id and text are not read.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), quality_signals(F.col("text")).alias("s")).select("doc_id", "s.*")
-    found = cut_lineage(found, "signals")
+    found = cut_lineage(text_table(docs, _signals, SIGNALS), "signals")
     judged = found.join(F.broadcast(posteriors(found.select("votes"))), "votes")
     return judged.withColumn("base_failed", _failed()).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -143,7 +141,6 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rules and whose posterior is at least one half, with all their columns."""
-    marked = docs.select(F.struct("*").alias("doc"), quality_signals(F.col("text")).alias("s"))
-    votes = cut_lineage(docs.select(quality_signals(F.col("text")).alias("s")).select("s.votes"), "votes")
-    judged = marked.select("doc", "s.*").join(F.broadcast(posteriors(votes)), "votes")
+    votes = cut_lineage(text_table(docs, _signals, SIGNALS).select("votes"), "votes")
+    judged = text_columns(docs, _signals, SIGNALS).join(F.broadcast(posteriors(votes)), "votes")
     return judged.where(~_failed() & (F.col("posterior") >= KEEP)).select("doc.*")

@@ -11,10 +11,11 @@ import math
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import text_columns, text_table
+
 LEAST_GUESSES = 8.0  # log10
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -110,19 +111,15 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def scan(text: Column, least_guesses: float = LEAST_GUESSES) -> Column:
-    """Struct of n_assign, n_access, n_hex, n_guess, n_weak, base_sha256 and spans of a text; null reads as empty."""
-    def each(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            spans, weak = find_spans(t or "", least_guesses)
-            counts = [sum(k == kind for _, _, k in spans) for kind in KINDS]
-            base = _listed([s for s in spans if s[2] != "guess"])
-            rows.append((*counts, weak, hashlib.sha256(base.encode()).hexdigest(), _listed(spans)))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_guess", "n_weak", "base_sha256", "spans"])
+FOUND = "n_assign long, n_access long, n_hex long, n_guess long, n_weak long, base_sha256 string, spans string"
+
 
-    kind = "n_assign long, n_access long, n_hex long, n_guess long, n_weak long, base_sha256 string, spans string"
-    return F.pandas_udf(each, kind)(text.cast("string"))
+def scan(text: str | None, least_guesses: float = LEAST_GUESSES) -> tuple:
+    """The columns of FOUND for a text; null reads as empty."""
+    spans, weak = find_spans(text or "", least_guesses)
+    counts = [sum(k == kind for _, _, k in spans) for kind in KINDS]
+    base = _listed([s for s in spans if s[2] != "guess"])
+    return *counts, weak, hashlib.sha256(base.encode()).hexdigest(), _listed(spans)
 
 
 def secret_spans(docs: DataFrame, least_guesses: float = LEAST_GUESSES) -> DataFrame:
@@ -131,8 +128,7 @@ def secret_spans(docs: DataFrame, least_guesses: float = LEAST_GUESSES) -> DataF
     Null and empty texts have no span; repeated rows give repeated rows; columns other than doc_id and text are not read. A value that
     a base span covers is not reported again; n_weak counts base values that are cheap to guess, which stay reported.
     """
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scan(F.col("text"), least_guesses).alias("found"))
-    return picked.select("doc_id", "found.*")
+    return text_table(docs, lambda: lambda text: scan(text, least_guesses), FOUND)
 
 
 def mask(text: str, spans: list[tuple[int, int, str]], sign: str = "[secret]") -> str:
@@ -147,11 +143,16 @@ def mask(text: str, spans: list[tuple[int, int, str]], sign: str = "[secret]") -
 
 def redact_secrets(docs: DataFrame, least_guesses: float = LEAST_GUESSES) -> DataFrame:
     """The documents, all of them, with every span of their texts masked; n_chars follows where it is given. Null texts stay null."""
-    def each(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else mask(t, find_spans(t, least_guesses)[0]) for t in texts], dtype=object)
-
-    masked = docs.withColumn("text", F.pandas_udf(each, "string")(F.col("text").cast("string")))
-    if "n_chars" not in docs.columns:
-        return masked
-    kind = dict(docs.dtypes)["n_chars"]
-    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    def masked(text: str | None) -> tuple:
+        return (None if text is None else mask(text, find_spans(text, least_guesses)[0]),)
+
+    rows = text_columns(docs, lambda: masked, "masked string")
+    fields = []
+    for name, kind in docs.dtypes:
+        if name == "text":
+            fields.append(F.col("masked").alias(name))
+        elif name == "n_chars":
+            fields.append(F.coalesce(F.length("masked"), F.col("doc.n_chars")).cast(kind).alias(name))
+        else:
+            fields.append(F.col("doc").getField(name).alias(name))
+    return rows.select(*fields)

@@ -12,7 +12,7 @@ import base64
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +34,12 @@ def _encoding(path: str, pattern: str):
 
 def rank_file_tokens(text: Column, path: str, pattern: str) -> Column:
     """Number of tokens of a text by a file of byte-pair ranks; null reads as empty. Special tokens' strings are ordinary text."""
-    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def each(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = _encoding(path, pattern).encode_ordinary
         for texts in parts:
-            yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+            yield pa.array([len(encode(t.as_py() or "")) for t in texts], pa.int64())
 
-    return F.pandas_udf(each, "long")(text.cast("string"))
+    return F.arrow_udf(each, "long")(text.cast("string"))
 
 
 def word_tokens(text: Column) -> Column:

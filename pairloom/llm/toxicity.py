@@ -9,10 +9,12 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.llm.common import sliced, text_columns, text_table
+
 THRESHOLD = 0.3
 ENTRIES = 4000
 CANDIDATES = 60_000
@@ -93,18 +95,21 @@ def _training(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     """Documents per entry; sums are made per task first, and handed on when they grow."""
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
+
         counts: Counter[str] = Counter()
-        for frame in frames:
-            for text in frame["text"]:
+        for batch in sliced(batches, 256):
+            for text in batch.column("text").to_pylist():
                 found = entries_of(folded(text or ""))
                 counts.update(found if wanted is None else found & wanted)
                 if len(counts) > 200_000:
-                    yield pd.DataFrame(counts.items(), columns=["entry", "n"])
+                    yield out()
                     counts.clear()
-        yield pd.DataFrame(counts.items(), columns=["entry", "n"]).astype({"entry": "str", "n": "int64"})
+        yield out()
 
-    return rows.select("text").mapInPandas(each, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(each, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(training: DataFrame, entries: int = ENTRIES, candidates: int = CANDIDATES) -> dict[str, float]:
@@ -132,13 +137,12 @@ def learn_lexicon(training: DataFrame, entries: int = ENTRIES, candidates: int =
     return {entry: weight for _, entry, weight in sorted(scored, reverse=True)[:entries]}
 
 
-def evidence_of(text: Column, weights: dict[str, float], exceptions: Sequence[str]) -> Column:
-    def each(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _scorer(weights: dict[str, float], exceptions: Sequence[str]):
+    def make():
         lexicon = Lexicon(weights, exceptions)
-        for texts in parts:
-            yield pd.Series([lexicon.evidence(t or "") for t in texts], dtype="float64")
+        return lambda text: (lexicon.evidence(text or ""),)
 
-    return F.pandas_udf(each, "double")(text)
+    return make
 
 
 def calibrate(points: Sequence[tuple[float, int, int]]) -> tuple[float, float]:
@@ -169,10 +173,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, except
     """
     training = _training(docs, labels, ~held_out)
     weights = learn_lexicon(training)
-    scored = training.select(evidence_of(F.col("text"), weights, exceptions).alias("e"), "toxic")
+    scored = text_columns(training, _scorer(weights, exceptions), "e double").select("e", "doc.toxic")
     binned = scored.groupBy(F.least(F.floor(F.col("e") * 20), F.lit(BINS)).alias("bin")).agg(
         F.avg("e").alias("e"), F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).orderBy("bin").collect()
     a, b = calibrate([(r["e"], r["p"], r["n"]) for r in binned])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), evidence_of(F.col("text").cast("string"), weights, exceptions).alias("evidence"))
+    rows = text_table(docs, _scorer(weights, exceptions), "evidence double").withColumn("held_out", held_out)
     score = 1 / (1 + F.exp(-(F.lit(a) * F.col("evidence") + F.lit(b))))
     return rows.withColumn("score", score).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

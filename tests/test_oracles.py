@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from pairloom import plans
 from tests.oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = plans.QUERIES, plans.ORACLES  # the corpus queries have tests of their own
 
 
 @pytest.fixture(scope="module")

@@ -1,7 +1,11 @@
+import re
+
 import corpus_pipeline
+import pytest
 from llm.helpers import SCHEMA, awkward
 
 import __spark_entry__ as entry
+from pairloom.llm import queries
 from pairloom.llm.packing import document_pieces
 from pairloom.llm.secret_scan import find_spans
 from pairloom.session import cut_lineage
@@ -37,3 +41,32 @@ def test_stages_on_awkward_and_empty_tables(spark, tmp_path):
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"op2_token_counts"}))
+def test_queries_give_a_row_per_document(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    assert got.select("doc_id").distinct().count() == 200 and (name.startswith("op6") or got.count() == 200)
+
+
+def test_totals_are_those_of_the_documents_left(spark):
+    rows = queries.QUERIES["op2_token_counts"](spark, SF).where("tokenizer_version = 'words'").collect()
+    poor = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
+    docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.doc_id not in poor]
+    want = {}
+    for r in docs:
+        n, k = want.get((r.source, r.lang), (0, 0))
+        text = re.sub(r"(?m)^.*Licensed under.*$", "", r.text)
+        want[r.source, r.lang] = n + 1, k + len(text.encode().split())
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rows} == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    columns = sorted(queries.QUERIES[name](spark, SF).columns)
+    got = queries.QUERIES[name](spark, SF).select(*columns).toPandas().sort_values("doc_id").astype(object).values.tolist()
+    assert got == con.execute(queries.ORACLES[name]).df()[columns].sort_values("doc_id").astype(object).values.tolist()

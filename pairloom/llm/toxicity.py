@@ -19,6 +19,7 @@ THRESHOLD = 0.3
 ENTRIES = 4000
 CANDIDATES = 60_000
 BINS = 400
+SAMPLE = 40_000
 PREFIXES = range(4, 9)
 
 # Letters of other scripts that look like Latin ones, and signs used as letters.
@@ -87,10 +88,17 @@ class Lexicon:
         return total / (1.0 + math.log1p(len(words) / 100.0))
 
 
-def _training(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(train)
-    return rows.join(known, "doc_id").select("text", "toxic")
+def _training(docs: DataFrame, labels: DataFrame, train: Column, sample: int) -> DataFrame:
+    """(text, toxic) of about ``sample`` labelled rows of the training part, picked by a hash of the id; all of them if there are fewer.
+
+    The picked labels, two numbers a row, have that bound too, so they are broadcast and no text is shuffled.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & train)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = min(1.0, sample / max(1, known.count()))
+    picked = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
@@ -115,7 +123,7 @@ def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
 def learn_lexicon(training: DataFrame, entries: int = ENTRIES, candidates: int = CANDIDATES) -> dict[str, float]:
     """Entry to weight: the smoothed log odds of toxic documents, for entries whose tie to the label is beyond chance.
 
-    All labelled rows are counted. ``candidates`` bounds the entries weighed (those in most toxic documents) and ``entries`` the lexicon (the
+    ``candidates`` bounds the entries weighed (those in most toxic documents) and ``entries`` the lexicon (the
     strongest), so that both fit a driver and a task whatever the corpus.
     """
     totals = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
@@ -164,14 +172,17 @@ def calibrate(points: Sequence[tuple[float, int, int]]) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, exceptions: Sequence[str] = EXCEPTIONS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, evidence. Labels of held-out rows are not read.
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, exceptions: Sequence[str] = EXCEPTIONS, threshold: float = THRESHOLD,
+                    sample: int = SAMPLE) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, evidence. Labels of held-out rows are not used.
+
+    The lexicon and its curve are fitted on about ``sample`` labelled rows; every document is scored.
 
     Null and empty texts have no evidence and get the lowest score; repeated rows give repeated rows; several labels of one id count as
     toxic if one is. Without labels of both kinds every score is the same. Columns other than doc_id and text of the documents, and
     doc_id and toxic of the labels, are not read.
     """
-    training = _training(docs, labels, ~held_out)
+    training = _training(docs, labels, ~held_out, sample)
     weights = learn_lexicon(training)
     scored = text_columns(training, _scorer(weights, exceptions), "e double").select("e", "doc.toxic")
     binned = scored.groupBy(F.least(F.floor(F.col("e") * 20), F.lit(BINS)).alias("bin")).agg(

@@ -19,7 +19,7 @@ from pairloom.llm.simhash import simhash_groups
 from pairloom.llm.sketches import document_fingerprints
 from pairloom.llm.token_rollups import change, commit_batch, rank_file_tokens, totals, word_tokens
 from pairloom.llm.toxicity import toxicity_scores
-from pairloom.session import scratch_path
+from pairloom.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,16 +101,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted, those with a licence line are revised (without it), those of low quality deleted; the last two batches are
-    sent twice. Which documents to revise is seen on the row, so no text is shuffled."""
+    """All documents are inserted, those labelled toxic are revised (their texts in lower case), those of low quality deleted; the last two
+    batches are sent twice. The lower-cased texts are counted where they are read and the counts written, so that the join with the labels
+    moves narrow rows and no text."""
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     ranks = rank_file_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     versions = {"byte_bpe_50k": ranks, "words": word_tokens(F.col("text"))}
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
     poor = labels.where("quality = 0").select("doc_id").distinct()
-    revised = docs.where(F.contains("text", F.lit("Licensed under"))).withColumn("text", F.regexp_replace("text", r"(?m)^.*Licensed under.*$", ""))
+    lowered = cut_lineage(change(docs.withColumn("text", F.lower("text")), "revise", versions), "lowered")
+    revised = lowered.join(toxic, "doc_id", "left_semi")
     store = scratch_path(spark, "token-totals")
     commit_batch(spark, store, "load", change(docs, "insert", versions))
     for _ in range(2):
-        commit_batch(spark, store, "revision", change(revised, "revise", versions))
+        commit_batch(spark, store, "revision", revised)
         commit_batch(spark, store, "removal", change(docs.join(poor, "doc_id", "left_semi"), "delete", versions))
     return totals(spark, store)

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from pairloom.llm import queries
 from pairloom.llm.packing import document_pieces
 from pairloom.llm.secret_scan import find_spans
+from pairloom.llm.token_rollups import _encoding
 from pairloom.session import cut_lineage
 
 SF = "/root/testdata/sf0.001"
@@ -61,6 +62,23 @@ def test_totals_are_those_of_the_documents_left(spark):
     assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in rows} == want
 
 
+def test_toxic_documents_are_revised_to_lower_case(spark, tmp_path):
+    """Counts of both versions, on texts of which none has a licence line."""
+    path = __import__("public_tokenizers").path("byte_bpe_50k.tiktoken")
+    encode = _encoding(path, __import__("public_tokenizers").PATTERN).encode_ordinary
+    texts = {1: "WHAT A TERRIBLE Thing", 2: "WHAT A TERRIBLE Thing", 3: "GONE And REVISED", 4: None, 5: "Plain text"}
+    toxic, poor = {1, 3, 4}, {3}
+    spark.createDataFrame([(i, t, "en", f"s{i}", None) for i, t in texts.items()], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i in toxic), int(i not in poor)) for i in texts], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r.source, r.tokenizer_version): (r.n_docs, r.n_tokens) for r in queries.QUERIES["op2_token_counts"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i in texts.keys() - poor:
+        text = (texts[i] or "").lower() if i in toxic else texts[i] or ""
+        want[f"s{i}", "byte_bpe_50k"] = 1, len(encode(text))
+        want[f"s{i}", "words"] = 1, len(text.split())
+    assert got == want and got["s1", "byte_bpe_50k"] != got["s2", "byte_bpe_50k"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_match_their_sql(spark, name):
     import duckdb

@@ -162,8 +162,6 @@ class PieceModel:
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks not met before, and hold them against the library."""
-        if len(self.known) + len(chunks) > self.remembered:
-            self.known.clear()
         short = [c for c in chunks if len(c) <= SHORT]
         made = zip(short, self.merge_many(short)) if short else ()
         for chunk, ids in (*made, *((c, tuple(self.ids_of(c))) for c in chunks if len(c) > SHORT)):
@@ -180,11 +178,12 @@ class PieceModel:
     def encode_batch(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
         """Per text, its chunks' (ids, ids joined by commas)."""
         cut = [self.split(t) for t in texts]
-        new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.known))
-        size = len(self.known)
+        met = dict.fromkeys(c for chunks in cut for c in chunks)
+        new = [c for c in met if c not in self.known]
+        if len(self.known) + len(new) > self.remembered:  # chunks met before go too, so all of the slice are learnt again
+            self.known.clear()
+            new = list(met)
         self.learn(new)
-        if len(self.known) < size + len(new):  # the memory was cleared: chunks met before are gone too
-            self.learn(list({c for chunks in cut for c in chunks if c not in self.known}))
         known = self.known
         out = [[known[c] for c in chunks] for chunks in cut]
         if not self.checkable:

@@ -39,6 +39,17 @@ def test_memory_bound_changes_nothing():
     assert [small.encode_batch([t]) for t in texts] == [large.encode_batch([t]) for t in texts]
 
 
+@pytest.mark.parametrize("again", [False, True])
+def test_slice_beyond_the_memory_bound(again):
+    """More distinct chunks than are remembered, in a batch after a first one, with or without chunks met before."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    small, first = PieceModel(PIECES, remembered=50), "some words met before"
+    small.encode_batch([first])
+    texts = [" ".join(f"id{i * 7919 % 1000}x" for i in range(k, k + 60)) for k in (0, 40, 80)] + [first] * again
+    for _ in range(2):
+        assert [[i for ids, _ in e for i in ids] for e in small.encode_batch(texts)] == [library.encode(t) for t in texts]
+
+
 def test_piece_digests(spark):
     rows = awkward()
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)

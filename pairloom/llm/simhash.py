@@ -41,7 +41,11 @@ def simhash64(text: str | None, shingle: int = 3) -> int:
     else:
         parts = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, SEED) for x in parts), dtype=np.uint64)
+    return simhash_of(np.fromiter((digest(x, SEED) for x in parts), dtype=np.uint64))
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of 64-bit hashes; none give zero."""
     counts = np.zeros(BITS, dtype=np.int64)
     for start in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
         block = hashes[start:start + 65536].astype("<u8")
@@ -221,7 +225,12 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, sha
     """
     prints = cut_lineage(fingerprints(docs, shingle), "fingerprints")
     groups = components_of(prints, radius, shard_rows).select("fp", "label")
-    first = prints.join(groups, "fp").groupBy("label").agg(
+    return keep_first(docs, prints.join(groups, "fp"))
+
+
+def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The documents that come first in their group; ``labelled`` has doc_id, text_key and label of every document."""
+    first = labelled.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("kept"))
     kept = first.select(F.col("kept.id").alias("id"), F.col("kept.key").alias("key"))
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_key"))

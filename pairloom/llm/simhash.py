@@ -26,6 +26,7 @@ from pairloom.session import cut_lineage
 BITS = 64
 SEED = 42
 SHARD_ROWS = 4096
+LEVELS = 3
 
 
 def simhash64(text: str | None, shingle: int = 3) -> int:
@@ -167,33 +168,89 @@ def _star_edges(routed: DataFrame, radius: int) -> DataFrame:
     return routed.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInPandas(each, "u long, v long")
 
 
+def _chunk_edges(routed: DataFrame, radius: int) -> DataFrame:
+    """Edges found by the trees of chunks; ``routed`` holds (path, key, chunk, asks, fp): a chunk's own rows, and those that ask its tree.
+
+    A row that asks gets one edge to each group of the chunk that it touches, so a dense ball gives no list of pairs. Only one chunk is
+    held; the rows that ask it pass by in batches.
+    """
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own, tree, root = None, [], None, None
+        for frame in frames:
+            us, vs = [], []
+            where = list(zip(*(frame[c].tolist() for c in ("path", "key", "chunk", "asks"))))
+            fp = frame["fp"].to_numpy()
+            cuts = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1]), len(where)] if where else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if where[a][:3] != now:
+                    now, own, tree = where[a][:3], [], None
+                if not where[a][3]:
+                    own.append(fp[a:b])
+                    continue
+                if tree is None:  # rows are sorted, so the chunk is complete once it is asked
+                    points = np.concatenate(own) if own else np.zeros(0, np.int64)
+                    tree = BKTree(points.view(np.uint64))
+                    root = shard_links(points.view(np.uint64), radius)
+                who, found = tree.within(fp[a:b].view(np.uint64), radius)
+                pairs = np.unique(np.stack([who, root[found]]), axis=1) if len(who) else np.zeros((2, 0), np.int64)
+                us.append(fp[a:b][pairs[0]])
+                vs.append(points[pairs[1]])
+            yield pd.DataFrame({"u": np.concatenate(us) if us else np.zeros(0, np.int64), "v": np.concatenate(vs) if vs else np.zeros(0, np.int64)})
+
+    return routed.repartition("path", "key", "chunk").sortWithinPartitions("path", "key", "chunk", "asks", "fp").mapInPandas(each, "u long, v long")
+
+
+def _chunked(rows: DataFrame, sizes: DataFrame, shard_rows: int) -> DataFrame:
+    """Each row of a large shard in its own chunk, and asking all chunks from its own on."""
+    cut = rows.join(sizes.select("path", "key", F.ceil(F.col("count") / shard_rows).cast("int").alias("chunks")), ["path", "key"])
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    asked = F.transform(F.sequence("own", F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(True).alias("asks")))
+    to = F.concat(F.array(F.struct(F.col("own").alias("chunk"), F.lit(False).alias("asks"))), asked)
+    return cut.select("path", "key", "fp", F.explode(to).alias("r")).select("path", "key", "r.chunk", "r.asks", "fp")
+
+
 def fingerprint_links(points: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (u, v) over the distinct fingerprints ``points`` (fp: long) that join all fingerprints within ``radius`` bits of each other.
 
     They are spanning edges: two fingerprints within the radius are in one component, and no edge joins what isn't linked by a chain.
+    Shards of more than ``shard_rows`` rows are split by the next bits while that lowers the work (the sum of squared sizes), at most
+    ``LEVELS`` times, so there are (radius + 1) ** LEVELS paths at most. Denser shards are cut into chunks of about ``shard_rows`` rows,
+    each with a tree of its own that all rows of the shard from that chunk's predecessors on ask.
     """
-    spark = points.sparkSession
-    pending, fixed, edges, level = points.select("fp", F.lit(0).alias("path")), [0], None, 0
-    while True:
-        masks = [(path, path * (radius + 1) + i, _signed(mask | block)) for path, mask in enumerate(fixed) for i, block in enumerate(_blocks(mask, radius + 1))]
-        fixed = [m & 0xFFFFFFFFFFFFFFFF for _, _, m in masks]
-        if level == 0:
-            routes = F.array(*(F.struct(F.lit(c).alias("path"), F.lit(m).alias("mask")) for _, c, m in masks))
-            routed = pending.select("fp", F.explode(routes).alias("r")).select("fp", "r.path", F.col("fp").bitwiseAND(F.col("r.mask")).alias("key"))
-        else:  # one row per path: bounded by the number of levels, not by the data
-            table = spark.createDataFrame(masks, "path int, child int, mask long")
-            routed = pending.join(F.broadcast(table), "path").select("fp", F.col("child").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    def shards(routed: DataFrame) -> tuple[DataFrame, int]:
         sizes = cut_lineage(routed.groupBy("path", "key").count().where("count > 1"), "shards")
-        small = routed.join(sizes.where(F.col("count") <= shard_rows).select("path", "key"), ["path", "key"], "left_semi")
-        found = cut_lineage(_star_edges(small, radius), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        large = sizes.where(F.col("count") > shard_rows)
-        if large.isEmpty():
-            return edges
-        if all(m == 0xFFFFFFFFFFFFFFFF for m in fixed):
+        work = sizes.where(F.col("count") > shard_rows).agg(F.sum(F.col("count").cast("decimal(38,0)") * F.col("count"))).first()[0]
+        return sizes, int(work or 0)
+
+    def routes(rows: DataFrame, masks: list[tuple[int, int, int]]) -> DataFrame:
+        """``rows`` (fp, path) sent down the paths; (path, child, mask) is a constant of the number of levels."""
+        by_path = F.create_map(*(x for p in sorted({m[0] for m in masks}) for x in (
+            F.lit(p), F.array(*(F.struct(F.lit(c).alias("path"), F.lit(m).alias("mask")) for q, c, m in masks if q == p)))))
+        sent = rows.select("fp", F.explode(F.element_at(by_path, F.col("path"))).alias("r"))
+        return sent.select("fp", "r.path", F.col("fp").bitwiseAND(F.col("r.mask")).alias("key"))
+
+    def children(fixed: list[int]) -> list[tuple[int, int, int]]:
+        return [(path, path * (radius + 1) + i, _signed(mask | block)) for path, mask in enumerate(fixed) for i, block in enumerate(_blocks(mask, radius + 1))]
+
+    masks = children([0])
+    routed = routes(points.select("fp", F.lit(0).alias("path")), masks)
+    sizes, work = shards(routed)
+    small = routed.join(sizes.where(F.col("count") <= shard_rows).select("path", "key"), ["path", "key"], "left_semi")
+    edges = cut_lineage(_star_edges(small, radius), "links")
+    for level in range(1, LEVELS + 1):
+        if not work:
             return edges
-        pending = cut_lineage(routed.join(large.select("path", "key"), ["path", "key"], "left_semi").select("fp", "path"), "pending")
-        level += 1
+        large = sizes.where(F.col("count") > shard_rows)
+        pending = cut_lineage(routed.join(large.select("path", "key"), ["path", "key"], "left_semi").select("fp", "path", "key"), "pending")
+        masks = children([m & 0xFFFFFFFFFFFFFFFF for _, _, m in masks])
+        deeper = routes(pending, masks)
+        below, left = shards(deeper) if level < LEVELS else (None, work)
+        if left >= work:
+            return edges.unionByName(cut_lineage(_chunk_edges(_chunked(pending, large, shard_rows), radius), "links"))
+        small = deeper.join(below.where(F.col("count") <= shard_rows).select("path", "key"), ["path", "key"], "left_semi")
+        edges = edges.unionByName(cut_lineage(_star_edges(small, radius), "links"))
+        routed, sizes, work = deeper, below, left
+    return edges
 
 
 def components_of(prints: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:

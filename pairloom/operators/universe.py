@@ -24,7 +24,9 @@ def as_pairs(universe: DataFrame) -> DataFrame:
 
 
 def pool_sizes(universe: DataFrame) -> DataFrame:
-    """(target_id, candidate_count, attributes); duplicates inside a pool count."""
+    """(target_id, candidate_count, attributes); duplicates inside a pool count. A table of sizes is returned as it is."""
+    if "candidate_count" in universe.columns:
+        return universe
     kept = [c for c in ATTRIBUTES if c in universe.columns]
     if "candidate_ids" in universe.columns:
         return universe.select("target_id", F.size("candidate_ids").cast("long").alias("candidate_count"), *kept)

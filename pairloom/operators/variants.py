@@ -4,9 +4,14 @@ The definition is sequential: targets take their most preferred free candidates
 outcome is the only fixpoint of "every target answers the current holders": a candidate is open to a
 target when nobody earlier holds it, the target proposes to its ``neg`` best open candidates (none if
 it has to be dropped), and each candidate is held by its earliest proposer.  By induction over the
-order, a target is right one round after all earlier ones are, so repeating the answer in parallel
-converges to the sequential result.  With hash order and hash preferences few rounds are needed, and
-after the first one only targets whose pool saw a holder change are answered again.
+order, a target is right one round after all earlier ones are, so any rounds of answers converge to it.
+
+The first round answers every target by itself.  After that only targets move that lost a candidate,
+or whose pool holds one that was given back.  They are cut into conflict components, targets that
+compete for a candidate, and each component is solved by the sequential rule in one task, so that a
+chain of targets after the same candidates takes one round and not one a target.  Of a component too
+large for a task the earliest targets are solved that way, which settles them, and the rest answers
+the current holders.
 """
 
 from __future__ import annotations
@@ -14,13 +19,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import pri
-from pairloom.operators.universe import as_pairs, pool_sizes, scarcity_pool
+from pairloom.functions.ranks import dist_rank, prefix_sums
+from pairloom.operators.universe import ATTRIBUTES, as_pairs, pool_sizes, scarcity_pool
 from pairloom.session import cut_lineage
 
+#: Rows (target, candidate) that one task solves in order.
+BLOCK_ROWS = 200_000
+#: Rounds in which only targets move that have to, and how many targets the first wider round takes in.
+PATIENCE, SPAN = 3, 256
+
 MODES = ("sample_without_replacement", "sample_with_replacement", "use_all")
 
 
@@ -109,36 +121,155 @@ def _pairs(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFr
     return pool.join(targets, "target_id").withColumn("_pref", F.struct(first.alias("p"), "candidate_id"))
 
 
+def _touched(picks: DataFrame, before: DataFrame | None, solved: DataFrame | None, pool: DataFrame, targets: DataFrame,
+             policy: VariantPolicy) -> DataFrame:
+    """(variant_id, target_id) whose answer may differ now.
+
+    A target that lost a pick is found from the picks alone.  Pools are read only for candidates that were given back, which only
+    happens where a target with too few open candidates drops out; targets solved in the round before already knew of those.  Draws
+    with replacement may pick fewer candidates than have to be open, so there any new holder counts too.
+    """
+    key, own = ["variant_id", "candidate_id"], ["variant_id", "target_id"]
+    holders = _holders(picks)
+    lost = picks.join(holders, key).where(F.col("_holder") < F.col("_ord")).select(*own)
+    counts = policy.selection == "sample_with_replacement"
+    if policy.scarcity_mode != "drop_target" or before is None and not counts:
+        return lost.distinct()
+    # a candidate is open to targets at or before its holder, so the view changed for those between the old holder and the new one
+    was, now = F.col("_was"), F.col("_holder")
+    old = holders.select(*key, F.lit(None).cast(holders.schema["_holder"].dataType).alias("_was")) if before is None else _holders(before).withColumnRenamed("_holder", "_was")
+    changed = holders.join(old, key, "full_outer").where(was.isNotNull() & (now.isNull() | (now > was)) | (now.isNotNull() & (was.isNull() | (now < was)) if counts else F.lit(False)))
+    moved = cut_lineage(changed.select(*key, F.least(was, now).alias("_from"), F.when(was.isNotNull() & now.isNotNull(), F.greatest(was, now)).alias("_to")), "moved")
+    if moved.isEmpty():
+        return lost.distinct()
+    seen = pool.select("target_id", "candidate_id").join(moved, "candidate_id").join(targets if solved is None else targets.join(solved, own, "left_anti"), own)
+    hit = seen.where((F.col("_ord") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_ord") <= F.col("_to"))))
+    return lost.unionByName(hit.select(*own)).distinct()
+
+
+def _contested(pool: DataFrame, moving: DataFrame, picks: DataFrame, policy: VariantPolicy) -> DataFrame:
+    """What the moving targets may take: their pools but for what targets that stay hold earlier, best first as ``_rn``.
+
+    A variant's ``m`` moving targets take ``neg * m`` candidates at most, so the first ``neg * m`` of each list hold its picks.
+    """
+    own = ["variant_id", "target_id"]
+    held = _pairs(pool, moving, policy).join(_holders(picks.join(moving.select(*own), own, "left_anti")), ["variant_id", "candidate_id"], "left")
+    free = held.where(F.col("_holder").isNull() | (F.col("_holder") > F.col("_ord")))
+    if policy.selection == "sample_with_replacement":
+        keys = F.array(*[pri(F.col("seed"), F.lit(i), F.col("target_id"), F.col("candidate_id")) for i in range(policy.negatives)])
+        return free.select(*own, "_ord", "neg", "candidate_id", F.lit(0).alias("_rn"), keys.alias("_keys"))
+    many = F.broadcast(moving.groupBy("variant_id").agg(F.count(F.lit(1)).alias("_m")))  # one row a variant
+    ranked = free.withColumn("_rn", F.row_number().over(Window.partitionBy(*own).orderBy("_pref")))
+    return ranked.join(many, "variant_id").where(F.col("_rn") <= F.col("neg") * F.col("_m")).select(
+        *own, "_ord", "neg", "candidate_id", "_rn", F.array().cast("array<string>").alias("_keys"))
+
+
+def conflict_components(pairs: DataFrame) -> DataFrame:
+    """(variant_id, target_id, component): targets of a variant that share candidates, directly or over others.
+
+    A target takes the least label around its candidates, and then the label of the target it is named after, so that a chain halves
+    with every round.  Both steps are aggregates that combine map-side; rounds are written tables.
+    """
+    links = pairs.select("variant_id", "target_id", "candidate_id")
+    own = ["variant_id", "target_id"]
+    labels = cut_lineage(links.select(*own).distinct().withColumn("component", F.col("target_id")), "components")
+    while True:
+        around = links.join(labels, own).groupBy("variant_id", "candidate_id").agg(F.min("component").alias("component"))
+        lower = links.join(around, ["variant_id", "candidate_id"]).groupBy(*own).agg(F.min("component").alias("_low"))
+        named = lower.select("variant_id", F.col("target_id").alias("_low"), F.col("_low").alias("_lower"))
+        after = cut_lineage(
+            labels.join(lower, own).join(named, ["variant_id", "_low"], "left")
+            .select(*own, "component", F.coalesce("_lower", "_low").alias("_next")), "components")
+        if after.where("_next <> component").isEmpty():
+            return labels
+        labels = after.select(*own, F.col("_next").alias("component"))
+
+
+def _in_turn(policy: VariantPolicy):
+    """The sequential rule over one group's rows."""
+    drops, again, most = policy.scarcity_mode == "drop_target", policy.selection == "sample_with_replacement", policy.negatives
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["_o", "target_id", "_rn"], kind="stable")
+        taken, out = set(), []
+        for _, mine in rows.groupby(["_o", "target_id"], sort=False):
+            neg = int(mine["neg"].iloc[0])
+            free = [(c, k) for c, k in zip(mine["candidate_id"], mine["_keys"]) if c not in taken]
+            if not free or drops and len(free) < neg:
+                continue
+            wanted = min(neg, most)
+            picks = [min(free, key=lambda ck: (ck[1][i], ck[0]))[0] for i in range(wanted)] if again else [c for c, _ in free[:wanted]]
+            taken.update(picks)
+            variant, target = mine["variant_id"].iloc[0], mine["target_id"].iloc[0]
+            out += [(variant, target, c, i, mine["_o"].iloc[0]) for i, c in enumerate(picks)]
+        return pd.DataFrame(out, columns=["variant_id", "target_id", "candidate_id", "draw", "_o"])
+
+    return solve
+
+
+def _solve(contested: DataFrame, policy: VariantPolicy, like: DataFrame) -> DataFrame:
+    """``contested`` rows with a ``_group``, each group in one task."""
+    text = {c: contested.schema[c].dataType.simpleString() for c in ("variant_id", "target_id", "candidate_id")}
+    ddl = ", ".join(f"{c} {t}" for c, t in text.items()) + ", draw int, _o string"
+    flat = contested.select("variant_id", "_group", "target_id", F.col("_ord.o").alias("_o"), "neg", "candidate_id", "_rn", "_keys")
+    solved = flat.groupBy("variant_id", "_group").applyInPandas(_in_turn(policy), ddl)
+    return solved.withColumn("_ord", F.struct(F.col("_o").alias("o"), F.col("target_id").alias("t"))).select(
+        *[F.col(c).cast(like.schema[c].dataType).alias(c) for c in like.columns])
+
+
+def _next_picks(pool: DataFrame, targets: DataFrame, touched: DataFrame, moving: DataFrame, picks: DataFrame,
+                policy: VariantPolicy) -> tuple[DataFrame, DataFrame]:
+    """(picks of the targets answered, those of them that were solved in order); ``moving`` holds the touched targets and may hold more."""
+    own, group = ["variant_id", "target_id"], ["variant_id", "_group"]
+    contested = cut_lineage(_contested(pool, moving, picks, policy), "contested")
+    sizes = contested.groupBy("variant_id").agg(F.count(F.lit(1)).alias("n"))
+    if sizes.where(F.col("n") > BLOCK_ROWS).isEmpty():
+        return _solve(contested.withColumn("_group", F.lit("")), policy, picks), moving.select(*own)
+    parts = conflict_components(contested)
+    grouped = cut_lineage(contested.join(parts.withColumnRenamed("component", "_group"), own), "grouped")
+    by_target = grouped.groupBy(*group, "target_id", "_ord").agg(F.count(F.lit(1)).alias("_rows"))
+    sums = prefix_sums(by_target, [F.col("_ord")], ["_rows"], group)
+    # a component that fits is solved whole; of others what fits, but at least the first target
+    first = cut_lineage(sums.where((F.col("_rows_before") + F.col("_rows") <= BLOCK_ROWS) | (F.col("_rows_before") == 0)).select(*own), "solved")
+    answers = _solve(grouped.join(first, own, "left_semi"), policy, picks)
+    # targets without a free candidate have no row, and nothing to solve
+    done = first.unionByName(moving.select(*own).join(by_target.select(*own), own, "left_anti"))
+    rest = targets.join(touched.join(done, own, "left_anti"), own, "left_semi")
+    late = _answer(_pairs(pool, rest, policy), _holders(picks), policy).select(*picks.columns)
+    return answers.unionByName(late), done
+
+
 def _fixpoint(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFrame:
     picks = cut_lineage(_answer(_pairs(pool, targets, policy), None, policy), "picks")
-    key, own = ["variant_id", "candidate_id"], ["variant_id", "target_id"]
-    before = None
+    own, before, solved, ranked, turn = ["variant_id", "target_id"], None, None, None, 0
     while True:  # every round settles at least the next target in order, so the loop ends
-        holders = _holders(picks)
-        if before is None:
-            moved = holders.select(*key, F.col("_holder").alias("_from"), F.lit(None).cast(holders.schema["_holder"].dataType).alias("_to"))
-        else:
-            # a candidate is open to targets at or before its holder, so between the old and the new one the view changed
-            was = _holders(before).withColumnRenamed("_holder", "_was")
-            both = F.col("_holder").isNotNull() & F.col("_was").isNotNull()
-            moved = holders.join(was, key, "full_outer").where(~F.col("_holder").eqNullSafe(F.col("_was"))).select(
-                *key, F.least("_holder", "_was").alias("_from"), F.when(both, F.greatest("_holder", "_was")).alias("_to")
-            )
-        seen = pool.select("target_id", "candidate_id").join(moved, "candidate_id").join(targets, own)
-        touched = cut_lineage(
-            seen.where((F.col("_ord") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_ord") <= F.col("_to"))))
-            .select(*own).distinct(), "touched",
-        )
+        touched = cut_lineage(_touched(picks, before, solved, pool, targets, policy), "touched")
         if touched.isEmpty():
             return picks
-        again = _answer(_pairs(pool, targets.join(touched, own, "left_semi"), policy), holders, policy)
-        kept = picks.join(touched, own, "left_anti").select(*again.columns)
-        before, picks = picks, cut_lineage(kept.unionByName(again), "picks")
+        moving = targets.join(touched, own, "left_semi")
+        if turn >= PATIENCE:
+            # what moves keeps pushing later targets on: solve these with it, a span that grows with every round
+            ranked = ranked or cut_lineage(dist_rank(targets, [F.col("_ord.o"), F.col("_ord.t")], ["variant_id"], rank_col="_at"), "ranked")
+            start = ranked.join(touched, own, "left_semi").groupBy("variant_id").agg(F.min("_at").alias("_start"))
+            span = ranked.join(F.broadcast(start), "variant_id").where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + SPAN * 4 ** (turn - PATIENCE)))
+            moving = cut_lineage(moving.unionByName(span.select(*moving.columns)).distinct(), "moving")
+        again, solved = _next_picks(pool, targets, touched, moving, picks, policy)
+        kept = picks.join(touched.unionByName(solved), own, "left_anti")
+        before, picks, turn = picks, cut_lineage(kept.unionByName(again.select(*picks.columns)), "picks"), turn + 1
 
 
 def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[str, Column, int]]) -> tuple[DataFrame, DataFrame]:
     widest = replace(policy, ratio=f"1:{max(n for _, _, n in specs)}")
-    kept, short = scarcity_pool(universe, policy.min_pool_size, policy.scarcity_mode)
+    # The pool is written once, whatever the number of variants; sampling is on distinct candidates.
+    pairs = as_pairs(universe)
+    facts = [c for c in ATTRIBUTES if c in pairs.columns]
+    pool = cut_lineage(pairs.groupBy("target_id", "candidate_id").agg(
+        F.min("pos").alias("pos"), F.count(F.lit(1)).alias("candidate_count"), *[F.min(c).alias(c) for c in facts]), "pool")
+    if "candidate_ids" not in universe.columns:  # a long universe is read once: its sizes follow from the pool
+        sized = pool.groupBy("target_id").agg(F.sum("candidate_count").alias("candidate_count"), *[F.min(c).alias(c) for c in facts])
+    else:
+        sized = pool_sizes(universe)
+    kept, short = scarcity_pool(sized, policy.min_pool_size, policy.scarcity_mode)
     targets = kept.select("*", _variant_rows(specs)).select("*", "_v.*").drop("_v")
     rank = (
         F.lpad(F.col("source_row_id").cast("string"), 20, "0") if policy.order == "source"
@@ -147,11 +278,7 @@ def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[
     targets = cut_lineage(targets.select(
         "variant_id", "target_id", "seed", "neg", F.struct(rank.alias("o"), F.col("target_id").alias("t")).alias("_ord")
     ), "targets")
-    # The pool is written once, whatever the number of variants; sampling is on distinct candidates.
-    pool = cut_lineage(
-        as_pairs(universe).groupBy("target_id", "candidate_id").agg(F.min("pos").alias("pos")), "pool"
-    )
-
+    pool = pool.select("target_id", "candidate_id", "pos")
     picks = _fixpoint(pool, targets, widest)
     negatives = picks.select(
         "variant_id", "target_id", F.col("candidate_id").alias("protein_id"), F.lit("negative").alias("role"), "draw"

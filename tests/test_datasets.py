@@ -183,13 +183,52 @@ def test_variant_of_identical_pools(spark):
     assert events.count() == 3
 
 
+def counted(monkeypatch):
+    """Rounds after the first, as they are taken."""
+    rounds, original = [], va._next_picks
+    monkeypatch.setattr(va, "_next_picks", lambda *args: rounds.append(1) or original(*args))
+    return rounds
+
+
 def test_targets_are_served_in_source_order_by_default(spark):
-    """As many rounds as targets: each settles the next one."""
     pools = {f"t{20 - i:02d}": [f"c{j:02d}" for j in range(13)] for i in range(14)}
     rows, events = va.variant_generate(universe(spark, pools), va.VariantPolicy("1:1", 1, selection="use_all"))
     assert picked(rows) == {f"t{20 - i:02d}": [f"c{i:02d}"] for i in range(13)} and events.count() == 1
 
 
+def test_a_thousand_targets_of_one_pool_take_few_rounds(spark, monkeypatch):
+    """Every target after the first loses its picks; they are solved in order in one round, not in one each."""
+    rounds = counted(monkeypatch)
+    pool = [f"c{j:03d}" for j in range(150)]
+    rows, events = va.variant_generate(universe(spark, {f"t{i:04d}": pool for i in range(1000)}), va.VariantPolicy("1:2", 1, selection="use_all"))
+    assert picked(rows) == {f"t{i:04d}": pool[2 * i:2 * i + 2] for i in range(75)}
+    assert events.count() == 925 and len(rounds) <= 2
+
+
+@pytest.mark.parametrize("mode,scarcity", [("use_all", "drop_target"), ("sample_without_replacement", "drop_target"),
+                                           ("sample_without_replacement", "use_available"), ("sample_with_replacement", "drop_target")])
+def test_components_larger_than_a_task(spark, monkeypatch, mode, scarcity):
+    """Two separate groups of contended targets, in tasks of 40 rows."""
+    monkeypatch.setattr(va, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(va, "PATIENCE", 1)
+    monkeypatch.setattr(va, "SPAN", 3)
+    rounds, rng = counted(monkeypatch), random.Random(9)
+    pools = {f"t{i:02d}": rng.sample([f"{'ab'[i % 2]}{j}" for j in range(14)], rng.randint(3, 9)) for i in range(24)}
+    order = "source" if mode == "use_all" else "hash"
+    rows, _ = va.variant_generate(universe(spark, pools), va.VariantPolicy("1:2", 1, scarcity, mode, order), seed=3)
+    assert picked(rows) == greedy(pools, 2, 3, scarcity == "drop_target", 0, mode, order)
+    assert len(rounds) < 12
+
+
+def test_conflict_components(spark):
+    pools = {"t0": ["a", "b"], "t1": ["b", "c"], "t2": ["c", "d"], "t3": ["x"], "t4": ["y", "x"], "t5": ["lone"], "t6": ["d", "e"]}
+    chain = {f"z{i:02d}": [f"k{i}", f"k{i + 1}"] for i in range(20)}
+    rows = [("v", t, c) for t, cs in {**pools, **chain}.items() for c in cs] + [("w", "t0", "a"), ("w", "t5", "a")]
+    got = va.conflict_components(spark.createDataFrame(rows, "variant_id string, target_id string, candidate_id string"))
+    want = {("v", t): "t0" for t in ("t0", "t1", "t2", "t6")} | {("v", "t3"): "t3", ("v", "t4"): "t3", ("v", "t5"): "t5", ("w", "t0"): "t0", ("w", "t5"): "t0"}
+    assert {(r.variant_id, r.target_id): r.component for r in got.collect()} == want | {("v", t): "z00" for t in chain}
+
+
 def test_scarcity_fixture(spark):
     rows, events = va.variant_generate(universe(spark, {"target1": ["a", "b"], "target2": list("vwxyz")}), va.VariantPolicy("1:3", 5))
     assert set(picked(rows)) == {"target2"}

@@ -3,11 +3,13 @@
 Every function cuts the key space into buckets, ranks inside a bucket and adds the bucket's
 offset.  Buckets are either the leading hex digits of an md5 key (uniform by construction) or
 the gaps between splitters: a deterministic sample of the distinct order keys, taken with a
-``min_by`` per hash slot, so it combines map-side and never depends on partitioning.
+``min_by`` per hash slot, so it combines map-side and never depends on partitioning.  A row finds
+its gap on two levels, so its cost grows with the root of the number of buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,10 +58,19 @@ def with_buckets(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
         keyed.groupBy(*by, F.pmod(F.xxhash64("_o"), F.lit(slots or slots_of(df))).alias("_slot"))
         .agg(F.min_by("_o", F.xxhash64(F.lit("splitter"), F.col("_o"))).alias("_pick"))
     )
-    splitters = picked.groupBy(*by).agg(F.sort_array(F.collect_list("_pick")).alias("_splitters"))
-    out = attach(keyed, splitters, by, ["_splitters"])
-    at_or_below = F.filter("_splitters", lambda s: s <= F.col("_o"))
-    return out.withColumn("_b", F.size(at_or_below)).drop("_splitters")
+    # Two levels of splitters: a row carries and looks at about twice the root of their number.
+    width = math.isqrt(slots or slots_of(df)) + 1
+    place = Window.partitionBy(*by).orderBy("_pick") if by else Window.partitionBy(F.lit(0)).orderBy("_pick")
+    placed = cut_lineage(picked.withColumn("_c", F.floor((F.row_number().over(place) - 1) / width).cast("int") + 1), "splitters")
+    fine = placed.groupBy(*by, "_c").agg(F.sort_array(F.collect_list("_pick")).alias("_fine"))
+    coarse = fine.groupBy(*by).agg(F.sort_array(F.collect_list(F.get("_fine", F.lit(0)))).alias("_coarse"))
+
+    def at_or_below(splitters: str) -> Column:
+        return F.coalesce(F.size(F.filter(splitters, lambda s: s <= F.col("_o"))), F.lit(0))
+
+    out = attach(keyed, coarse, by, ["_coarse"]).withColumn("_c", at_or_below("_coarse")).drop("_coarse")
+    out = attach(out, fine, [*by, "_c"], ["_fine"])
+    return out.withColumn("_b", F.when(F.col("_c") > 0, (F.col("_c") - 1) * width + at_or_below("_fine")).otherwise(0)).drop("_fine", "_c")
 
 
 def _bucket_offsets(bucketed: DataFrame, by: Sequence[str]) -> DataFrame:

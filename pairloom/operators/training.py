@@ -25,6 +25,7 @@ from pairloom.functions.ranks import attach
 from pairloom.functions.scalars import spread
 from pairloom.operators.ensembles import decide, decision
 from pairloom.operators.labels import class_list, multilabel_binarize
+from pairloom.operators.linear import Linear, LinearModel, fit_linear, shares
 from pairloom.operators.metrics import binary_metrics, macro_metrics, metrics_clean, multilabel_metrics, ranking_metrics, weighted_metrics
 from pairloom.operators.neighbours import train_knn
 from pairloom.operators.sweeps import sweep_trials, trial_params
@@ -42,16 +43,27 @@ GBT_PARAMS = {
 }
 # What the estimators start from where a setting isn't given; trees of any depth are trees of Spark's largest depth.
 DEFAULTS = {
-    "LR": {"maxIter": 100, "tol": 1e-4}, "SVM": {"maxIter": 20, "tol": 1e-3}, "RF": {"numTrees": 100, "maxDepth": 30},
+    "LR": {"maxIter": 100, "tol": 1e-4}, "SVM": {"maxIter": 100, "tol": 1e-6}, "RF": {"numTrees": 100, "maxDepth": 30},
     "GBT": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3},
 }
 OTHER_PARAMS = {
     "LR": {"C", "penalty", "l1_ratio", "class_weight"}, "SVM": {"C", "class_weight", "kernel"}, "RF": {"class_weight"}, "GBT": set(),
-    "MLP": {"epochs", "hidden_layers_mode", "custom_hidden_layers", "num_hidden_layers"}, "KNN": {"n_neighbors", "weights", "metric", "p"},
+    "MLP": {"epochs", "num_epochs", "hidden_layers_mode", "custom_hidden_layers", "num_hidden_layers"}, "KNN": {"n_neighbors", "weights", "metric", "p"},
 }
 # Settings that may stand in a group of their own, and those that say how a fit runs, not what it gives.
 GROUPS = {"SVM": "kernel_config", "RF": "bootstrap_config", "KNN": "p_metric", "MLP": "custom_layer_config"}
-RUNTIME = {"n_jobs", "random_state", "seed", "verbose", "solver", "device", "tree_method", "probability", "eval_metric", "algorithm", "leaf_size"}
+RUNTIME = {
+    "n_jobs", "random_state", "seed", "verbose", "solver", "device", "tree_method", "probability", "eval_metric", "algorithm", "leaf_size", "shrinking", "cache_size",
+}
+# Settings of the sweep spaces that Spark's fits have no counterpart for, and the value at which each says nothing.
+UNUSED = {
+    "RF": {"min_samples_split": 2},
+    "SVM": {"gamma": None, "degree": None, "coef0": None},
+    "MLP": {
+        "dropout_rate": 0.0, "activation_function": "Sigmoid", "use_batch_norm": False, "output_activation": None, "initialization": None, "optimizer_group": None,
+        "optimizer_name": None, "learning_rate": None, "early_stopping_patience": None, "criterion_name": "CrossEntropyLoss", "batch_size": None,
+    },
+}
 CALIBRATION_FOLDS = 3
 
 
@@ -61,7 +73,7 @@ class Fitted:
 
     model_type: str
     classes: list
-    model: Model | Neighbours
+    model: Model | Neighbours | LinearModel
     platt: Model | None = None
     view: str | None = None
     params: dict = field(default_factory=dict)
@@ -86,12 +98,17 @@ def class_weights(samples: DataFrame, label: str = "label") -> DataFrame:
 
 
 def flat_params(kind: str, params: Mapping | None) -> dict:
-    """Settings with their group spread out; a setting that a model type can't take is an error, not dropped."""
+    """Settings with their group spread out; a setting that is neither used nor known to have no counterpart is an error."""
     flat = dict(params or {})
     group = flat.pop(GROUPS.get(kind, ""), None)
-    flat.update(group or {})
+    if kind != "MLP" or flat.get("hidden_layers_mode", "custom") == "custom":
+        flat.update(group or {})
+    if flat.get("max_iter") == -1:  # no limit
+        flat["max_iter"] = 2 ** 31 - 1
+    if flat.get("class_weight") == "balanced_subsample":  # balanced over all rows instead of over each tree's draw
+        flat["class_weight"] = "balanced"
     names = {"LR": LR_PARAMS, "SVM": LR_PARAMS, "RF": RF_PARAMS, "GBT": GBT_PARAMS}.get(kind, {})
-    unknown = {k for k, v in flat.items() if v is not None} - set(names) - OTHER_PARAMS[kind] - RUNTIME
+    unknown = {k for k, v in flat.items() if v is not None} - set(names) - OTHER_PARAMS[kind] - RUNTIME - set(UNUSED.get(kind, {}))
     if unknown:
         raise ValueError(f"{kind} can't take {sorted(unknown)}")
     if flat.get("class_weight") not in (None, "balanced"):
@@ -101,6 +118,15 @@ def flat_params(kind: str, params: Mapping | None) -> dict:
     return flat
 
 
+def dropped_settings(kind: str, params: Mapping | None) -> list[str]:
+    """Names of the given settings that a fit leaves aside although they say something, and of those it can only follow in part."""
+    kind = kind_of(kind)
+    given = dict(params or {})
+    flat = flat_params(kind, given)
+    lost = [k for k, neutral in UNUSED.get(kind, {}).items() if flat.get(k) is not None and flat[k] != neutral]
+    return sorted(lost + (["class_weight"] if given.get("class_weight") == "balanced_subsample" else []))
+
+
 def _value(name: str, value):
     if name == "impurity":
         return {"log_loss": "entropy"}.get(value, value)
@@ -183,7 +209,7 @@ def train_model(features: DataFrame, model_type: str, params: Mapping | None = N
         width = train.select(F.size("vec").alias("w")).first()["w"]
         layers = [width, *hidden_layers(params, width), max(2, len(classes))]
         model = MultilayerPerceptronClassifier(
-            layers=layers, seed=seed, featuresCol="_features", labelCol="_label", maxIter=int(params.get("epochs", 100))
+            layers=layers, seed=seed, featuresCol="_features", labelCol="_label", maxIter=int(params.get("epochs") or params.get("num_epochs") or 100)
         ).fit(train)
     return Fitted(model_type.upper(), classes, model, platt, params=params)
 
@@ -210,16 +236,32 @@ def train_mlp(features: DataFrame, params: Mapping | None = None, label: str = "
 
 def one_vs_rest(features: DataFrame, model_type: str, classes: Sequence, params: Mapping | None = None,
                 labels: str = "labels") -> dict:
-    """Multilabel: one binary model per class over the ``labels`` array."""
+    """Multilabel: one binary model per class over the ``labels`` array; logistic models are fitted together, one pass a step."""
+    if kind_of(model_type) == "LR":
+        flat = flat_params("LR", params)
+        rows = features.select("vec", F.array(*[F.array_contains(labels, F.lit(c)).cast("int") for c in classes]).alias("target"))
+        models = fit_linear(rows, [_linear_task(flat, i) for i in range(len(classes))])
+        return {c: Fitted(model_type.upper(), [0, 1], m, params=flat) for c, m in zip(classes, models)}
     return {
         c: train_model(features.withColumn("_is", F.array_contains(labels, F.lit(c)).cast("int")), model_type, params, "_is", [0, 1])
         for c in classes
     }
 
 
+def _linear_task(flat: Mapping, target: int = 0) -> Linear:
+    """A logistic fit's settings as ``train_model`` reads them."""
+    mix = {"l1": 1.0, "elasticnet": float(flat.get("l1_ratio") or 0.5)}.get(flat.get("penalty"), 0.0)
+    mapped = {**DEFAULTS["LR"], **_mapped(flat, LR_PARAMS)}
+    return Linear(float(flat.get("C") or 1.0), mix, flat.get("class_weight") == "balanced", int(mapped["maxIter"]), float(mapped["tol"]),
+                  bool(mapped.get("fitIntercept", True)), target)
+
+
 def predict_multilabel(models: Mapping, df: DataFrame) -> DataFrame:
     """``probs`` with the positive probability of every class model, in order."""
     out = df
+    if models and all(isinstance(m.model, LinearModel) for m in models.values()):
+        scored = df.withColumn("_all", shares([m.model for m in models.values()], F.col("vec")))
+        return scored.withColumn("probs", F.transform("_all", lambda p: p[1])).drop("_all")
     for i, fitted in enumerate(models.values()):
         out = batch_predict_proba(fitted, out).withColumn(f"_p{i}", F.col("probs")[1]).drop("probs")
     names = [f"_p{i}" for i in range(len(models))]
@@ -243,6 +285,8 @@ def batch_predict_proba(fitted: Fitted, df: DataFrame) -> DataFrame:
     """``df`` plus ``probs``; a stateless transform, so it also applies to a streaming DataFrame (but for neighbours)."""
     if isinstance(fitted.model, Neighbours):
         return _neighbour_proba(fitted, df)
+    if isinstance(fitted.model, LinearModel):
+        return df.withColumn("probs", shares([fitted.model], F.col("vec"))[0])
     ready = df.withColumn("_features", array_to_vector(F.col("vec").cast("array<double>")))
     scored = fitted.model.transform(ready)
     if fitted.platt is not None:
@@ -281,19 +325,20 @@ def normalize(features: DataFrame, mode: str = "none") -> DataFrame:
     raise ValueError(f"unknown normalization: {mode}")
 
 
-def view_metrics(scored: DataFrame, classes: Sequence, label: str = "label", average: str = "macro") -> DataFrame:
+def view_metrics(scored: DataFrame, classes: Sequence, label: str = "label", average: str = "macro", by: Sequence[str] = ("split",)) -> DataFrame:
     """Tall metrics per split: binary with areas, or averaged over classes (macro or weighted by support)."""
     if average not in ("macro", "weighted"):
         raise ValueError(f"unknown average: {average}")
+    by = list(by)
     if len(classes) == 2:
-        wide = binary_metrics(scored, ["split"], label, "predicted_label", pos_label=classes[-1]).join(
-            ranking_metrics(scored.withColumn("_s", F.col("probs")[1]), ["split"], label, "_s", classes[-1]), ["split"], "left"
+        wide = binary_metrics(scored, by, label, "predicted_label", pos_label=classes[-1]).join(
+            ranking_metrics(scored.withColumn("_s", F.col("probs")[1]), by, label, "_s", classes[-1]), by, "left"
         )
         names = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc", "TP", "TN", "FP", "FN"]
     else:
-        wide = (macro_metrics if average == "macro" else weighted_metrics)(scored, ["split"], label, "predicted_label")
+        wide = (macro_metrics if average == "macro" else weighted_metrics)(scored, by, label, "predicted_label")
         names = ["accuracy", "precision", "recall", "f1"]
-    return metrics_clean(wide, ["split"], names, prefix="")
+    return metrics_clean(wide, by, names, prefix="")
 
 
 def multilabel_view_metrics(models: Mapping, rows: DataFrame, label: str, threshold: float) -> DataFrame:
@@ -390,24 +435,52 @@ def final_retrain(features: DataFrame, best: Mapping[str, tuple[str, Mapping]],
     return features.sparkSession.createDataFrame(rows, RESULT), models
 
 
+def _linear_trials(ready: DataFrame, settings: Sequence[Mapping], view: str, label: str, classes: Sequence) -> list[tuple]:
+    """(trial, view, metric, value) of all logistic trials on a view: fitted together and scored in one pass over the held-out rows."""
+    mine = ready.where(F.col("view") == view)
+    names = F.array(*[F.lit(c) for c in classes])
+    rows = mine.where("split = 'train'").select("vec", F.array((F.array_position(names, F.col(label)) - 1).cast("int")).alias("target"))
+    models = fit_linear(rows, [_linear_task(flat_params("LR", p)) for p in settings], len(classes))
+    scored = mine.where(F.col("split").isin("val", "validation")).select("split", label, F.posexplode(shares(models, F.col("vec"))).alias("trial", "probs"))
+    kind = "binary" if len(classes) == 2 else "multiclass"
+    scored = scored.withColumn("predicted_label", F.element_at(names, decision(F.col("probs"), kind, F.lit(0.5)) + 1))
+    found = view_metrics(scored, classes, label, by=("trial", "split"))
+    return [(r["trial"], view, r["metric"], r["value"]) for r in found.orderBy("trial").collect()]
+
+
 def sweep_run(features: DataFrame, model_type: str, space: Mapping[str, Mapping], n_trials: int, metric: str = "f1",
               goal: str = "maximize", label: str = "label", normalization: str = "none", seed: int = 42,
               parallelism: int = 4) -> tuple[DataFrame, dict]:
-    """(trial, model_type, view, metric, value, config) rows and the best finite trial; the first wins a tie."""
+    """(trial, model_type, view, metric, value, config, dropped) rows and the best finite trial; the first wins a tie.
+
+    Trials of a logistic model on a view are one fit: every pass over its rows serves all of them. Other trials are independent Spark
+    jobs of a small thread pool. ``dropped`` names the trial's settings that Spark's fits have no counterpart for.
+    """
     spark = features.sparkSession
     settings = trial_params(sweep_trials(spark, space, n_trials, seed))
+    lost = [",".join(dropped_settings(model_type, p)) for p in settings]
     ready, ours = _held(normalize(features, normalization))
-    rows = []
+    views, classes = class_list(ready, "view"), _classes(ready, label)
+    together = kind_of(model_type) == "LR" and not isinstance(ready.schema[label].dataType, ArrayType)
+
+    def one(job: tuple[int, str]) -> list[tuple]:
+        trial, view = job
+        if together:
+            return _linear_trials(ready, settings, view, label, classes)
+        table, _ = train_matrix(ready, [model_type], {model_type: settings[trial]}, label, "none", False, [view], 1, seed)
+        return [(trial, r["view"], r["metric"], r["value"]) for r in table.collect()]
+
+    with ThreadPool(parallelism) as pool:
+        done = pool.map(one, [(trial, view) for trial in ([0] if together else range(len(settings))) for view in views], 1)
+    found = sorted((row for part in done for row in part), key=lambda r: r[0])
     best = None
-    for trial, params in enumerate(settings):
-        table, _ = train_matrix(ready, [model_type], {model_type: params}, label, "none", False, None, parallelism, seed)
-        for r in table.collect():
-            rows.append((trial, model_type, r["view"], r["metric"], r["value"], str(sorted(params.items()))))
-            if r["metric"] == metric:
-                gain = r["value"] if goal == "maximize" else -r["value"]
-                if best is None or gain > best["gain"]:
-                    best = {"gain": gain, "trial": trial, "view": r["view"], "value": r["value"], "params": params}
+    for trial, view, name, value in found:
+        if name == metric and value is not None:
+            gain = value if goal == "maximize" else -value
+            if best is None or gain > best["gain"]:
+                best = {"gain": gain, "trial": trial, "view": view, "value": value, "params": settings[trial]}
     if ours:
         ready.unpersist()
-    out = spark.createDataFrame(rows, "trial int, model_type string, view string, metric string, value double, config string")
+    rows = [(trial, model_type, view, name, value, str(sorted(settings[trial].items())), lost[trial]) for trial, view, name, value in found]
+    out = spark.createDataFrame(rows, "trial int, model_type string, view string, metric string, value double, config string, dropped string")
     return out, best or {}

@@ -14,6 +14,7 @@ from pairloom.operators import metrics as me
 from pairloom.operators import neighbours as nb
 from pairloom.operators import statistics as st
 from pairloom.operators import sweeps as sw
+from pairloom.operators import linear as li
 from pairloom.operators import training as tr
 from pairloom.operators import vectors as ve
 from pairloom.sources import relational
@@ -324,7 +325,7 @@ def test_matrix_sweep_and_retrain(spark):
 
 
 def test_settings_are_mapped_or_refused(spark):
-    for kind, params in (("LR", {"gamma": 1}), ("RF", {"class_weight": "balanced_subsample"}), ("SVM", {"kernel_config": {"kernel": "rbf"}}), ("KNN", {"p": 3}), ("OTHER", {})):
+    for kind, params in (("LR", {"gamma": 1}), ("RF", {"class_weight": "heavy"}), ("SVM", {"kernel_config": {"kernel": "rbf"}}), ("KNN", {"p": 3}), ("OTHER", {})):
         with pytest.raises(ValueError):
             tr.train_model(separable(spark, 8), kind, params)
     flat = tr.flat_params("RF", {"bootstrap_config": {"bootstrap": True, "max_samples": 0.5}, "criterion": "log_loss", "max_features": "sqrt", "n_jobs": 4})
@@ -345,6 +346,71 @@ def test_penalty_is_that_of_one_over_c_n(spark):
     assert np.abs(error @ x / 60 + w / (1.0 * 60)).max() > 1e-3
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_fits_together_meet_the_optimum_of_each(spark, classes, monkeypatch):
+    """The gradient of every trial's own penalized loss vanishes, also where passes are added up in two levels."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (150, 3)) * [1, 8, 0.2]
+    y = np.digitize(x @ [1.0, 0.1, -2.0] + rng.normal(0, 1, 150), [0.0] if classes == 2 else [-0.8, 0.8])
+    rows = spark.createDataFrame([([int(t)], v.tolist()) for t, v in zip(y, x)], "target array<int>, vec array<double>").repartition(5)
+    monkeypatch.setattr(li, "MOST_PARTIALS", 2)
+    monkeypatch.setattr(li, "BLOCK_BYTES", 24 * 11)
+    tasks = [li.Linear(c, mix, balanced, 200, 1e-7) for c in (0.05, 5.0) for mix, balanced in ((0.0, False), (0.0, True), (1.0, False))]
+    one_hot = np.eye(classes)[y]
+    counts = one_hot.sum(axis=0)
+    for task, model in zip(tasks, li.fit_linear(rows, tasks, classes)):
+        w = (150 / (classes * counts))[y] if task.balanced else np.ones(150)
+        p = li._probabilities(x @ model.weights.T + model.bias)
+        error = ((p - one_hot) * w[:, None])[:, 1:] if classes == 2 else (p - one_hot) * w[:, None]
+        gradient = error.T @ x / w.sum()
+        penalty = 1 / (task.C * 150)
+        assert np.abs(error.sum(axis=0)).max() / w.sum() < 1e-5
+        if task.l1_ratio == 0:
+            assert np.abs(gradient + penalty * model.weights).max() < 1e-5
+        else:  # a weight at zero may have any slope up to the penalty
+            at = model.weights != 0
+            assert np.abs(gradient[at] + penalty * np.sign(model.weights[at])).max(initial=0) < 1e-4 and np.abs(gradient[~at]).max(initial=0) <= penalty + 1e-5
+
+
+def test_linear_sweep_takes_the_passes_of_its_slowest_trial(spark, monkeypatch):
+    passes, original = [], li._summed
+    monkeypatch.setattr(li, "_summed", lambda *a: passes.append(1) or original(*a))
+    space = {"C": {"min": 0.1, "max": 10.0}, "class_weight": {"values": [None, "balanced"]}, "solver": {"values": ["liblinear", "lbfgs"]}}
+    trials, best = tr.sweep_run(separable(spark), "LR", space, 8)
+    assert trials.select("trial").distinct().count() == 8 and best["value"] == 1.0 and {r["dropped"] for r in trials.collect()} == {""}
+    together = len(passes)
+    passes.clear()
+    for p in tr.trial_params(sw.sweep_trials(spark, space, 3)):
+        tr.one_vs_rest(separable(spark).withColumn("labels", F.array("label")), "LR", [1], p)
+    assert together < len(passes)
+
+
+def test_settings_of_the_sweep_spaces(spark):
+    """Every choice of the shipped spaces fits, or is named as dropped."""
+    spaces = {
+        "RF": {"criterion": {"values": ["gini", "entropy", "log_loss"]}, "min_samples_split": {"values": [2, 5, 10]}, "min_samples_leaf": {"values": [1, 5, 10]}, "max_features": {"values": ["sqrt", "log2", None]},
+               "class_weight": {"values": [None, "balanced", "balanced_subsample"]}, "bootstrap_config": {"values": [{"bootstrap": True, "max_samples": 0.6}, {"bootstrap": False}]}},
+        "SVM": {"kernel_config": {"values": [{"kernel": "linear"}]}, "C": {"min": 0.001, "max": 100.0}, "shrinking": {"values": [True, False]}, "tol": {"min": 1e-5, "max": 1e-2},
+                "cache_size": {"values": [200, 500]}, "class_weight": {"values": [None, "balanced"]}, "max_iter": {"values": [-1, 1000]}},
+        "MLP": {"hidden_layers_mode": {"values": ["quadratic_increase", "custom"]}, "num_hidden_layers": {"min": 1, "max": 5, "distribution": "int_uniform"},
+                "custom_layer_config": {"values": [{"custom_hidden_layers": [128, 64], "num_hidden_layers": 2}]}, "dropout_rate": {"min": 0.0, "max": 0.5}, "activation_function": {"values": ["ReLU", "GELU"]},
+                "use_batch_norm": {"values": [True, False]}, "output_activation": {"values": [None, "Tanh"]}, "initialization": {"values": [None, "xavier"]}, "optimizer_group": {"values": ["adaptive"]},
+                "optimizer_name": {"values": ["Adam", "SGD"]}, "learning_rate": {"min": 1e-5, "max": 1e-2, "distribution": "log_uniform"}, "num_epochs": {"values": [100, 200]},
+                "early_stopping_patience": {"values": [5, 10]}, "criterion_name": {"values": ["CrossEntropyLoss", "BCEWithLogitsLoss"]}, "batch_size": {"values": [32, 64]}},
+    }
+    for kind, space in spaces.items():
+        for p in tr.trial_params(sw.sweep_trials(spark, space, 20)):
+            flat, lost = tr.flat_params(kind, p), tr.dropped_settings(kind, p)
+            if kind == "RF":
+                assert lost == sorted((["class_weight"] if p["class_weight"] == "balanced_subsample" else []) + (["min_samples_split"] if p["min_samples_split"] != 2 else []))
+            elif kind == "SVM":
+                assert not lost and flat["max_iter"] in (2 ** 31 - 1, 1000)
+            else:
+                assert "learning_rate" in lost and "activation_function" in lost and tr.hidden_layers(flat, 64)[-1] in (64, 32)
+        trials, _ = tr.sweep_run(separable(spark, 40), kind, {**space, **({"n_estimators": {"values": [3]}} if kind == "RF" else {})}, 2)
+        assert trials.select("trial").distinct().count() == 2
+
+
 def test_threshold_is_inclusive_and_looked_up(spark):
     rows = spark.createDataFrame([("t1", 0, [0.0]), ("t2", 1, [2.0])], "accession string, label int, vec array<double>")
     fitted = tr.train_model(rows, "KNN", {"n_neighbors": 2})

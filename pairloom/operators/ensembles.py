@@ -113,6 +113,10 @@ def weights_validation(val_probs: DataFrame, problem_type: str, n_classes: int)
     return total.select("model_id", weight.alias("weight"))
 
 
+#: Weight vectors that are counted at a time.
+TRIAL_BLOCK = 256
+
+
 def dirichlet_trials(model_ids: Sequence[str], n_trials: int, seed: int) -> np.ndarray:
     """(trials, models) weights: normalized exponentials of md5 uniforms, i.e. Dirichlet(1)."""
     def draw(trial: int, model: str) -> float:
@@ -152,18 +156,22 @@ def trial_counts(val_probs: DataFrame, model_ids: Sequence[str], weights: np.nda
             probs = np.stack(batch["p"].to_numpy()).reshape(len(batch), members, n_classes)
             truth_rows = np.stack(batch["y"].to_numpy())
             truth = truth_rows.astype(bool) if many else np.eye(n_classes, dtype=bool)[truth_rows[:, 0]]
-            rows = []
-            for trial in range(trials):
-                blend = np.tensordot(weights[trial], probs, axes=(0, 1))
-                if many:
-                    pred = blend >= 0.5
-                elif problem_type == "binary":
-                    pred = np.eye(2, dtype=bool)[(blend[:, 1] >= 0.5).astype(int)]
-                else:
-                    pred = np.eye(n_classes, dtype=bool)[blend.argmax(axis=1)]
-                tp, fp, fn = (truth & pred).sum(0), (~truth & pred).sum(0), (truth & ~pred).sum(0)
-                rows.append(pd.DataFrame({"trial": trial, "label": np.arange(n_classes), "tp": tp, "fp": fp, "fn": fn}))
-            yield pd.concat(rows)
+            for start in range(0, trials, TRIAL_BLOCK):
+                block = range(start, min(trials, start + TRIAL_BLOCK))
+                tallies = np.zeros((len(block), 3, n_classes), dtype=np.int64)
+                for at, trial in enumerate(block):
+                    blend = np.tensordot(weights[trial], probs, axes=(0, 1))
+                    if many:
+                        pred = blend >= 0.5
+                    elif problem_type == "binary":
+                        pred = np.eye(2, dtype=bool)[(blend[:, 1] >= 0.5).astype(int)]
+                    else:
+                        pred = np.eye(n_classes, dtype=bool)[blend.argmax(axis=1)]
+                    tallies[at] = (truth & pred).sum(0), (~truth & pred).sum(0), (truth & ~pred).sum(0)
+                yield pd.DataFrame({
+                    "trial": np.repeat(np.array(block), n_classes), "label": np.tile(np.arange(n_classes), len(block)),
+                    **{name: tallies[:, i].ravel() for i, name in enumerate(("tp", "fp", "fn"))},
+                })
 
     partial = flat.mapInPandas(count, "trial int, label int, tp long, fp long, fn long")
     return partial.groupBy("trial", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
@@ -186,17 +194,14 @@ def weights_random_search(val_probs: DataFrame, model_ids: Sequence[str], proble
     seen = F.col("tp") + F.col("fp") + F.col("fn")
     scored = counts if problem_type == "multilabel" else counts.where(seen > 0)
     f1 = F.when(seen == 0, 0.0).otherwise(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
-    table = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
-    chosen = F.element_at(table, F.col("trial") + 1)
-    penalty = max(0.0, l2)
-    score = F.col("f1") - penalty * F.aggregate(chosen, F.lit(0.0), lambda a, w: a + w * w)
-    best = (
-        scored.groupBy("trial").agg(F.avg(f1).alias("f1"))
-        .agg(F.min(F.struct((-F.round(score, 12)).alias("loss"), "trial")).alias("_b"))
-        .select(F.col("_b.trial").alias("trial"), (-F.col("_b.loss")).alias("score"))
-    )
-    pairs = F.arrays_zip(F.array(*[F.lit(m) for m in model_ids]).alias("model_id"), chosen.alias("weight"))
-    return best.select("trial", "score", F.inline(pairs))
+    # one row a trial, next to the counts; the plan does not grow with the trials
+    table = val_probs.sparkSession.createDataFrame(
+        pd.DataFrame({"trial": range(len(weights)), "norm": (weights * weights).sum(axis=1), "weights": weights.tolist()}), "trial int, norm double, weights array<double>")
+    loss = -F.round(F.col("f1") - max(0.0, l2) * F.col("norm"), 12)
+    best = scored.groupBy("trial").agg(F.avg(f1).alias("f1")).join(table, "trial").agg(
+        F.min(F.struct(loss.alias("loss"), "trial", "weights")).alias("_b")).where("_b is not null")
+    pairs = F.arrays_zip(F.array(*[F.lit(m) for m in model_ids]).alias("model_id"), F.col("_b.weights").alias("weight"))
+    return best.select(F.col("_b.trial").alias("trial"), (-F.col("_b.loss")).alias("score"), F.inline(pairs))
 
 
 def soft_vote(probs: DataFrame, weights: DataFrame, problem_type: str, n_classes: int, threshold: float = 0.5) -> DataFrame:

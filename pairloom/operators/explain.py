@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +33,38 @@ def importance_tree(spark: SparkSession, fitted: Fitted) -> DataFrame:
     return spark.createDataFrame(rows, "feature int, importance double")
 
 
+def _margins(fitted: Fitted):
+    """Of a linear model: a row's margins, the coefficients as an array of (by feature) arrays (by margin), and the class that margins
+    give; None for other models."""
+    model = fitted.model
+    if hasattr(model, "coefficientMatrix"):
+        table, bias = model.coefficientMatrix.toArray(), [model.intercept] if len(fitted.classes) == 2 else list(getattr(model, "bias", getattr(model, "interceptVector", [])))
+    elif fitted.model_type == "SVM" and hasattr(model, "coefficients"):
+        table, bias = model.coefficients.toArray()[None, :], [model.intercept]
+    else:
+        return None
+    if len(table) != len(bias):
+        return None
+
+    @F.pandas_udf("array<double>")
+    def margins(vec: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(vec.to_numpy()).astype(float) @ table.T + np.array(bias, dtype=float))) if len(vec) else pd.Series([], dtype=object)
+
+    names = F.array(*[F.lit(c) for c in fitted.classes])
+
+    def decided(m):
+        if len(table) > 1:
+            return F.element_at(names, F.array_position(m, F.array_max(m)).cast("int"))
+        if fitted.platt is not None:  # the margin at which the calibrated probability is one half
+            slope, start = float(fitted.platt.coefficients[0]), float(fitted.platt.intercept)
+            z = F.lit(start) + F.lit(slope) * m[0]
+            return F.when(z >= 0, names[1]).otherwise(names[0])
+        return F.when(m[0] >= 0, names[1]).otherwise(names[0])
+
+    weights = F.from_json(F.lit(json.dumps(table.T.tolist())), "array<array<double>>")  # features x margins numbers, as large as the model
+    return margins(F.col("vec")), weights, decided
+
+
 def importance_permutation(fitted: Fitted, df: DataFrame, label: str = "label", features: Sequence[int] | None = None,
                            n_repeats: int = 10, seed: int = 42) -> DataFrame:
     """Mean and population deviation of the accuracy lost when one feature is shuffled.
@@ -51,12 +86,23 @@ def importance_permutation(fitted: Fitted, df: DataFrame, label: str = "label",
     ])).alias("_v")).select("_r", "_v.*")
     # the swapped numbers of a row meet as one short list, so its vector is joined once and copied only while it is scored
     drawn = shuffled.join(values, ["feature", "_r"]).groupBy("accession").agg(F.collect_list(F.struct("feature", "repeat", "_value")).alias("_s"))
-    swapped = rows.join(drawn, "accession").select("accession", label, "vec", F.inline("_s"))
-    swapped = swapped.withColumn("vec", F.transform(
-        "vec", lambda x, i: F.when(i == F.col("feature"), F.col("_value")).otherwise(x)
-    ))
+    joined = rows.join(drawn, "accession")
     hit = (F.col("predicted_label") == F.col(label)).cast("double")
-    after = batch_predict(fitted, swapped).groupBy("feature", "repeat").agg(F.avg(hit).alias("_acc"))
+    linear = _margins(fitted)
+    if linear is not None:
+        # one changed feature moves a margin by coefficient * (new - old): a number a feature and repeat, and no copy of the vector
+        margins, weights, decide_label = linear
+        moved = joined.select(label, margins.alias("_m"), F.expr("transform(_s, s -> struct(s.feature, s.repeat, s._value - vec[s.feature] as _by))").alias("_s"))
+        moved = moved.select(label, "_m", F.inline("_s"))
+        steps = F.element_at(weights, F.col("feature") + 1)
+        shifted = F.zip_with(F.col("_m"), F.zip_with(steps, F.array_repeat("_by", F.size("_m")), lambda w, by: w * by), lambda m, d: m + d)
+        scored = moved.select(label, "feature", "repeat", shifted.alias("_m")).withColumn("predicted_label", decide_label(F.col("_m")))
+    else:
+        swapped = joined.select("accession", label, "vec", F.inline("_s")).withColumn("vec", F.transform(
+            "vec", lambda x, i: F.when(i == F.col("feature"), F.col("_value")).otherwise(x)
+        ))
+        scored = batch_predict(fitted, swapped)
+    after = scored.groupBy("feature", "repeat").agg(F.avg(hit).alias("_acc"))
     before = batch_predict(fitted, rows).agg(F.avg(hit).alias("_base"))
     drop = F.col("_base") - F.col("_acc")
     return attach(after, before, (), ["_base"]).groupBy("feature").agg(

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # File names of a run.
@@ -91,19 +91,52 @@ def load_run(spark: SparkSession, base: str, run_id: str, load_all: bool = False
     return out
 
 
+def _run_of(base: str) -> Column:
+    """The run a row was read from, by the path of its file."""
+    root = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", base.rstrip("/")))
+    return F.regexp_extract(F.url_decode("_metadata.file_path"), root + r"/([^/]+)/", 1)
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Paths by the first line of their file."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    first = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value")
+    found: dict[str, list[str]] = {}
+    for r in first.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect():  # one row a run
+        found.setdefault(r["header"], []).append(r["path"])
+    return found
+
+
 def load_runs_union(spark: SparkSession, base: str, run_ids: Sequence[str], species: dict[str, str] | None = None) -> DataFrame:
-    """Pairs of several runs with ``run_id`` and ``species``."""
+    """Pairs of several runs with ``run_id`` and ``species``.
+
+    Files are found by one listing and read by one scan per distinct header, so the plan does not grow with the number of runs.
+    """
+    held: dict[str, set[str]] = {}
+    for r in _files(spark, base).collect():  # the entries of a folder's runs
+        held.setdefault(r["run_id"], set()).add(r["file"])
+    paths = []
+    for run_id in dict.fromkeys(run_ids):
+        names = held.get(run_id)
+        if names is None:
+            raise FileNotFoundError(f"{base}/{run_id}")
+        name = next((n for n in PAIR_FILES if n in names), None)
+        if name is None:
+            raise FileNotFoundError(f"none of {list(PAIR_FILES)} in {base}/{run_id}")
+        paths.append(f"{base}/{run_id}/{name}")
+    if not paths:
+        return spark.createDataFrame([], "tp_id string, ntp_id string, run_id string, species string")
     out = None
-    for run_id in run_ids:
-        run = load_run(spark, base, run_id)
-        name = F.lit(species[run_id]) if species and run_id in species else F.lit(None).cast("string")
-        part = run["pairs"].withColumn("run_id", F.lit(run_id)).withColumn("species", name)
-        if species is None:
-            part = run["pairs"].withColumn("run_id", F.lit(run_id)).withColumn(
-                "species", run["metadata"].select("species_category").limit(1).scalar()
-            )
+    for same in _headers(spark, paths).values():
+        read = spark.read.option("header", True).option("escape", '"').csv(same)
+        part = standard_pairs(read.select("*", _run_of(base).alias("run_id")))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    if species is None:
+        metadata = read_metadata(spark, [f"{base}/{r}/run_metadata.json" for r in dict.fromkeys(run_ids)])
+        named = metadata.select(_run_of(base).alias("run_id"), F.col("species_category").alias("species")).dropDuplicates(["run_id"])
+    else:
+        named = spark.createDataFrame([(r, species[r]) for r in run_ids if r in species], "run_id string, species string").dropDuplicates(["run_id"])
+    return out.drop("species").join(named, "run_id", "left").select(*[c for c in out.columns if c not in ("run_id", "species")], "run_id", "species")
 
 
 def run_catalog(spark: SparkSession, base: str) -> DataFrame:

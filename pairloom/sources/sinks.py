@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,14 +60,45 @@ def write_predictions_partitioned(predictions: DataFrame, path: str, mode: str =
     predictions.write.mode(mode).partitionBy(*keys).option("header", True).csv(path)
 
 
-def artifact_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, sha256) of files, computed where they are read; a missing file gives ``unknown``."""
+#: Files up to this size are read as one row; larger ones in blocks.
+WHOLE_FILE_BYTES = 128 << 20
+
+
+def _streamed_digests(batches):
+    """SHA-256 of each path's file, read in blocks of a few megabytes where the task runs."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            system, name = pafs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while block := stream.read(8 << 20):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(digests, pa.string())], ["path", "sha256"])
+
+
+def artifact_fingerprints(spark: SparkSession, paths: list[str], whole_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """(path, sha256) of files, computed where they are read; a missing file gives ``unknown``.
+
+    A file above ``whole_bytes`` is digested in blocks by one task, so its size has no bound. The executors must reach it by its path.
+    """
     there = [p for p in paths if path_exists(spark, p)]
     lost = [(p, "unknown") for p in paths if p not in there]
     out = spark.createDataFrame(lost, "path string, sha256 string")
     if there:
-        read = spark.read.format("binaryFile").load(there)
-        out = out.unionByName(read.select("path", F.sha2("content", 256).alias("sha256")))
+        listed = spark.read.format("binaryFile").load(there).select("path", "length")  # without contents
+        sizes = {r["path"]: r["length"] for r in listed.collect()}
+        large = [p for p, n in sizes.items() if n > whole_bytes]
+        # files without a byte are not listed
+        empty = [(p, hashlib.sha256().hexdigest()) for p in there if not any(p.split(":", 1)[-1].lstrip("/") in x for x in sizes)]
+        if empty:
+            out = out.unionByName(spark.createDataFrame(empty, "path string, sha256 string"))
+        small = spark.read.format("binaryFile").load(there).where(F.col("length") <= whole_bytes)
+        out = out.unionByName(small.select("path", F.sha2("content", 256).alias("sha256")))
+        if large:
+            rows = spark.createDataFrame([(p,) for p in large], "path string").repartition(len(large), "path")
+            out = out.unionByName(rows.mapInArrow(_streamed_digests, "path string, sha256 string"))
     return out
 
 

@@ -468,6 +468,21 @@ def test_neighbours_agree_with_brute_force(spark, metric):
         assert {(r["accession"], r["neighbour"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_two_phases_compare_few_pairs(spark, metric):
+    """Clusters in 32 dimensions: the first phase's bound leaves a small part of all pairs for whole comparisons."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 3, (12, 32))
+    train, query = (centres[rng.integers(0, 12, n)] + rng.normal(0, 0.5, (n, 32)) for n in (900, 60))
+    t = spark.createDataFrame([(f"t{i:03d}", "x", v.tolist()) for i, v in enumerate(train)], "accession string, label string, vec array<double>")
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(query)], "accession string, vec array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    got = {(r["accession"], r["neighbour"]) for r in nb.nearest_neighbours(t, q, 5, metric, pivots=32, block_rows=100, compared=seen).collect()}
+    d = [(np.abs(train - v).sum(1) if metric == "manhattan" else ((train - v) ** 2).sum(1)) for v in query]
+    assert got == {(f"q{i}", f"t{j:03d}") for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:5]}
+    assert 0 < seen.value < 900 * 60 / 4
+
+
 def test_distance_weights_with_exact_hits(spark):
     t = spark.createDataFrame([("a", "x", [0.0]), ("b", "y", [1.0]), ("c", "y", [2.0])], "accession string, label string, vec array<double>")
     q = spark.createDataFrame([("q", [0.0])], "accession string, vec array<double>")
@@ -486,6 +501,31 @@ def test_importance_finds_the_informative_features(spark):
     assert set(drops) == {0, 1, 2, 3} and max(abs(drops[2]), abs(drops[3])) <= 0.05
 
 
+@pytest.mark.parametrize("kind", ["LR", "SVM", "LR3"])
+def test_margin_deltas_equal_scored_copies(spark, monkeypatch, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (90, 3))
+    y = np.digitize(x @ [1.0, -1.0, 0.2] + rng.normal(0, 0.5, 90), [0.0] if kind != "LR3" else [-0.7, 0.7])
+    rows = spark.createDataFrame([(f"a{i:02d}", int(t), v.tolist()) for i, (t, v) in enumerate(zip(y, x))], "accession string, label int, vec array<double>")
+    fitted = tr.train_model(rows, kind[:3].rstrip("3"), {"max_iter": 20})
+    scored = ex.importance_permutation(fitted, rows, n_repeats=2)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    quick = {r["feature"]: (round(r["importance"], 9), round(r["std"], 9)) for r in scored.collect()}
+    monkeypatch.setattr(ex, "_margins", lambda fitted: None)
+    slow = {r["feature"]: (round(r["importance"], 9), round(r["std"], 9)) for r in ex.importance_permutation(fitted, rows, n_repeats=2).collect()}
+    assert quick == slow and len(quick) == 3 and "lambdafunction(CASE WHEN (lambda i" not in plan
+
+
+def test_many_trials_do_not_grow_the_plan(spark):
+    probs = spark.createDataFrame([(m, f"s{i}", [1 - p, p], i % 2) for i in range(12) for m, p in (("a", 0.9 if i % 2 else 0.2), ("b", 0.5), ("c", i / 12))],
+                                  "model_id string, accession string, probs array<double>, y int")
+    sizes = []
+    for n in (64, 10_000):
+        found = en.weights_random_search(probs, ["a", "b", "c"], "binary", 2, n, 0.05)
+        sizes.append(len(found._jdf.queryExecution().analyzed().toString()))
+    assert abs(sizes[0] - sizes[1]) < 200 and len(found.collect()) == 3
+
+
 def test_integrated_saliency_sums_to_the_difference(spark):
     w, b = [0.4, -0.3, 0.2], 0.1
     df = spark.createDataFrame([("a", [1.0, 2.0, -1.0])], "accession string, vec array<double>")

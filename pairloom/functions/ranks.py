@@ -142,6 +142,36 @@ def label_by_cuts(df: DataFrame, order: Sequence[Column], sizes, out: str, by: S
     return joined.withColumn(out, total).drop("_o", "_b", "_cuts")
 
 
+def label_by_many(df: DataFrame, specs: Sequence[tuple]) -> DataFrame:
+    """Several ``label_by_cuts`` over hashed orders at once: (out, order, sizes, rows that take part).
+
+    Bucket counts and cut keys of all orders come from one pass each; rows that take no part in one get NULL there.
+    """
+    keys = [F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]) for _, order, _, _ in specs]
+    entries = F.array(*[F.struct(F.lit(i).alias("_g"), cond.alias("_in"), key.alias("_o")) for i, ((_, _, _, cond), key) in enumerate(zip(specs, keys))])
+    tall = df.select(F.explode(entries).alias("_e")).where("_e._in").select("_e._g", "_e._o")
+    bucketed = tall.withColumn("_b", F.conv(F.substring(F.col("_o.k0"), 1, prefix_digits(df)), 16, 10).cast("int"))
+    counts = [len(sizes(F.lit(0))) for _, _, sizes, _ in specs]
+
+    def positions(n: Column) -> list[Column]:
+        out = []
+        for j in range(max(counts)):
+            at = F.lit(None).cast("long")
+            for i, (_, _, sizes, _) in enumerate(specs):
+                if j < counts[i]:
+                    at = F.when(F.col("_g") == i, sizes(n)[j].cast("long")).otherwise(at)
+            out.append(at)
+        return out
+
+    # one entry per order
+    cuts = cut_keys(bucketed, ["_g"], positions).agg(F.map_from_entries(F.collect_list(F.struct("_g", "_cuts"))).alias("_all"))
+    out = attach(df, cuts, (), ["_all"])
+    for i, (name, _, _, cond) in enumerate(specs):
+        passed = sum((F.coalesce((keys[i] > F.try_element_at(F.try_element_at("_all", F.lit(i)), F.lit(j))).cast("int"), F.lit(1)) for j in range(counts[i])), F.lit(0))
+        out = out.withColumn(name, F.when(cond, passed))
+    return out.drop("_all")
+
+
 def prefix_sums(df: DataFrame, order: Sequence[Column], values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """For each value column add ``<value>_before``, the sum over strictly smaller keys, and ``<value>_all``.
 

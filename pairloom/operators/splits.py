@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import pri
-from pairloom.functions.ranks import label_by_cuts
+from pairloom.functions.ranks import label_by_cuts, label_by_many
 from pairloom.functions.scalars import normalize_organism
 from pairloom.operators.quality import split_csv_duplicates, split_leakage_check
 from pairloom.session import cut_lineage
@@ -203,9 +203,9 @@ def _from_table(table: DataFrame | None, values: Sequence[str], ids: DataFrame)
     return listed.join(ids.select("accession"), "accession", "left_semi")
 
 
-def _head_flag(ids: DataFrame, share: float, seed: int, out: str) -> DataFrame:
-    cut = label_by_cuts(ids, _hash_order(seed, "accession"), lambda n: [_size(n, share)], "_part", hashed=True)
-    return cut.withColumn(out, F.col("_part") == 0).drop("_part")
+def _head(out: str, share: float, seed: int) -> tuple:
+    """The first ``int(n * share)`` rows of a shuffle, as a cut for ``label_by_many``."""
+    return out, _hash_order(seed, "accession"), lambda n: [_size(n, share)], F.lit(True)
 
 
 def _listed_flag(ids: DataFrame, listed: DataFrame, out: str) -> DataFrame:
@@ -217,50 +217,55 @@ def split_independent(proteins: DataFrame, conf: IndependentSplit = IndependentS
                       check: bool = True) -> DataFrame:
     """(accession, organism, split) with split in train, val, test, zero_shot."""
     organism = F.col("organism")
-    base = proteins.select("accession", "organism")
-
+    flagged = base = proteins.select("accession", "organism")
+    cuts, val, zero = [], F.col("_val"), F.lit(False)
     if conf.validation == "random":
-        flagged = _head_flag(base, conf.val_size, conf.val_seed, "_val")
+        cuts.append(_head("_val", conf.val_size, conf.val_seed))
+        val = F.col("_val") == 0
     elif conf.validation == "organism":
         named = [g for g in conf.val_organisms if not _is_rest(g)]
         rest = F.lit(any(map(_is_rest, conf.val_organisms)))
-        reserved = in_groups(organism, conf.scoped_organisms, conf.aliases)
-        flagged = base.withColumn("_val", in_groups(organism, named, conf.aliases) | (rest & ~reserved))
+        val = in_groups(organism, named, conf.aliases) | (rest & ~in_groups(organism, conf.scoped_organisms, conf.aliases))
     elif conf.validation == "csv":
         listed = _from_table(validation_table, conf.validation_values, base)
         if listed.isEmpty():
             raise ValueError("validation table selects no sample")
-        flagged = _listed_flag(base, listed, "_val")
+        flagged = _listed_flag(flagged, listed, "_val")
     else:
         raise ValueError(f"unknown validation strategy: {conf.validation}")
 
-    if conf.zero_shot is None:
-        flagged = flagged.withColumn("_zero", F.lit(False))
-    elif conf.zero_shot == "random":
-        flagged = _head_flag(flagged, conf.zero_size, conf.zero_seed, "_zero")
+    if conf.zero_shot == "random":
+        cuts.append(_head("_zero", conf.zero_size, conf.zero_seed))
+        zero = F.col("_zero") == 0
     elif conf.zero_shot == "organism":
-        flagged = flagged.withColumn("_zero", in_groups(organism, conf.zero_organisms, conf.aliases))
+        zero = in_groups(organism, conf.zero_organisms, conf.aliases)
     elif conf.zero_shot == "csv":
         flagged = _listed_flag(flagged, _from_table(zero_table, conf.zero_values, base), "_zero")
-    else:
+        zero = F.col("_zero")
+    elif conf.zero_shot is not None:
         raise ValueError(f"unknown zero_shot strategy: {conf.zero_shot}")
 
     in_scope = in_groups(organism, conf.scoped_organisms, conf.aliases) if conf.scoped_organisms else F.lit(True)
-    movable = ~F.col("_val") & in_scope
-    pool = flagged.where(movable)
     if conf.train_test == "random":
-        pool = _head_flag(pool, conf.test_size, conf.train_test_seed, "_test")
+        _, order, sizes, _ = _head("_test", conf.test_size, conf.train_test_seed)
+        chosen = 0
     elif conf.train_test == "cross_validation":
-        pool = fold_of(pool, "accession", conf.n_splits, conf.train_test_seed).withColumn(
-            "_test", F.col("_fold") == conf.fold_index % conf.n_splits
-        ).drop("_fold")
+        if conf.n_splits < 2:
+            raise ValueError("n_splits must be at least 2")
+        order, sizes = _hash_order(conf.train_test_seed, "accession"), lambda n: _fold_ends(n, conf.n_splits)
+        chosen = conf.fold_index % conf.n_splits
     else:
         raise ValueError(f"unknown train_test strategy: {conf.train_test}")
-    whole = flagged.where(~movable).withColumn("_test", F.lit(False)).unionByName(pool)
+    # Cuts that do not depend on another are found in the same passes; the test part is drawn from what validation leaves.
+    part = "_test", order, sizes, F.coalesce(~val & in_scope, F.lit(False))
+    if conf.validation == "random":
+        flagged = label_by_many(label_by_many(flagged, cuts), [part])
+    else:
+        flagged = label_by_many(flagged, [*cuts, part])
     split = (
-        F.when(F.col("_zero"), "zero_shot").when(F.col("_val"), "val").when(F.col("_test"), "test").otherwise("train")
+        F.when(zero, "zero_shot").when(val, "val").when(F.col("_test") == chosen, "test").otherwise("train")
     )
-    out = whole.select("accession", "organism", split.alias("split"))
+    out = cut_lineage(flagged.select("accession", "organism", split.alias("split")), "split")
     if check:
         problems = split_leakage_check(out, base).take(10)
         if problems:

@@ -159,7 +159,7 @@ def _near(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("nearest_neighbours_pivots", f"WITH {_neighbours_sql(_EUCLID, 5)} SELECT accession, neighbour, label, round(distance, 5) AS distance FROM near")
 def _near_pivots(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(nb.nearest_neighbours(*_sides(spark, sf), 5, pivots=16, block_rows=512), 5)
+    return r6(nb.nearest_neighbours(*_sides(spark, sf), 5, pivots=16, block_rows=64), 5)
 
 
 @query("train_knn", f"WITH {_neighbours_sql(_MANHATTAN, 7)} SELECT accession, label, round(count(*) / 7.0::DOUBLE, 6) AS prob FROM near GROUP BY accession, label")

@@ -350,6 +350,20 @@ def test_random_split_sizes(spark, n):
     assert counts.get("test", 0) == int(n * 0.25) and counts.get("val", 0) == int(n * 0.1) and sum(counts.values()) == n
 
 
+def test_independent_split_scans_its_input_a_few_times(spark):
+    """Validation, zero-shot and test parts, and the leakage check, with every read of the input counted."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        reads.add(1)
+        yield from batches
+
+    rows = spark.range(0, 200, 1, 1).selectExpr("concat('A', id) as accession", "'Homo sapiens' as organism").mapInArrow(count, "accession string, organism string")
+    conf = sp.IndependentSplit(validation="random", val_size=0.2, zero_shot="random", zero_size=0.1)
+    parts = {r["split"]: r["count"] for r in sp.split_independent(rows, conf).groupBy("split").count().collect()}
+    assert sum(parts.values()) == 200 and set(parts) == {"train", "val", "test", "zero_shot"} and reads.value <= 7
+
+
 def test_split_does_not_depend_on_partitions(spark, partitions):
     ids = accessions(spark, 200)
     assert as_set(sp.split_random(ids), "accession", "split") == as_set(sp.split_random(ids.repartition(13)), "accession", "split")

@@ -45,6 +45,17 @@ def test_label_by_cuts(spark, cuts):
     assert [r["part"] for r in out.collect()] == [(i >= cuts[0]) + (i >= cuts[1]) for i in range(20)]
 
 
+def test_many_cuts_at_once(spark, partitions):
+    df = spark.range(101).withColumn("even", F.col("id") % 2 == 0)
+    orders = [([pri(seed, F.col("id")), F.col("id")], sizes, cond) for seed, sizes, cond in (
+        (1, lambda n: [F.floor(n * 0.3)], F.lit(True)), (2, lambda n: [F.floor(n * 0.1), F.floor(n * 0.5)], F.col("even")), (3, lambda n: [F.lit(0)], F.lit(True)))]
+    got = ranks.label_by_many(df, [(f"p{i}", *spec) for i, spec in enumerate(orders)]).collect()
+    for i, (order, sizes, cond) in enumerate(orders):
+        alone = ranks.label_by_cuts(df.where(cond), order, sizes, "p", hashed=True).collect()
+        assert {r["id"]: r[f"p{i}"] for r in got if r[f"p{i}"] is not None} == {r["id"]: r["p"] for r in alone}
+    assert sum(r["p1"] is None for r in got) == 50 and [sum(r["p0"] == 0 for r in got), sum(r["p2"] == 0 for r in got)] == [30, 0]
+
+
 def test_prefix_sums(spark, partitions):
     df = spark.createDataFrame([(g, i, (i * 7) % 5) for g in "xy" for i in range(100)], "g string, i int, v long")
     for r in ranks.prefix_sums(df, [F.col("i")], ["v"], ["g"]).collect():

@@ -18,14 +18,15 @@ from pairloom.session import cut_lineage
 
 CAPACITY = 2048
 BLOCK_ROWS = 20_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 MARK = "|"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class WordIds:
     """Token ids of texts by a tokenizers file that drops white space: chunks between white space, and words before ASCII signs other
-    than the apostrophe, are encoded once per worker and remembered within a bound.
+    than the apostrophe, are encoded once per worker and remembered in two generations of bounded size: when the younger is full it becomes
+    the older one, and what is met again moves back, so common chunks stay.
 
     No pre-token of such a file spans these borders, so the chunks' ids joined are the ids of the text.
     """
@@ -37,6 +38,7 @@ class WordIds:
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> None:
@@ -61,13 +63,17 @@ class WordIds:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids per text as little-endian unsigned 32-bit numbers."""
         cut = [self.chunks.findall(t) for t in texts]
-        known = self.known
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = list({c for chunks in cut for c in chunks})
+        new = []
+        for c in {c for chunks in cut for c in chunks}.difference(self.known):
+            if c in self.older:
+                self.known[c] = self.older[c]
+            else:
+                new.append(c)
         self._learn(new)
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+        if len(self.known) > self.remembered:
+            self.known, self.older = {}, self.known
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from pairloom.operators import explain as ex
 from pairloom.operators import neighbours as nb
 from pairloom.operators import sweeps as sw
 from pairloom.operators import training as tr
+from pairloom.operators.linear import Linear, LinearModel, fit_linear, shares
 from pairloom.operators.metrics import binary_metrics
 from pairloom.plans import query
 from pairloom.plans.fixtures import FEATURES, MODELS, PREDS, VIEWS, binary_sql, cells, features, longs, preds, r6, table, u_sql
@@ -242,6 +244,34 @@ def _predict_knn(spark: SparkSession, sf: str) -> DataFrame:
     return r6(longs(out.select("accession", F.col("probs")[1].alias("p1"), "predicted_label"), "predicted_label"))
 
 
+_LINEAR = """WITH e AS (SELECT vec_id::VARCHAR AS accession, label, embedding::DOUBLE[] AS v FROM embeddings),
+  z AS (SELECT accession, list_sum([v[j] * ((j - 1) % 5 - 2) / 4.0::DOUBLE FOR j IN range(1, len(v) + 1)]) + 0.1::DOUBLE AS z FROM e)
+  SELECT accession, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)), 6) AS p1, (z >= 0)::BIGINT AS predicted_label FROM z"""
+
+
+@query("linear_scores", _LINEAR)
+def _linear_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a model with given coefficients."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("accession"), F.col("embedding").alias("vec"))
+    width = rows.select(F.size("vec").alias("w")).first()["w"]
+    model = LinearModel(np.array([[(j % 5 - 2) / 4.0 for j in range(width)]]), np.array([0.1]))
+    out = tr.batch_predict(tr.Fitted("LR", [0, 1], model), rows)
+    return r6(longs(out.select("accession", F.col("probs")[1].alias("p1"), "predicted_label"), "predicted_label"))
+
+
+@query("linear_optimum", """SELECT t.trial::BIGINT AS trial, s.side AS side, count(*)::BIGINT AS n, TRUE AS balanced FROM range(4) t(trial), (SELECT (embedding[1]::DOUBLE + embedding[2]::DOUBLE > 0) AS side FROM embeddings) s
+  GROUP BY ALL""")
+def _linear_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """Four penalties fitted together; at each optimum the free intercept makes the mean error of all rows vanish."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    rows = rows.withColumn("side", F.col("vec")[0] + F.col("vec")[1] > 0)
+    models = fit_linear(rows.select("vec", F.array(F.col("side").cast("int")).alias("target")), [Linear(C=c, tol=1e-6) for c in (0.01, 0.1, 1.0, 10.0)])
+    scored = rows.select("side", F.posexplode(shares(models, F.col("vec"))).alias("trial", "p"))
+    errors = scored.groupBy("trial").agg(F.avg(F.col("p")[1] - F.col("side").cast("double")).alias("error"))
+    counts = scored.groupBy("trial", "side").agg(F.count(F.lit(1)).alias("n"))
+    return longs(counts.join(errors, "trial").select("trial", "side", "n", (F.abs("error") < 1e-5).alias("balanced")), "trial")
+
+
 @query("final_retrain")
 def _retrain(spark: SparkSession, sf: str) -> DataFrame:
     out, _ = tr.final_retrain(_view(spark, sf), {"V": ("LR", {})}, normalization="l2")

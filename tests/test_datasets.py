@@ -265,12 +265,13 @@ def test_conflict_components(spark):
     assert {(r.variant_id, r.target_id): r.component for r in got.collect()} == want | {("v", t): "z00" for t in chain}
 
 
-def test_scarcity_fixture(spark):
-    rows, events = va.variant_generate(universe(spark, {"target1": ["a", "b"], "target2": list("vwxyz")}), va.VariantPolicy("1:3", 5))
-    assert set(picked(rows)) == {"target2"}
-    assert as_set(events, "target_id", "reason") == {("target1", "insufficient_candidates")}
+def test_short_pools_are_dropped_and_counted(spark):
+    pools = {"alpha": list("abcdefg"), "beta": list("hij"), "gamma": [], "delta": list("klmnopqr")}
+    rows, events = va.variant_generate(universe(spark, pools), va.VariantPolicy("1:4", 7))
+    assert {t: len(c) for t, c in picked(rows).items()} == {"alpha": 4, "delta": 4}
+    assert as_set(events, "target_id", "reason") == {("beta", "insufficient_candidates"), ("gamma", "insufficient_candidates")}
     manifest = va.variant_manifest(rows, events).first()
-    assert (manifest["targets_included"], manifest["targets_dropped"], manifest["ratio_realized"]) == (1, 1, "1:3")
+    assert (manifest["targets_included"], manifest["targets_dropped"], manifest["ratio_realized"]) == (2, 2, "2:4")
 
 
 def test_replay_and_families(spark, partitions):
@@ -307,24 +308,25 @@ def test_universe_checks(spark):
 
 
 def test_group_split_and_bundle(spark, tmp_path):
-    u = universe(spark, {f"t{i}": [f"c{i}_{j}" for j in range(5)] for i in range(3)})
-    rows, events = va.variant_generate(u, va.VariantPolicy("1:2", 3))
-    split = sp.split_group_by_target(rows, 0.7, 0.15, 0.15)
+    u = universe(spark, {f"g{i}": [f"k{(3 * i + j) % 40}" for j in range(6)] for i in range(10)})
+    rows, events = va.variant_generate(u, va.VariantPolicy("1:3", 4))
+    split = sp.split_group_by_target(rows, 0.5, 0.2, 0.3)
     assert split.groupBy("target_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
     summary = va.bundle_summary(split, events).first()
-    assert summary["total_instances"] == 9 and summary["train_count"] + summary["val_count"] + summary["test_count"] == 9
+    total = rows.count()
+    assert summary["total_instances"] == total == 4 * summary["targets_included"] and summary["train_count"] + summary["val_count"] + summary["test_count"] == total
     sinks.export_bundle(split, events, un.universe_manifest(u, "u"), str(tmp_path / "b"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "b" / "split")).count() == 9
+    assert spark.read.option("header", True).csv(str(tmp_path / "b" / "split")).count() == total
     with pytest.raises(ValueError):
         sp.split_group_by_target(rows, 0.7, 0.7, 0.1)
 
 
 # -- labels ----------------------------------------------------------------------------------------
 
-def test_label_fixture(spark):
-    rows = spark.createDataFrame([("P1", "GO:1", 0), ("P1;P3", "GO:2", 1), ("P2", "GO:1", 2), ("P1", "GO:1", 3), (None, "GO:9", 4)], "accession string, label string, o int")
+def test_repeated_and_joined_labels(spark):
+    rows = spark.createDataFrame([("X7,X9", "red", 4), ("X8", "blue", 1), ("X7", "green", 2), ("X9", "red", 9), (None, "lost", 0), (" ", "lost", 3)], "accession string, label string, o int")
     got = {r["accession"]: r["labels"] for r in lb.labels_collapse(lb.labels_from_file(rows, order_col="o")).collect()}
-    assert got == {"P1": ["GO:1", "GO:2"], "P2": ["GO:1"], "P3": ["GO:2"]}
+    assert got == {"X7": ["green", "red"], "X8": ["blue"], "X9": ["red"]}
 
 
 @pytest.mark.parametrize("labels,kind,size", [([["a"], ["b"]], "binary", 2), ([["a"], ["b"], ["c"]], "multiclass", 3), ([["a", "b"], ["a"]], "multilabel", 2)])

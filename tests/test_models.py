@@ -92,20 +92,22 @@ def test_relational_store(spark):
 # -- probabilities, decisions, ensembles -----------------------------------------------------------
 
 def test_canonical_shapes(spark):
-    one = spark.createDataFrame([([0.1],), ([0.8],)], "probs array<double>")
-    assert [round(sum(r["probs"]), 9) for r in en.probs_canonical(one, "binary").collect()] == [1.0, 1.0]
+    one = spark.createDataFrame([([0.0],), ([0.35],), ([1.0],)], "probs array<double>")
+    assert [[round(p, 9) for p in r["probs"]] for r in en.probs_canonical(one, "binary").collect()] == [[1.0, 0.0], [0.65, 0.35], [0.0, 1.0]]
     with pytest.raises(Exception, match="columns"):
-        en.probs_canonical(spark.createDataFrame([([0.1, 0.2, 0.7],)], "probs array<double>"), "binary").collect()
+        en.probs_canonical(spark.createDataFrame([([0.25, 0.25, 0.25, 0.25],)], "probs array<double>"), "binary").collect()
 
 
 def test_better_model_weighs_more(spark):
-    y = [0, 1, 0, 1]
-    rows = [("LR", str(i), t, [1.0 - t, float(t)]) for i, t in enumerate(y)] + [("RF", str(i), t, [float(t), 1.0 - t]) for i, t in enumerate(y)]
+    """Three models: one right, one wrong on a third, one always wrong."""
+    y = [1, 1, 0, 0, 1, 0]
+    given = {"good": y, "fair": [0, *y[1:5], 1], "bad": [1 - t for t in y]}
+    rows = [(m, f"s{i}", t, [0.8 - 0.6 * p, 0.2 + 0.6 * p]) for m, ps in given.items() for i, (t, p) in enumerate(zip(y, ps))]
     probs = spark.createDataFrame(rows, "model_id string, accession string, y int, probs array<double>")
     weights = {r["model_id"]: r["weight"] for r in en.weights_validation(probs, "binary", 2).collect()}
-    assert weights == {"LR": 1.0, "RF": 0.0}
-    found = {r["model_id"]: r["weight"] for r in en.weights_random_search(probs, ["LR", "RF"], "binary", 2).collect()}
-    assert found["LR"] > 0.5 and math.isclose(sum(found.values()), 1.0)
+    assert weights["good"] > weights["fair"] > weights["bad"] == 0.0 and math.isclose(sum(weights.values()), 1.0)
+    found = {r["model_id"]: r["weight"] for r in en.weights_random_search(probs, list(given), "binary", 2).collect()}
+    assert found["good"] + found["fair"] > found["bad"] and math.isclose(sum(found.values()), 1.0)
     vote = en.soft_vote(probs, spark.createDataFrame(list(weights.items()), "model_id string, weight double"), "binary", 2)
     assert [r["pred"] for r in vote.orderBy("accession").collect()] == y
 

@@ -46,7 +46,7 @@ def _letters() -> np.ndarray:
 
 
 def ngram_counts(text: str, block: int = 1 << 20) -> np.ndarray | None:
-    """Counts, up to 255, of hashed 1- to 3-grams of lower-case letters with one space between words; None without a letter."""
+    """Counts of hashed 1- to 3-grams of lower-case letters with one space between words; None without a letter."""
     total = np.zeros(1 << BITS, dtype=np.int64)
     seen = False
     for start in range(0, len(text), block):
@@ -64,11 +64,11 @@ def ngram_counts(text: str, block: int = 1 << 20) -> np.ndarray | None:
                 break
             grams = (grams[:-1] ^ (grams[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + codes[len(codes) - len(grams) + 1:] * np.uint32(0x9E3779B1)
             total += np.bincount(grams >> np.uint32(32 - BITS), minlength=1 << BITS)
-    return np.minimum(total, 255).astype(np.uint8) if seen else None
+    return total.astype(np.float32) if seen else None
 
 
 def _normal(counts: np.ndarray) -> np.ndarray:
-    x = np.sqrt(counts.astype(np.float32))
+    x = np.sqrt(counts)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
 
 
@@ -146,7 +146,7 @@ def train_hierarchy(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Hie
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             counts = [(lang, ngram_counts(t)) for lang, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
-            counts = [(lang, c.tobytes()) for lang, c in counts if c is not None]
+            counts = [(lang, c.astype("<f4").tobytes()) for lang, c in counts if c is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in counts], pa.string()), pa.array([x[1] for x in counts], pa.binary())], ["lang", "counts"])
 
     sampled = cut_lineage(picked.select("lang", "text").mapInArrow(features, "lang string, counts binary"), "sample")
@@ -161,7 +161,7 @@ def train_hierarchy(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Hie
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["lang", "counts"])
-        x = _normal(np.frombuffer(b"".join(frame["counts"]), dtype=np.uint8).reshape(len(frame), -1))
+        x = _normal(np.frombuffer(b"".join(frame["counts"]), dtype="<f4").reshape(len(frame), -1))
         w, b = train_machine(x, frame["side"].to_numpy(np.float32))
         return pd.DataFrame({"task": [frame["task"].iloc[0]], "weights": [w.astype("<f4").tobytes()], "offset": [b]})
 

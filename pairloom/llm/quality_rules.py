@@ -22,6 +22,7 @@ UPPER = bytes(range(65, 91))
 NO_LETTER = bytes(b for b in range(128) if not chr(b).isalpha())
 SYMBOL_BYTES = SYMBOLS.encode()
 KEEP = 0.5
+WINDOW = 256
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -47,6 +48,11 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def distinct_share(words: list[bytes], window: int = WINDOW) -> float:
+    """Distinct words, counted window by window, as a share of all words, so that a long text is judged like a short one."""
+    return sum(len(set(words[i:i + window])) for i in range(0, len(words), window)) / len(words)
+
+
 def signals(text: str) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the rules' votes as text: g, b or -."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -67,7 +73,6 @@ def signals(text: str) -> tuple:
     plain = len(PLAIN.findall(raw)) / n
     ends = len(ENDS.findall(raw)) / n
     capitals = upper / max(1, letters)
-    distinct = len(set(words)) / n
     votes = (
         "b" if symbols / n >= 0.1 else "-",
         "b" if marked / n >= 0.15 else "-",
@@ -78,7 +83,7 @@ def signals(text: str) -> tuple:
         "b" if repeat >= 0.4 * n else "g" if repeat <= 0.1 * n and n >= 50 else "-",
         "b" if capitals >= 0.4 else "-",
         "b" if len(BANGS.findall(text)) / n >= 0.1 else "-",
-        "b" if distinct <= (0.2 if n < 2000 else 0.03) else "-",
+        "b" if distinct_share(words) <= 0.2 else "-",
     )
     return n, chars, symbols, dup_lines, repeat, "".join(votes)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pairloom.session import cut_lineage
 
 SHINGLE = 5
-SCALE = 8
+SCALE = 2
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -18,25 +18,24 @@ def bound_to(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes of word shingles that lie in the lowest 1/scale of the range.
+def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
+    """Hashes of all word shingles, in order and with repeats.
 
-    Words are lower-cased and parted by ASCII white space; fewer words than a shingle make one. If no hash lies that low the lowest one
-    stands for the text, so that only a text without words (or null) has an empty sketch.
+    Words are lower-cased and parted by ASCII white space; fewer words than a shingle make one; no words (or null) have none.
     """
-    below = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES), "")
 
     def hashes(ws: Column) -> Column:
         last = F.greatest(F.size(ws) - shingle, F.lit(0))
         return F.when(F.size(ws) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(ws, i + k) for k in range(shingle)))))
 
-    def keep(hs: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(hs, lambda h: h <= below)))
-        return F.when(F.size(low) > 0, low).otherwise(F.array(F.array_min(hs)))
+    return F.coalesce(bound_to(words, hashes), F.array().cast("array<bigint>"))
+
 
-    none = F.array().cast("array<bigint>")
-    return F.coalesce(bound_to(bound_to(words, hashes), lambda hs: F.when(hs.isNotNull(), bound_to(hs, keep))), none)
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
+    """Sorted distinct hashes of word shingles that lie in the lowest 1/scale of the range, and no others: a short text may have none."""
+    below = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
+    return F.array_sort(F.array_distinct(F.filter(shingle_hashes(text, shingle), lambda h: h <= below)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -55,9 +54,23 @@ def merge(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
-def printed(hashes: Column) -> Column:
-    """A sketch as text: 16 hex digits a hash, in order."""
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+def compared(measure, a: Column, a_text: Column, b: Column, b_text: Column, shingle: int = SHINGLE) -> Column:
+    """``measure`` of two sketches; where one is empty, and so tells nothing of its text, of all shingle hashes of both texts."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), measure(a, b)).otherwise(
+        bound_to(F.struct(shingle_hashes(a_text, shingle).alias("a"), shingle_hashes(b_text, shingle).alias("b")), lambda s: measure(F.array_distinct(s["a"]), F.array_distinct(s["b"]))))
+
+
+def _digits(h: Column) -> Column:
+    return F.lower(F.lpad(F.hex(h), 16, "0"))
+
+
+def printed(hashes: Column, text: Column | None = None, shingle: int = SHINGLE) -> Column:
+    """A sketch as text: 16 hex digits a hash, in order. With its text given, an empty sketch is shown as ``-`` and the text's lowest
+    hash, which tells short texts apart and is no part of the sketch; a text without words is shown as nothing."""
+    shown = F.array_join(F.transform(hashes, _digits), "")
+    if text is None:
+        return shown
+    return F.when(F.size(hashes) > 0, shown).otherwise(F.coalesce(F.concat(F.lit("-"), _digits(F.array_min(shingle_hashes(text, shingle)))), F.lit("")))
 
 
 def id_buckets(ids: DataFrame) -> tuple[Column, int]:
@@ -80,6 +93,8 @@ def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int =
     one another in the order of their texts' hashes, so a repeated row is followed by its like; null ids come last. Columns other than
     doc_id and text are not read.
 
+    A text whose sketch is empty is compared by all its shingles (``compared``), so short texts have exact values.
+
     Whole texts are shuffled once, into buckets of neighbouring ids; what follows the last row of a bucket is fetched for one row a bucket.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -102,9 +117,9 @@ def document_fingerprints(docs: DataFrame, shingle: int = SHINGLE, scale: int =
         F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), "sketch",
         F.coalesce(F.col("inner_sketch"), sketch(F.col("over_text"), shingle, scale)).alias("next_sketch"), cut.alias("cut"), "text", F.coalesce("inner", "over_text").alias("after"))
     edited = edited.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cut)"), F.expr("substring(after, 1, cut)")))
-    done = edited.select("doc_id", "n_chars", "sketch", "next_sketch", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("edited"), shingle, scale).alias("edited_sketch"))
-    own, changed, after_it = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    return done.select(
-        "doc_id", "n_chars", "edited_sha256", printed(own).alias("fingerprint"), printed(changed).alias("edited_fingerprint"),
-        likeness(own, changed).alias("near_edited"), likeness(own, after_it).alias("near_next"),
-        containment(own, changed).alias("in_edited"), containment(own, after_it).alias("in_next"))
+    edited = edited.withColumn("edited_sketch", sketch(F.col("edited"), shingle, scale))
+    own, changed, after_it = (F.col("sketch"), F.col("text")), (F.col("edited_sketch"), F.col("edited")), (F.col("next_sketch"), F.col("after"))
+    return edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(*own, shingle).alias("fingerprint"), printed(*changed, shingle).alias("edited_fingerprint"),
+        compared(likeness, *own, *changed, shingle).alias("near_edited"), compared(likeness, *own, *after_it, shingle).alias("near_next"),
+        compared(containment, *own, *changed, shingle).alias("in_edited"), compared(containment, *own, *after_it, shingle).alias("in_next"))

@@ -93,6 +93,15 @@ def test_counts_match_their_definition():
         assert repeated_words([w.encode() for w in words]) == plain_repeats(words)
 
 
+def test_distinct_words_are_judged_alike_at_every_length():
+    rand = random.Random(11)
+    rich, poor = [f"w{i}" for i in range(5000)], [f"w{i}" for i in range(20)]
+    for n in (1999, 2000, 2001, 60_000):
+        assert signals(" ".join(rand.choices(poor, k=n)))[5][-1] == "b"
+        assert signals(" ".join(rand.choices(rich, k=n)))[5][-1] == "-"
+    assert signals(" ".join(poor * 5))[5][-1] == "b" and signals(" ".join([*poor, *poor]))[5][-1] == "-"
+
+
 def test_label_model_separates_and_keeps_its_sense():
     posterior, accuracy = label_model(["-gg-g-g---", "bbbb------", "---------b", "----------"], [900, 60, 5, 35])
     assert posterior[0] > 0.9 and posterior[1] < 0.1 and (accuracy >= 0.55).all()
@@ -147,6 +156,12 @@ def test_long_text_in_blocks_has_all_grams():
     assert family_of("en-GB") == "germanic" and family_of("tlh") == "=tlh"
 
 
+def test_shares_do_not_change_with_the_length():
+    text = "the old house by the river "
+    short, long = ngram_counts(text * 40), ngram_counts(text * 4000, block=1 << 14)
+    assert long.max() > 4000 and np.allclose(short / short.sum(), long / long.sum(), atol=1e-3)
+
+
 def test_machine_separates_unequal_classes():
     rng = np.random.default_rng(1)
     x = np.abs(np.vstack([rng.normal(1, 0.2, (190, 6)), rng.normal(1, 0.2, (10, 6)) + [0, 0, 0, 0, 0, 2]])).astype(np.float32)

@@ -1,6 +1,8 @@
 import hashlib
+import re
 
 import pytest
+import xxhash
 from llm.helpers import awkward, clashing, table
 from pyspark.sql import functions as F
 
@@ -97,11 +99,59 @@ def test_sketches_merge_and_compare(spark):
     assert r.c == 1 and abs(r.j - 0.1) < 0.04 and r.m and r.e == 1
 
 
+def plain_hashes(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    out = set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i:i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        out.add(h - (1 << 64) if h >= 1 << 63 else h)
+    return out
+
+
+def plain_measures(a, b, scale):
+    """Likeness and containment by the sketches, or by all hashes where a sketch is empty."""
+    full = plain_hashes(a), plain_hashes(b)
+    low = [{h for h in hs if h < -(1 << 63) + (1 << 64) // scale} for hs in full]
+    x, y = low if all(low) else full
+    return len(x & y) / len(x | y) if x | y else 1.0, len(x & y) / len(x) if x else 1.0
+
+
+@pytest.mark.parametrize("scale", [2, 8])
+def test_measures_match_plain_hashes(spark, scale):
+    rows = [(i, t) for i, t in {i: t for i, t in awkward() if i is not None}.items()]
+    rows += [(200, rows[0][1]), (199, " ".join(rows[0][1].split()[:6])), (198, "one two three"), (197, "one two three"), (196, "four")]
+    line = sorted(((i, t or "") for i, t in rows), reverse=True)
+    got = {r.doc_id: r for r in document_fingerprints(table(spark, rows), scale=scale).collect()}
+    short = 0
+    for k, (i, t) in enumerate(line):
+        after = line[(k + 1) % len(line)][1]
+        cut = len(t) // 3
+        edited, r = t[:len(t) - cut] + after[:cut], got[i]
+        assert (r.near_edited, r.in_edited) == pytest.approx(plain_measures(t, edited, scale))
+        assert (r.near_next, r.in_next) == pytest.approx(plain_measures(t, after, scale))
+        lowest = sorted(h for h in plain_hashes(t) if h < -(1 << 63) + (1 << 64) // scale)
+        every = sorted(plain_hashes(t))
+        assert r.fingerprint == ("".join(f"{h % (1 << 64):016x}" for h in lowest) or (f"-{every[0] % (1 << 64):016x}" if every else ""))
+        short += bool(every and not lowest)
+    assert short > 0
+
+
+def test_empty_sketches_keep_merging_right(spark):
+    texts = [f"w{i} w{i + 1} w{i + 2} w{i + 3} w{i + 4}" for i in range(40)]
+    empty = sum(not s for s in sketches_of(spark, texts, 2).values())
+    assert 5 < empty < 35  # none is filled up with a hash above the fraction
+    frame = spark.createDataFrame(list(zip(texts, texts[1:])), "a string, b string")
+    for r in frame.select("a", "b", merge(sketch(F.col("a")), sketch(F.col("b"))).alias("m")).collect():
+        assert r.m == sorted(h for h in plain_hashes(r.a) | plain_hashes(r.b) if h < 0)
+
+
 def test_fingerprints_of_every_document_and_its_successor(spark):
     rows = [r for r in awkward() if r not in [(3, awkward()[3][1])]] + [(3, awkward()[3][1])]
     got = document_fingerprints(clashing(table(spark, rows))).collect()
     assert len(got) == len(rows)
-    alone = {r.k: r.f for r in spark.createDataFrame([(t or "",) for _, t in rows], "k string").select("k", printed(sketch(F.col("k"))).alias("f")).collect()}
+    alone = {r.k: r.f for r in spark.createDataFrame([(t or "",) for _, t in rows], "k string").select("k", printed(sketch(F.col("k")), F.col("k")).alias("f")).collect()}
     ids = {(i, t or "") for i, t in rows}
     unique = [(i, t) for i, t in ids if i is not None and sum(j == i for j, _ in ids) == 1]
     line = sorted(unique, reverse=True)

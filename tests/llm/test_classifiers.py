@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import fold
 from pairloom.llm.language_id import family_of, identify_languages, ngram_counts, train_machine
 from pairloom.llm.quality_rules import keep_good, label_model, quality_verdicts, repeated_words, signals
-from pairloom.llm.secret_scan import LEAST_GUESSES, find_spans, guess_cost, mask, redact_secrets, secret_spans
+from pairloom.llm.secret_scan import LEAST_GUESSES, WORDS, Dictionary, corpus_words, find_spans, guess_cost, mask, redact_secrets, secret_spans
 from pairloom.llm.toxicity import Lexicon, calibrate, entries_of, folded, toxicity_scores
 
 # -- secrets ---------------------------------------------------------------------------------------
@@ -59,6 +59,48 @@ def test_guess_costs():
         assert guess_cost(v) <= plain_cost(v, lambda p: guess_cost(p) if len(p) < len(v) else len(p)) + 1e-9
 
 
+def own_price(piece, ranked):
+    """What one segment costs, by the rules as stated: log10 of its guesses."""
+    low, prices = piece.lower(), [1.0] if len(piece) == 1 else []
+    for text, extra in ((low, 0.0), (low.translate(str.maketrans("013457@$!", "oleastasi")), 0.3)):
+        if text in ranked:
+            prices.append(0.3 + np.log10(ranked.index(text) + 2) + extra + (0.3 if piece != low else 0.0))
+    year, month, day = r"(19|20)\d{2}", r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+    if re.fullmatch(year, low, re.ASCII):
+        prices.append(2.3)
+    if any(re.fullmatch("[-/.]?".join(order), low, re.ASCII) for order in ((year, month, day), (day, month, year))) and len(low) <= 10:
+        prices.append(0.3 + np.log10(36_500))
+    place = {key: (r, c) for r, row in enumerate(["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm"]) for c, key in enumerate(row)}
+    steps = [(place[a], place[b]) for a, b in zip(low, low[1:]) if a in place and b in place]
+    beside = [abs(c - d) == 1 if r == q else (q - r, d - c) in ((1, 0), (1, -1), (-1, 0), (-1, 1)) for (r, c), (q, d) in steps]
+    if len(low) >= 3 and len(steps) == len(low) - 1 and all(beside):
+        prices.append(0.3 + np.log10(40 * len(low)))
+    prices += [0.3 + u + np.log10(len(low) // u) for u in (1, 2, 3, 4) if len(low) > u and len(low) % u == 0 and low == low[:u] * (len(low) // u)]
+    return min(prices, default=np.inf)
+
+
+def test_guess_costs_are_the_least_over_all_segmentations():
+    rand = random.Random(12)
+    more = ["yesterday", "strawberry", "elephant"]
+    ranked = list(dict.fromkeys([*WORDS, *more]))
+    parts = ["qwerty", "asdf", "zaq", "aaa", "abab", "xyzxyz", "2024", "1999-12-31", "31.1.2001", "P@ss", "dragon", "Elephant", "yesterday", "7", "q", "1q2w", "0", "!", "edcba", "rrrrrr", "987654"]
+    values = ["".join(rand.choices(parts, k=rand.randint(1, 4))) for _ in range(150)] + ["".join(rand.choices("aqws12", k=rand.randint(1, 14))) for _ in range(150)]
+    for value in values:
+        assert guess_cost(value, Dictionary(more)) == pytest.approx(plain_cost(value, lambda p: own_price(p, ranked))), value
+    assert guess_cost("as" * 50_000) < 8 and guess_cost("İİ" + "a" * 9) > 0  # long walks and repeats take no quadratic time
+
+
+def test_dictionary_is_learned_from_the_corpus(spark):
+    texts = ["Strawberry, elephant (administrator) strawberry.", "the strawberry: elephant pwd: zyxwvutsrqp", "pwd: zyxwvutsrqp b4nana x_word elephant", 'token="zyxwvutsrqp" administrator?', None, ""]
+    docs = table(spark, list(enumerate(texts)))
+    assert corpus_words(docs) == ["administrator", "elephant"]
+    assert corpus_words(docs, most=1) == ["administrator"] and corpus_words(table(spark, [])) == []
+    before, after = find_spans("pwd: administrator"), find_spans("pwd: administrator", words=Dictionary(corpus_words(docs)))
+    assert [k for *_, k in before[0]] == ["guess"] and after[0] == []
+    rows = secret_spans(table(spark, [*enumerate(texts), (9, "pwd: administrator"), (10, "pwd: xK9#mQ2$vL7!"), (11, "y" * 300_000 + " pwd: " + "as" * 5000)])).collect()
+    assert {r.doc_id: r.n_guess for r in rows if r.doc_id > 8} == {9: 0, 10: 1, 11: 0}
+
+
 def test_secret_queries(spark):
     rows = [*enumerate(TEXTS), (77, None), (None, TEXTS[0]), (3, TEXTS[3])]
     got = secret_spans(clashing(table(spark, rows))).collect()

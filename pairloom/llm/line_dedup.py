@@ -18,6 +18,8 @@ LEAST_WORDS = 8
 SPANS = (4, 8, 16, 32)
 SPACES = " \t\n\x0b\x0c\r"
 BITMAP_BITS = 24
+HOT_LINES = 100_000
+HOT_COUNT = 1000
 DOC = ["no_id", "id", "key"]
 LINE = ["h1", "h2"]
 
@@ -52,17 +54,24 @@ def _text_lines(docs: DataFrame) -> DataFrame:
     return exploded.select(*DOC, "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), "line")
 
 
-def _with_ends(lines: DataFrame) -> DataFrame:
-    counted = lines.withColumn("words", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    return counted.withColumn("ends", _ends(F.col("line"), F.col("words")))
+def _line_ends() -> Column:
+    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return bound_to(words, lambda n: _ends(F.col("line"), n))
 
 
-def _bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """(slot, bits): a bitmap of the hashes in a fixed number of 64-bit slots, whatever their number."""
-    placed = hashes.select(F.shiftrightunsigned("end", 64 - bits).alias("place"))
+def _bitmap(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """(slot, bits): a bitmap of the hashes in a fixed number of 64-bit slots (at most 2 MB), whatever their number."""
+    placed = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("place"))
     return placed.select(F.shiftrightunsigned("place", 6).alias("slot"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
 
 
+def _likely(rows: DataFrame, column: str, hashes: DataFrame, name: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """The rows whose ``column`` is one of the hashes, and a few more: a filter where the rows are read."""
+    place = F.shiftrightunsigned(column, 64 - bits)
+    found = rows.withColumn("slot", F.shiftrightunsigned(place, 6)).join(F.broadcast(cut_lineage(_bitmap(hashes, column, bits), name)), "slot")
+    return found.where(F.getbit("bits", place.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("slot", "bits")
+
+
 def _words(line: Column) -> Column:
     return F.split(line, " ")
 
@@ -104,17 +113,15 @@ def near_lines(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     ends = firsts.select(*LINE, F.explode("ends").alias("end"))
     shared = cut_lineage(ends.groupBy("end").count().where("count > 1").select("end"), "shared")
     paired = ends.join(shared, "end", "left_semi").select(*LINE).distinct()
-    # a bitmap of at most 2 MB first, so that of the lines without a partner only a few are shuffled with their words
-    every = _with_ends(_text_lines(docs)).where(F.size("ends") > 0).select(*LINE, F.struct(*DOC, "pos").alias("first"), "line", F.explode("ends").alias("end"))
-    place = F.shiftrightunsigned("end", 64 - BITMAP_BITS)
-    likely = every.withColumn("slot", F.shiftrightunsigned(place, 6)).join(F.broadcast(cut_lineage(_bitmap(shared), "bitmap")), "slot")
+    # of the lines without a partner only a few are shuffled with their words
+    every = _text_lines(docs).select(*LINE, F.struct(*DOC, "pos").alias("first"), "line", F.explode(_line_ends()).alias("end"))
     # written, since the semi-join below would else be moved under the bitmap
-    likely = cut_lineage(likely.where(F.getbit("bits", place.bitwiseAND(F.lit(63)).cast("int")) == 1).select(*LINE, "first", "line"), "likely")
+    likely = cut_lineage(_likely(every, "end", shared, "bitmap").select(*LINE, "first", "line"), "likely")
     only = firsts.select(*LINE, "first").join(paired, LINE, "left_semi")
     lines = cut_lineage(likely.join(only, [*LINE, "first"], "left_semi").dropDuplicates(LINE), "lines")
     variants = lines.select("h1", F.explode(_variant_keys(_words(F.col("line")))).alias("x")).select("h1", "x.v", "x.at")
-    met = variants.groupBy("v").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("v")
-    live = variants.join(met, "v", "left_semi").groupBy("h1").agg(F.collect_set("at").alias("ats"))  # a line's own positions
+    met = cut_lineage(variants.groupBy("v").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("v"), "met")
+    live = cut_lineage(_likely(variants, "v", met, "met-bitmap"), "live").join(met, "v", "left_semi").groupBy("h1").agg(F.collect_set("at").alias("ats"))  # a line's own positions
     words = _words(F.col("line"))
     exact = lines.join(live, "h1").select(*LINE, "first", words.alias("words"), F.explode("ats").alias("at"))
     text = F.array_join(F.when(F.col("at") < 0, F.col("words")).otherwise(_without(F.col("words"), F.greatest(F.col("at"), F.lit(0)))), " ")
@@ -176,15 +183,24 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return joined.select(*fields)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(no_id, id, key, gone): per document that loses lines, their positions; key is Spark's xxhash64 of the text."""
+def removed_lines(docs: DataFrame, hot_count: int = HOT_COUNT) -> DataFrame:
+    """(no_id, id, key, gone): per document that loses lines, their positions; key is Spark's xxhash64 of the text.
+
+    Lines that occur ``hot_count`` times or more are not shuffled by line."""
     place = F.struct(*DOC, "pos")
     occurrence = F.struct(*DOC, "pos", "ends").alias("f")
-    firsts = cut_lineage(_with_ends(_text_lines(docs)).select(*LINE, occurrence).groupBy(*LINE).agg(F.min("f").alias("f"), F.count("*").alias("n")).select(
+    firsts = cut_lineage(_text_lines(docs).withColumn("ends", _line_ends()).select(*LINE, occurrence).groupBy(*LINE).agg(F.min("f").alias("f"), F.count("*").alias("n")).select(
         *LINE, F.struct(*(F.col(f"f.{c}").alias(c) for c in (*DOC, "pos"))).alias("first"), "n", "f.ends"), "firsts")
     near = near_lines(firsts, docs).withColumn("near", F.lit(True))
-    marked = firsts.select(*LINE, "first", "n").join(near, LINE, "left").where("n > 1 or near")
-    gone = _text_lines(docs).select(*LINE, *DOC, "pos").join(marked, LINE).where(F.col("near").isNotNull() | (place != F.col("first")))
+    marked = cut_lineage(firsts.select(*LINE, "first", "n").join(near, LINE, "left").where("n > 1 or near"), "marked")
+    met = cut_lineage(_likely(_text_lines(docs).select(*LINE, *DOC, "pos"), "h1", marked, "marked-bitmap"), "met-lines")
+    # lines that occur often are broadcast and their occurrences stay where they are: at most HOT_LINES, since their counts add up to all lines
+    total = marked.agg(F.sum("n")).first()[0] or 0
+    often = max(hot_count, -(-total // HOT_LINES))
+    hot = F.broadcast(marked.where(F.col("n") >= often))
+    rest = marked.where(F.col("n") < often)
+    held = met.join(hot, LINE).unionByName(met.join(F.broadcast(marked.where(F.col("n") >= often).select(*LINE)), LINE, "left_anti").join(rest, LINE))
+    gone = held.where(F.col("near").isNotNull() | (place != F.col("first")))
     return gone.groupBy(*DOC).agg(F.collect_set("pos").alias("gone"))
 
 

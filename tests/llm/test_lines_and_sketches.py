@@ -6,7 +6,7 @@ import xxhash
 from llm.helpers import awkward, clashing, table
 from pyspark.sql import functions as F
 
-from pairloom.llm.line_dedup import dedup_lines, line_dedup_report, one_edit
+from pairloom.llm.line_dedup import dedup_lines, line_dedup_report, one_edit, removed_lines
 from pairloom.llm.sketches import containment, document_fingerprints, likeness, merge, printed, sketch
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -60,6 +60,13 @@ def test_dedup_matches_comparing_all_pairs(spark):
         assert r.n_chars == (None if before is None else len(r.text))
 
 
+def test_lines_that_occur_often_give_the_same_rows(spark):
+    rows = line_rows() + [(1000 + i, f"a line that all share\nown {i}\nshort") for i in range(30)]
+    docs = table(spark, rows)
+    here = [{(r.no_id, r.id, r.key): sorted(r.gone) for r in removed_lines(docs, hot).collect()} for hot in (2, 20, 10_000)]
+    assert here[0] == here[1] == here[2] and sum(len(g) for g in here[0].values()) >= 59
+
+
 def test_dedup_of_awkward_tables(spark):
     rows = awkward()
     assert dedup_lines(table(spark, rows)).count() == len(rows) and dedup_lines(table(spark, [])).count() == 0

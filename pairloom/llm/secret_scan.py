@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import text_columns, text_table
+from pairloom.session import cut_lineage
 
 LEAST_GUESSES = 8.0  # log10
 CORPUS_WORDS = 50_000
@@ -68,15 +69,25 @@ PLAIN = Dictionary()
 
 
 def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS) -> list[str]:
-    """The ``most`` words found in the most documents (two or more), most common first, ties in order of the word.
+    """The words found in the most documents (two or more), most common first, ties in order of the word.
 
     A word stands between white space, brackets and marks of a sentence; one that follows a colon or an equals sign is a value and doesn't
-    count, so a password that many texts repeat stays unknown. Counts cover all documents; what comes to the driver is at most ``most``
-    words of 24 letters.
+    count, so a password that many texts repeat stays unknown. Counts cover all documents. Words are taken by classes of counts, 16 to a
+    doubling, from the top as long as the classes hold at most ``most`` words together: no more than these come to the driver.
     """
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(WORD), F.lit(0)))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").count().where("count > 1")
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()]
+    counts = cut_lineage(counts.withColumn("class", F.floor(16 * F.log2("count")).cast("int")), "words")
+    room, least = most, None
+    for r in counts.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.desc("class")).collect():  # at most 1,024 rows
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["class"]
+    if least is None:
+        return []
+    taken = counts.where(F.col("class") >= least).select("word", "count").collect()
+    return [r["word"] for r in sorted(taken, key=lambda r: (-r["count"], r["word"]))]
 
 
 def _cheapest(starts: list[int], end: int, best: list[float], unit: float) -> float:

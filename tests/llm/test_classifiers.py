@@ -94,7 +94,9 @@ def test_dictionary_is_learned_from_the_corpus(spark):
     texts = ["Strawberry, elephant (administrator) strawberry.", "the strawberry: elephant pwd: zyxwvutsrqp", "pwd: zyxwvutsrqp b4nana x_word elephant", 'token="zyxwvutsrqp" administrator?', None, ""]
     docs = table(spark, list(enumerate(texts)))
     assert corpus_words(docs) == ["administrator", "elephant"]
-    assert corpus_words(docs, most=1) == ["administrator"] and corpus_words(table(spark, [])) == []
+    assert corpus_words(docs, most=1) == [] and corpus_words(table(spark, [])) == []
+    uneven = table(spark, [(i, " ".join(f"{c * 4}" for c in "abcde"[:i])) for i in range(1, 6)])
+    assert corpus_words(uneven) == ["aaaa", "bbbb", "cccc", "dddd"] and corpus_words(uneven, most=2) == ["aaaa", "bbbb"]
     before, after = find_spans("pwd: administrator"), find_spans("pwd: administrator", words=Dictionary(corpus_words(docs)))
     assert [k for *_, k in before[0]] == ["guess"] and after[0] == []
     rows = secret_spans(table(spark, [*enumerate(texts), (9, "pwd: administrator"), (10, "pwd: xK9#mQ2$vL7!"), (11, "y" * 300_000 + " pwd: " + "as" * 5000)])).collect()

@@ -6,32 +6,35 @@ target when nobody earlier holds it, the target proposes to its ``neg`` best ope
 it has to be dropped), and each candidate is held by its earliest proposer.  By induction over the
 order, a target is right one round after all earlier ones are, so any rounds of answers converge to it.
 
-The first round answers every target by itself.  After that only targets move that lost a candidate,
-or whose pool holds one that was given back.  They are cut into conflict components, targets that
-compete for a candidate, and each component is solved by the sequential rule in one task, so that a
-chain of targets after the same candidates takes one round and not one a target.  Of a component too
-large for a task the earliest targets are solved that way, which settles them, and the rest answers
-the current holders.
+A target seldom looks far down its pool, so it starts with a short list, its most preferred candidates. The lists of a variant are cut
+into blocks of consecutive targets, and each round solves all blocks at once by the sequential rule, a block to a task, given what
+targets of earlier blocks picked in the round before. A block whose predecessors picked as before was solved right, so the first of the
+blocks is settled in any case, and all of them once no pick changes. A target whose list ends before it is served gets a longer one, of
+what the settled targets left. Settled targets leave the table, and what they took leaves the lists.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import pri
-from pairloom.functions.ranks import dist_rank, prefix_sums
+from pairloom.functions.ranks import dist_rank
 from pairloom.operators.universe import ATTRIBUTES, as_pairs, pool_sizes, scarcity_pool
 from pairloom.session import cut_lineage
 
-#: Rows (target, candidate) that one task solves in order.
-BLOCK_ROWS = 200_000
-#: Rounds in which only targets move that have to, and how many targets the first wider round takes in.
-PATIENCE, SPAN = 3, 256
+#: Rows (target, candidate) that one task solves in order, and consecutive targets that are never cut apart.
+BLOCK_ROWS, UNIT = 400_000, 64
+#: How many times its need a target's first list holds, and how many blocks of a variant a round looks at.
+PATIENCE, SPAN = 4, 32
+#: By how much a list that was too short grows, and how many candidates of a target are sorted as one array.
+LONGER, CHUNK = 4, 8192
 
 MODES = ("sample_without_replacement", "sample_with_replacement", "use_all")
 
@@ -75,93 +78,55 @@ def _variant_rows(specs: Sequence[tuple[str, Column, int]]) -> Column:
     ])).alias("_v")
 
 
-def _answer(pairs: DataFrame, holders: DataFrame | None, policy: VariantPolicy) -> DataFrame:
-    """Picks (variant_id, target_id, candidate_id, draw, _ord) of each target, given the holders."""
-    free = pairs
-    if holders is not None:
-        held = pairs.join(holders, ["variant_id", "candidate_id"], "left")
-        free = held.where(F.col("_holder").isNull() | (F.col("_holder") >= F.col("_ord")))
-    key = ["variant_id", "target_id"]
+def _keys(policy: VariantPolicy, candidate: Column, pos: Column) -> list[Column]:
+    """Preference keys of a target's candidate, one a list: a draw with replacement has an order of its own."""
+    if policy.selection == "use_all":
+        return [F.lpad(pos.cast("string"), 20, "0")]
     if policy.selection == "sample_with_replacement":
-        best = free.groupBy(*key, "_ord", "neg").agg(
-            F.count(F.lit(1)).alias("_free"),
-            *[
-                F.min_by("candidate_id", F.struct(pri(F.col("seed"), F.lit(i), F.col("target_id"), F.col("candidate_id")),
-                                                 F.col("candidate_id"))).alias(f"_d{i}")
-                for i in range(policy.negatives)
-            ],
-        )
-        if policy.scarcity_mode == "drop_target":
-            best = best.where(F.col("_free") >= F.col("neg"))
-        draws = F.posexplode(F.array(*[F.col(f"_d{i}") for i in range(policy.negatives)])).alias("draw", "candidate_id")
-        return best.select(*key, "_ord", "neg", draws).where(F.col("draw") < F.col("neg")).drop("neg")
-    # row_number() <= n lets Spark keep only n rows per target before the shuffle, however large the pool
-    nth = Window.partitionBy(*key).orderBy("_pref")
-    top = (
-        free.withColumn("_rn", F.row_number().over(nth)).where(F.col("_rn") <= policy.negatives)
-        .where(F.col("_rn") <= F.col("neg"))
-    )
-    if policy.scarcity_mode == "drop_target":
-        # a target with fewer than neg open candidates proposes nothing
-        taken = Window.partitionBy(*key)
-        top = top.withColumn("_got", F.count(F.lit(1)).over(taken)).where(F.col("_got") == F.col("neg")).drop("_got")
-    return top.select(*key, "candidate_id", (F.col("_rn") - 1).alias("draw"), "_ord")
+        return [pri(F.col("seed"), F.lit(i), F.col("target_id"), candidate) for i in range(policy.negatives)]
+    return [pri(F.col("seed"), F.col("target_id"), candidate)]
 
 
-def _holders(picks: DataFrame) -> DataFrame:
-    return picks.groupBy("variant_id", "candidate_id").agg(F.min("_ord").alias("_holder"))
+_OWN = ["variant_id", "target_id", "_at"]
+_LIST = [*_OWN, "neg", "_len", "_d", "_rn", "candidate_id", "_more"]
 
 
-def _pairs(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFrame:
-    """The pools of the given (variant, target) rows with each candidate's preference key."""
-    first = (
-        F.lpad(F.col("pos").cast("string"), 20, "0") if policy.selection == "use_all"
-        else pri(F.col("seed"), F.col("target_id"), F.col("candidate_id"))
-    )
-    return pool.join(targets, "target_id").withColumn("_pref", F.struct(first.alias("p"), "candidate_id"))
+def _ended(rows: DataFrame) -> DataFrame:
+    """The lists with a row of draw -1 for every target whose pool holds more, so that it is asked again when others took its whole list."""
+    own = F.struct("_d", "_rn", "candidate_id")
+    end = F.struct(F.lit(-1).alias("_d"), F.lit(0).alias("_rn"), F.lit(None).cast(rows.schema["candidate_id"].dataType).alias("candidate_id"))
+    once = (F.col("_d") == 0) & (F.col("_rn") == 1) & F.col("_more")
+    return rows.select(*_OWN, "neg", "_len", "_more", F.explode(F.when(once, F.array(own, end)).otherwise(F.array(own))).alias("_e")).select(
+        *_OWN, "neg", "_len", "_e.*", "_more").select(*_LIST)
 
 
-def _touched(picks: DataFrame, before: DataFrame | None, solved: DataFrame | None, pool: DataFrame, targets: DataFrame,
-             policy: VariantPolicy) -> DataFrame:
-    """(variant_id, target_id) whose answer may differ now.
+def _first_lists(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFrame:
+    """The ``_len`` most preferred candidates of every target, best first as ``_rn``; ``_more`` where its pool holds others.
 
-    A target that lost a pick is found from the picks alone.  Pools are read only for candidates that were given back, which only
-    happens where a target with too few open candidates drops out; targets solved in the round before already knew of those.  Draws
-    with replacement may pick fewer candidates than have to be open, so there any new holder counts too.
-    """
-    key, own = ["variant_id", "candidate_id"], ["variant_id", "target_id"]
-    holders = _holders(picks)
-    lost = picks.join(holders, key).where(F.col("_holder") < F.col("_ord")).select(*own)
-    counts = policy.selection == "sample_with_replacement"
-    if policy.scarcity_mode != "drop_target" or before is None and not counts:
-        return lost.distinct()
-    # a candidate is open to targets at or before its holder, so the view changed for those between the old holder and the new one
-    was, now = F.col("_was"), F.col("_holder")
-    old = holders.select(*key, F.lit(None).cast(holders.schema["_holder"].dataType).alias("_was")) if before is None else _holders(before).withColumnRenamed("_holder", "_was")
-    changed = holders.join(old, key, "full_outer").where(was.isNotNull() & (now.isNull() | (now > was)) | (now.isNotNull() & (was.isNull() | (now < was)) if counts else F.lit(False)))
-    moved = cut_lineage(changed.select(*key, F.least(was, now).alias("_from"), F.when(was.isNotNull() & now.isNotNull(), F.greatest(was, now)).alias("_to")), "moved")
-    if moved.isEmpty():
-        return lost.distinct()
-    seen = pool.select("target_id", "candidate_id").join(moved, "candidate_id").join(targets if solved is None else targets.join(solved, own, "left_anti"), own)
-    hit = seen.where((F.col("_ord") > F.col("_from")) & (F.col("_to").isNull() | (F.col("_ord") <= F.col("_to"))))
-    return lost.unionByName(hit.select(*own)).distinct()
-
-
-def _contested(pool: DataFrame, moving: DataFrame, picks: DataFrame, policy: VariantPolicy) -> DataFrame:
-    """What the moving targets may take: their pools but for what targets that stay hold earlier, best first as ``_rn``.
-
-    A variant's ``m`` moving targets take ``neg * m`` candidates at most, so the first ``neg * m`` of each list hold its picks.
+    Pools are gathered in arrays of about ``CHUNK`` candidates, of which only the best are rows again, whatever the number of variants.
     """
-    own = ["variant_id", "target_id"]
-    held = _pairs(pool, moving, policy).join(_holders(picks.join(moving.select(*own), own, "left_anti")), ["variant_id", "candidate_id"], "left")
-    free = held.where(F.col("_holder").isNull() | (F.col("_holder") > F.col("_ord")))
-    if policy.selection == "sample_with_replacement":
-        keys = F.array(*[pri(F.col("seed"), F.lit(i), F.col("target_id"), F.col("candidate_id")) for i in range(policy.negatives)])
-        return free.select(*own, "_ord", "neg", "candidate_id", F.lit(0).alias("_rn"), keys.alias("_keys"))
-    many = F.broadcast(moving.groupBy("variant_id").agg(F.count(F.lit(1)).alias("_m")))  # one row a variant
-    ranked = free.withColumn("_rn", F.row_number().over(Window.partitionBy(*own).orderBy("_pref")))
-    return ranked.join(many, "variant_id").where(F.col("_rn") <= F.col("neg") * F.col("_m")).select(
-        *own, "_ord", "neg", "candidate_id", "_rn", F.array().cast("array<string>").alias("_keys"))
+    chunk = F.pmod(F.xxhash64("candidate_id"), F.ceil(F.col("_size") / CHUNK)).alias("_chunk")
+    chunks = pool.join(targets.select("target_id", "_size").distinct(), "target_id").groupBy("target_id", chunk).agg(
+        F.collect_list(F.struct("candidate_id", "pos")).alias("_c"))
+
+    def best(d: int) -> Column:
+        keyed = F.transform("_c", lambda c: F.struct(_keys(policy, c["candidate_id"], c["pos"])[d].alias("p"), c["candidate_id"].alias("candidate_id")))
+        return F.transform(F.slice(F.sort_array(keyed), F.lit(1), F.col("_len")), lambda c: F.struct(F.lit(d).alias("_d"), c["p"].alias("p"), c["candidate_id"].alias("candidate_id")))
+
+    draws = len(_keys(policy, F.lit(None), F.lit(None)))
+    some = chunks.join(targets, "target_id").select(*_OWN, "neg", "_len", "_size", F.explode(F.flatten(F.array(*[best(d) for d in range(draws)]))).alias("_e"))
+    nth = Window.partitionBy(*_OWN, "_d").orderBy("p", "candidate_id")
+    return _ended(some.select(*_OWN, "neg", "_len", "_size", "_e.*").withColumn("_rn", F.row_number().over(nth)).where("_rn <= _len").withColumn(
+        "_more", F.col("_size") > F.col("_len")))
+
+
+def _longer_lists(pool: DataFrame, targets: DataFrame, taken: DataFrame, policy: VariantPolicy) -> DataFrame:
+    """Lists of ``_len`` of what ``taken`` (variant_id, candidate_id) leaves of the given targets' pools."""
+    open_ = pool.join(targets, "target_id").join(taken, ["variant_id", "candidate_id"], "left_anti")
+    keys = F.posexplode(F.array(*_keys(policy, F.col("candidate_id"), F.col("pos")))).alias("_d", "p")
+    whole = Window.partitionBy(*_OWN, "_d")
+    return _ended(open_.select("*", keys).withColumn("_rn", F.row_number().over(whole.orderBy("p", "candidate_id"))).withColumn(
+        "_more", F.count(F.lit(1)).over(whole) > F.col("_len")).where("_rn <= _len"))
 
 
 def conflict_components(pairs: DataFrame) -> DataFrame:
@@ -186,76 +151,116 @@ def conflict_components(pairs: DataFrame) -> DataFrame:
 
 
 def _in_turn(policy: VariantPolicy):
-    """The sequential rule over one group's rows."""
-    drops, again, most = policy.scarcity_mode == "drop_target", policy.selection == "sample_with_replacement", policy.negatives
+    """The sequential rule over one block's rows: picks, and a row without a candidate for a target whose list was too short."""
+    drops, again = policy.scarcity_mode == "drop_target", policy.selection == "sample_with_replacement"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_o", "target_id", "_rn"], kind="stable")
+        at, draw = rows["_at"].to_numpy(), rows["_d"].to_numpy()
+        order = np.lexsort((rows["_rn"].to_numpy(), draw, at))
+        at, draw, names = at[order], draw[order], rows["candidate_id"].to_numpy(dtype=object)[order].tolist()
+        starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         taken, out = set(), []
-        for _, mine in rows.groupby(["_o", "target_id"], sort=False):
-            neg = int(mine["neg"].iloc[0])
-            free = [(c, k) for c, k in zip(mine["candidate_id"], mine["_keys"]) if c not in taken]
-            if not free or drops and len(free) < neg:
+        first = rows.iloc[order[starts]]
+        facts = zip(starts.tolist(), [*starts[1:].tolist(), len(at)], first["target_id"], at[starts].tolist(), first["neg"], first["_len"], first["_more"])
+        for a, b, target, place, neg, length, more in facts:
+            a += draw[a] < 0
+            if again:
+                lists: dict[int, list] = {}
+                for d, c in zip(draw[a:b].tolist(), names[a:b]):
+                    if c not in taken:
+                        lists.setdefault(d, []).append(c)
+                free, best = len({c for own in lists.values() for c in own}), {d: own[0] for d, own in lists.items()}
+                picks = [(i, best[i]) for i in range(neg) if i in best]
+                short = len(picks) < neg or drops and free < neg
+            else:
+                picks = []
+                for c in names[a:b]:
+                    if c not in taken:
+                        picks.append((len(picks), c))
+                        if len(picks) == neg:
+                            break
+                short = len(picks) < neg
+            if short and more:
+                out.append((target, place, None, -1, length))
+            if short and drops:
                 continue
-            wanted = min(neg, most)
-            picks = [min(free, key=lambda ck: (ck[1][i], ck[0]))[0] for i in range(wanted)] if again else [c for c, _ in free[:wanted]]
-            taken.update(picks)
-            variant, target = mine["variant_id"].iloc[0], mine["target_id"].iloc[0]
-            out += [(variant, target, c, i, mine["_o"].iloc[0]) for i, c in enumerate(picks)]
-        return pd.DataFrame(out, columns=["variant_id", "target_id", "candidate_id", "draw", "_o"])
+            taken.update(c for _, c in picks if c is not None)
+            out += [(target, place, c, i, length) for i, c in picks]
+        made = pd.DataFrame(out, columns=["target_id", "_at", "candidate_id", "draw", "_len"])
+        made.insert(0, "variant_id", rows["variant_id"].iloc[0])
+        return made
 
     return solve
 
 
-def _solve(contested: DataFrame, policy: VariantPolicy, like: DataFrame) -> DataFrame:
-    """``contested`` rows with a ``_group``, each group in one task."""
-    text = {c: contested.schema[c].dataType.simpleString() for c in ("variant_id", "target_id", "candidate_id")}
-    ddl = ", ".join(f"{c} {t}" for c, t in text.items()) + ", draw int, _o string"
-    flat = contested.select("variant_id", "_group", "target_id", F.col("_ord.o").alias("_o"), "neg", "candidate_id", "_rn", "_keys")
-    solved = flat.groupBy("variant_id", "_group").applyInPandas(_in_turn(policy), ddl)
-    return solved.withColumn("_ord", F.struct(F.col("_o").alias("o"), F.col("target_id").alias("t"))).select(
-        *[F.col(c).cast(like.schema[c].dataType).alias(c) for c in like.columns])
-
-
-def _next_picks(pool: DataFrame, targets: DataFrame, touched: DataFrame, moving: DataFrame, picks: DataFrame,
-                policy: VariantPolicy) -> tuple[DataFrame, DataFrame]:
-    """(picks of the targets answered, those of them that were solved in order); ``moving`` holds the touched targets and may hold more."""
-    own, group = ["variant_id", "target_id"], ["variant_id", "_group"]
-    contested = cut_lineage(_contested(pool, moving, picks, policy), "contested")
-    sizes = contested.groupBy("variant_id").agg(F.count(F.lit(1)).alias("n"))
-    if sizes.where(F.col("n") > BLOCK_ROWS).isEmpty():
-        return _solve(contested.withColumn("_group", F.lit("")), policy, picks), moving.select(*own)
-    parts = conflict_components(contested)
-    grouped = cut_lineage(contested.join(parts.withColumnRenamed("component", "_group"), own), "grouped")
-    by_target = grouped.groupBy(*group, "target_id", "_ord").agg(F.count(F.lit(1)).alias("_rows"))
-    sums = prefix_sums(by_target, [F.col("_ord")], ["_rows"], group)
-    # a component that fits is solved whole; of others what fits, but at least the first target
-    first = cut_lineage(sums.where((F.col("_rows_before") + F.col("_rows") <= BLOCK_ROWS) | (F.col("_rows_before") == 0)).select(*own), "solved")
-    answers = _solve(grouped.join(first, own, "left_semi"), policy, picks)
-    # targets without a free candidate have no row, and nothing to solve
-    done = first.unionByName(moving.select(*own).join(by_target.select(*own), own, "left_anti"))
-    rest = targets.join(touched.join(done, own, "left_anti"), own, "left_semi")
-    late = _answer(_pairs(pool, rest, policy), _holders(picks), policy).select(*picks.columns)
-    return answers.unionByName(late), done
+def _unit() -> Column:
+    return F.floor((F.col("_at") - 1) / UNIT)
+
+
+def _blocks(lists: DataFrame) -> DataFrame:
+    """(variant_id, _unit, _block, _start, _end): consecutive targets of about ``BLOCK_ROWS`` rows, numbered from 1 in each variant."""
+    sizes = lists.groupBy("variant_id", _unit().alias("_unit")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per unit of targets
+    before = F.sum("n").over(Window.partitionBy("variant_id").orderBy("_unit")) - F.col("n")
+    cut = sizes.withColumn("_cut", F.floor(before / BLOCK_ROWS))
+    whole = Window.partitionBy("variant_id", "_cut")
+    return cut_lineage(cut.select(
+        "variant_id", "_unit", F.dense_rank().over(Window.partitionBy("variant_id").orderBy("_cut")).alias("_block"),
+        (F.min("_unit").over(whole) * UNIT + 1).alias("_start"), ((F.max("_unit").over(whole) + 1) * UNIT).alias("_end")), "blocks")
+
+
+def _solve(lists: DataFrame, before: DataFrame | None, policy: VariantPolicy) -> tuple[DataFrame, dict, bool]:
+    """(answers, cuts, done): the answers of the first ``SPAN`` blocks given the picks ``before``, up to which place of each variant they
+    are settled, and whether that is all."""
+    blocks = _blocks(lists)
+    rows = lists.withColumn("_unit", _unit()).join(blocks.where(F.col("_block") <= SPAN), ["variant_id", "_unit"])
+    if before is not None:
+        held = before.groupBy("variant_id", "candidate_id").agg(F.min("_at").alias("_holder"))
+        rows = rows.join(held, ["variant_id", "candidate_id"], "left").where(F.col("_holder").isNull() | (F.col("_holder") >= F.col("_start")))
+    names = [*_OWN, "candidate_id", "draw", "_len"]
+    types = {**{c: lists.schema[c].dataType.simpleString() for c in (*_OWN, "candidate_id", "_len")}, "draw": "int"}
+    answers = cut_lineage(rows.select("_block", *_LIST).groupBy("variant_id", "_block").applyInPandas(
+        _in_turn(policy), ", ".join(f"{c} {types[c]}" for c in names)), "answers")
+    tagged = answers.where("draw >= 0").withColumn("_tag", F.lit(1))
+    if before is not None:
+        tagged = tagged.unionByName(before.withColumn("_tag", F.lit(-1)))
+    same = tagged.groupBy(*_OWN, "candidate_id", "draw").agg(F.sum("_tag").alias("_tag"))
+    changed = same.where("_tag <> 0").groupBy("variant_id").agg(F.min("_at").alias("_changed"))
+    short = answers.where("draw < 0").groupBy("variant_id").agg(F.min("_at").alias("_short"))
+    seen = blocks.groupBy("variant_id").agg(F.max(F.when(F.col("_block") <= SPAN, F.col("_end"))).alias("_seen"), F.max("_end").alias("_last"))
+    ends = blocks.select("variant_id", F.col("_start").alias("_from"), F.col("_end").alias("_to")).distinct()
+    place = seen.join(changed, "variant_id", "left").join(short, "variant_id", "left")
+    placed = place.join(ends, (ends["variant_id"] == place["variant_id"]) & F.col("_changed").between(F.col("_from"), F.col("_to")), "left").select(
+        place["variant_id"], F.least(F.coalesce("_to", "_seen"), F.col("_short") - 1).alias("_cut"), "_last").collect()  # one row a variant
+    return answers, {r["variant_id"]: r["_cut"] for r in placed}, all(r["_cut"] >= r["_last"] for r in placed)
+
+
+def _settled(answers: DataFrame, cuts: dict) -> Column:
+    limits = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    return F.col("_at") <= F.coalesce(F.try_element_at(limits, F.col("variant_id")), F.lit(0))
+
+
+def _next_picks(pool: DataFrame, targets: DataFrame, lists: DataFrame, answers: DataFrame, cuts: dict, picks: Sequence[DataFrame],
+                policy: VariantPolicy) -> tuple[DataFrame, DataFrame, dict, bool]:
+    """The lists of the targets not settled yet, and the next answers to them."""
+    settled, key = _settled(answers, cuts), ["variant_id", "candidate_id"]
+    short = answers.where("draw < 0").select(*_OWN, (F.col("_len") * LONGER).alias("_len"))
+    kept = lists.where(~settled).join(short.select(*_OWN), _OWN, "left_anti").join(picks[-1].select(*key), key, "left_anti")
+    taken = reduce(DataFrame.unionByName, picks).select(*key)
+    longer = _longer_lists(pool, targets.drop("_len").join(short, _OWN), taken, policy)
+    rest = cut_lineage(kept.select(*_LIST).unionByName(longer), "lists")
+    return rest, *_solve(rest, answers.where((F.col("draw") >= 0) & ~settled), policy)
 
 
 def _fixpoint(pool: DataFrame, targets: DataFrame, policy: VariantPolicy) -> DataFrame:
-    picks = cut_lineage(_answer(_pairs(pool, targets, policy), None, policy), "picks")
-    own, before, solved, ranked, turn = ["variant_id", "target_id"], None, None, None, 0
-    while True:  # every round settles at least the next target in order, so the loop ends
-        touched = cut_lineage(_touched(picks, before, solved, pool, targets, policy), "touched")
-        if touched.isEmpty():
-            return picks
-        moving = targets.join(touched, own, "left_semi")
-        if turn >= PATIENCE:
-            # what moves keeps pushing later targets on: solve these with it, a span that grows with every round
-            ranked = ranked or cut_lineage(dist_rank(targets, [F.col("_ord.o"), F.col("_ord.t")], ["variant_id"], rank_col="_at"), "ranked")
-            start = ranked.join(touched, own, "left_semi").groupBy("variant_id").agg(F.min("_at").alias("_start"))
-            span = ranked.join(F.broadcast(start), "variant_id").where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + SPAN * 4 ** (turn - PATIENCE)))
-            moving = cut_lineage(moving.unionByName(span.select(*moving.columns)).distinct(), "moving")
-        again, solved = _next_picks(pool, targets, touched, moving, picks, policy)
-        kept = picks.join(touched.unionByName(solved), own, "left_anti")
-        before, picks, turn = picks, cut_lineage(kept.unionByName(again.select(*picks.columns)), "picks"), turn + 1
+    lists = cut_lineage(_first_lists(pool, targets, policy), "lists")
+    answers, cuts, done = _solve(lists, None, policy)
+    picks: list[DataFrame] = []
+    while True:  # every round settles at least the first target left, or gives it a longer list, so the loop ends
+        picks.append(answers.where((F.col("draw") >= 0) & _settled(answers, cuts)))
+        if done:
+            return reduce(DataFrame.unionByName, picks)
+        lists, answers, cuts, done = _next_picks(pool, targets, lists, answers, cuts, picks, policy)
 
 
 def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[str, Column, int]]) -> tuple[DataFrame, DataFrame]:
@@ -275,10 +280,13 @@ def _generate(universe: DataFrame, policy: VariantPolicy, specs: Sequence[tuple[
         F.lpad(F.col("source_row_id").cast("string"), 20, "0") if policy.order == "source"
         else pri(F.col("seed"), F.col("target_id"))
     )
-    targets = cut_lineage(targets.select(
-        "variant_id", "target_id", "seed", "neg", F.struct(rank.alias("o"), F.col("target_id").alias("t")).alias("_ord")
-    ), "targets")
+    # short lists: of what a target needs, or of some to each draw
+    first = F.lit(2 * PATIENCE) if policy.selection == "sample_with_replacement" else F.col("neg") * PATIENCE
+    targets = targets.select("variant_id", "target_id", "seed", "neg", first.cast("int").alias("_len"), rank.alias("_o"))
+    ranked = dist_rank(targets.withColumnRenamed("_o", "_by"), [F.col("_by"), F.col("target_id")], ["variant_id"], policy.order == "hash", "_at")
     pool = pool.select("target_id", "candidate_id", "pos")
+    counts = pool.groupBy("target_id").agg(F.count(F.lit(1)).alias("_size"))
+    targets = cut_lineage(ranked.drop("_by").join(counts, "target_id", "left"), "targets")
     picks = _fixpoint(pool, targets, widest)
     negatives = picks.select(
         "variant_id", "target_id", F.col("candidate_id").alias("protein_id"), F.lit("negative").alias("role"), "draw"

@@ -256,6 +256,29 @@ def test_components_larger_than_a_task(spark, monkeypatch, mode, scarcity):
     assert len(rounds) < 12
 
 
+@pytest.mark.parametrize("mode,scarcity", [("use_all", "drop_target"), ("sample_without_replacement", "use_available"), ("sample_with_replacement", "drop_target")])
+def test_blocks_of_targets_meet_the_sequential_rule(spark, monkeypatch, mode, scarcity):
+    """Scarce candidates, blocks of a few targets, several rounds of longer lists; no task gets more than a block and a target."""
+    monkeypatch.setattr(va, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(va, "UNIT", 1)
+    monkeypatch.setattr(va, "PATIENCE", 1)
+    sizes, blocks = [], va._blocks
+
+    def seen(lists):
+        placed = blocks(lists)
+        rows = lists.withColumn("_unit", va._unit()).join(placed, ["variant_id", "_unit"]).groupBy("_block").count()
+        sizes.extend(r["count"] for r in rows.collect())
+        return placed
+
+    monkeypatch.setattr(va, "_blocks", seen)
+    rng = random.Random(4)
+    pools = {f"t{i:02d}": rng.sample([f"c{j}" for j in range(60)], rng.randint(2, 20)) for i in range(40)}
+    order = "source" if mode == "use_all" else "hash"
+    rows, _ = va.variant_generate(universe(spark, pools), va.VariantPolicy("1:2", 1, scarcity, mode, order), seed=3)
+    assert picked(rows) == greedy(pools, 2, 3, scarcity == "drop_target", 0, mode, order)
+    assert len(sizes) > 4 and max(sizes) < 30 + 2 * 20
+
+
 def test_conflict_components(spark):
     pools = {"t0": ["a", "b"], "t1": ["b", "c"], "t2": ["c", "d"], "t3": ["x"], "t4": ["y", "x"], "t5": ["lone"], "t6": ["d", "e"]}
     chain = {f"z{i:02d}": [f"k{i}", f"k{i + 1}"] for i in range(20)}

@@ -159,11 +159,19 @@ def write_runs(spark: SparkSession, sf: str) -> str:
     """A run folder per language of the documents: targets are documents, candidates their words."""
     base = scratch_path(spark, "runs")
     words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z0-9]+", ","), ","), lambda w: w != "")
-    docs = table(spark, sf, "documents").select("lang", F.col("doc_id").cast("string").alias("target_id"), words.alias("w"))
-    for lang in class_list(docs, "lang"):
+    documents = table(spark, sf, "documents")
+    langs = class_list(documents, "lang")
+    # texts are cut into words once, in a folder per language, so that a run reads its own documents only
+    place = F.array_position(F.array(*[F.lit(x) for x in langs]).cast("array<string>"), F.col("lang")).cast("int")
+    split = documents.where(F.col("lang").isNotNull()).select(
+        "lang", F.col("doc_id").cast("string").alias("target_id"), words.alias("w"), place.alias("place"))
+    path = scratch_path(spark, "run-words")
+    split.write.partitionBy("place").parquet(path)
+    for i, lang in enumerate(langs, 1):
+        docs = spark.read.schema(split.schema).parquet(path).where(F.col("place") == i)
         run = RUN_OF.get(lang, f"run_{lang}")
         target, other = ("target_id", "non_target_id") if run == "run_a" else ("tp_id", "ntp_id")
-        mine = docs.where(F.col("lang") == lang)
+        mine = docs.select("target_id", "w")
         pairs = mine.select(F.col("target_id").alias(target), F.explode("w").alias(other))
         sinks.write_csv(pairs, f"{base}/{run}/{'target_non_target_pairs.csv' if run == 'run_a' else 'final_dataset.csv'}")
         name = "mf_id" if run == "run_a" else "target_id"

@@ -97,14 +97,31 @@ def _run_of(base: str) -> Column:
     return F.regexp_extract(F.url_decode("_metadata.file_path"), root + r"/([^/]+)/", 1)
 
 
+def _first_line(spark: SparkSession, path) -> str | None:
+    """First line of a file, None if it is empty; nothing after it is read but what fills a buffer."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
+
+
 def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
-    """Paths by the first line of their file."""
-    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    first = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value")
+    """Data files by their first line; of each file only that line is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found: dict[str, list[str]] = {}
-    for r in first.groupBy("path").agg(F.min_by("value", "at").alias("header")).orderBy("path").collect():  # one row a run
-        found.setdefault(r["header"], []).append(r["path"])
-    return found
+    for path in paths:
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        for status in root.getFileSystem(conf).listStatus(root):  # the files of one run
+            name = status.getPath().getName()
+            if status.isFile() and status.getLen() and not name.startswith(("_", ".")):
+                line = _first_line(spark, status.getPath())
+                if line is not None:
+                    found.setdefault(line, []).append(status.getPath().toString())
+    return {line: sorted(files) for line, files in sorted(found.items(), key=lambda x: min(x[1]))}
 
 
 def load_runs_union(spark: SparkSession, base: str, run_ids: Sequence[str], species: dict[str, str] | None = None) -> DataFrame:

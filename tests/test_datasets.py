@@ -145,6 +145,26 @@ def test_many_runs_are_one_scan(spark, tmp_path):
         runs.load_runs_union(spark, base, ["r000", "gone"])
 
 
+def test_headers_are_read_without_the_rows(spark, tmp_path):
+    """First lines come from the files' starts, with no pass over their rows; empty files have none."""
+    import gzip
+
+    (tmp_path / "r1").mkdir()
+    (tmp_path / "r1" / "part-0.csv").write_text("a,b\n" + "1,2\n" * 1000)
+    (tmp_path / "r1" / "part-1.csv").write_text("")
+    (tmp_path / "r1" / "_SUCCESS").write_text("")
+    (tmp_path / "r2.csv").write_text("b,a\n3,4\n")
+    with gzip.open(tmp_path / "r3.csv.gz", "wt") as f:
+        f.write("a,b\n5,6\n")
+    spark.sparkContext.setJobGroup("headers", "headers")
+    try:
+        found = runs._headers(spark, [str(tmp_path / n) for n in ("r1", "r2.csv", "r3.csv.gz")])
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {h: [os.path.basename(f) for f in files] for h, files in found.items()} == {"a,b": ["part-0.csv", "r3.csv.gz"], "b,a": ["r2.csv"]}
+
+
 def test_large_files_are_digested_in_blocks(spark, tmp_path):
     import hashlib
 

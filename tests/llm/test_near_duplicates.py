@@ -1,8 +1,13 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+import pandas as pd
 from llm.helpers import awkward, clashing, table
 
+from pairloom.llm import near_duplicates as nd
+from pairloom.session import cut_lineage
+
 
 def sets_of(text):
     words = (text or "").encode().lower().split()
@@ -51,3 +56,42 @@ def test_stage_links_all_similar_texts_and_no_others(spark):
         rows.append((5000 + k, " ".join(words)))
     got = corpus_pipeline.near_duplicates(spark, clashing(table(spark, rows)), "")
     assert sorted(str(r.doc_id) for r in got.collect()) == plain_kept(rows)
+
+
+def test_cut_shards_and_families_give_the_same_groups(spark):
+    """Chunks of two or three rows meet in blocks, and no link is lost; fingerprints that are equal stay apart unless their sets are similar."""
+    rand = random.Random(8)
+    words = [f"w{rand.randint(0, 900)}" for _ in range(90)]
+    rows = [(k, edited(rand, words, set(rand.sample(range(90), rand.randint(1, 4))))) for k in range(25)]
+    rows += [(100 + k, " ".join([*words[:60], *(f"t{k}x{i}" for i in range(30))])) for k in range(10)]  # share their start, similar to none
+    docs = table(spark, rows)
+    prints = cut_lineage(nd.shingle_prints(docs, 5, 0.8))
+    got = [sorted(nd.similar_groups(docs, prints, 22, 0.8, 5, *sizes).collect()) for sizes in ((), (3, 2), (2, 3, 1500))]
+    assert got[0] and got[0] == got[1] == got[2]
+    keys = {r.set_key: r.doc_id for r in prints.collect()}
+    label = {keys[r.set_key]: r.label for r in got[0]}
+    groups = {label.get(i, -i) for i, _ in rows}
+    assert len(groups) == len(plain_kept(rows))
+
+
+def test_a_group_is_searched_by_a_tree_and_gives_no_pairs(monkeypatch):
+    """300 fingerprints within the radius of each other, in one shard and in one family: spanning links only."""
+    trees = []
+
+    class Counted(nd.BKTree):
+        def __init__(self, points):
+            trees.append(len(points))
+            super().__init__(points)
+
+    monkeypatch.setattr(nd, "BKTree", Counted)
+    rand = np.random.default_rng(3)
+    fp = (np.uint64(1) << rand.integers(0, 64, 300).astype(np.uint64)).view(np.int64)
+    frame = pd.DataFrame({"h": 7, "i": 0, "j": 0, "asks": False, "set_key": np.arange(300), "n": 100, "pos": 1, "fp": fp})
+    stars = pd.concat(nd._stars(22, 0.8)(iter([frame[:100], frame[100:]])))
+    assert len(stars) == 299 and set(stars["v"]) == {0} and trees == [len(set(fp.tolist()))]
+    base = np.sort(rand.integers(0, 2**63, 120).astype(np.uint64))
+    sets = [np.sort(np.append(base[:-1], np.uint64(k))) for k in range(300)]
+    links = nd._spanning(22, 0.8)(frame[["asks", "set_key", "fp"]].assign(hashes=[x.tobytes() for x in sets]))
+    assert len(links) == 299 and len(trees) == 2
+    late = frame.assign(pos=40)  # what is left after position 40 of 100 is too little
+    assert not len(pd.concat(nd._stars(22, 0.8)(iter([late]))))

@@ -315,6 +315,18 @@ def test_multiclass_one_vs_rest_models(spark):
         assert out.where("abs(aggregate(probs, 0D, (a, x) -> a + x) - 1) > 1e-6").count() == 0
 
 
+def test_forest_keeps_the_rows_nodes_and_is_the_same(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rand = random.Random(4)
+    rows = spark.createDataFrame([(x, int(x[0] + x[1] > 0)) for x in ([rand.gauss(0, 1) for _ in range(6)] for _ in range(300))], "vec array<double>, label int")
+    fitted = tr.train_rf(rows, {"n_estimators": 4})
+    assert fitted.model.getCacheNodeIds()
+    plain = RandomForestClassifier(seed=42, featuresCol="_features", labelCol="_label", numTrees=4, maxDepth=30).fit(tr._ready(rows, [0, 1], "label"))
+    same = [m.toDebugString.split("\n", 1)[1] for m in (fitted.model, plain)]
+    assert same[0] == same[1] and fitted.model.totalNumNodes > 20
+
+
 def test_matrix_sweep_and_retrain(spark):
     rows = separable(spark).withColumn("split", F.when(F.col("accession") < "A12", "test").otherwise(F.col("split")))
     table, models = tr.train_matrix(rows, ["LR", "RF"], {"RF": {"n_estimators": 3}}, normalization="l2", evaluate_test=True)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -497,6 +498,30 @@ def test_two_phases_compare_few_pairs(spark, metric):
     assert 0 < seen.value < 900 * 60 / 4
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_small_blocks_make_few_copies_and_one_search(spark, metric):
+    """Rows without clusters: blocks of 8 rows don't copy the queries once a block, and the result is there before it is read."""
+    rng = np.random.default_rng(9)
+    train, query = rng.normal(0, 1, (1500, 12)).astype(np.float32), rng.normal(0, 1, (150, 12)).astype(np.float32)
+    train[7] = 1e6  # one value far off makes counted steps no wrong bound
+    t = spark.createDataFrame([(f"t{i:04d}", "x", v.tolist()) for i, v in enumerate(train)], "accession string, label string, vec array<float>")
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(query)], "accession string, vec array<float>")
+    groups = spark.sparkContext.accumulator(0)
+    near = nb.nearest_neighbours(t, q, 3, metric, pivots=4, block_rows=8, compared=SimpleNamespace(add=lambda n: groups.add(1)))
+    wide = train.astype(float)
+    d = [(np.abs(wide - v).sum(1) if metric == "manhattan" else np.sqrt(((wide - v) ** 2).sum(1))) for v in query.astype(float)]
+    want = {(f"q{i}", f"t{j:04d}"): row[j] for i, row in enumerate(d) for j in np.argsort(row, kind="stable")[:3]}
+    got = {(r["accession"], r["neighbour"]): r["distance"] for r in near.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-12) for k in want)
+    assert 0 < groups.value <= 150 and "CoGroup" not in near._jdf.queryExecution().toString()
+
+
+def test_bins_hold_all_pieces_of_their_cells():
+    assert nb._cut(500_000, 100_000, 65_536, 12) == (8, 2) and nb._cut(5, 0, 10, 12) == (5, 3)
+    of = nb._bins({0: 10, 3: 1, 5: 95, 9: 4}, 4)
+    assert list(of) == [0, 3, 5, 9] and len(of[5]) == 4 and len(set(of[5])) >= 3 and max(x for at in of.values() for x in at) <= 5
+
+
 def test_distance_weights_with_exact_hits(spark):
     t = spark.createDataFrame([("a", "x", [0.0]), ("b", "y", [1.0]), ("c", "y", [2.0])], "accession string, label string, vec array<double>")
     q = spark.createDataFrame([("q", [0.0])], "accession string, vec array<double>")

@@ -15,7 +15,7 @@ from pairloom.plans.fixtures import PREDS, PROTEINS, TEXT_UNIVERSE, longs, preds
 from pairloom.plans.splits import _three, ranked_sql
 from pairloom.plans.universes import greedy_sql
 from pairloom.sources import files, relational, runs, sinks
-from pairloom.session import scratch_path
+from pairloom.session import drop_table, scratch_path
 
 
 @query("read_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders")
@@ -173,16 +173,17 @@ def write_runs(spark: SparkSession, sf: str) -> str:
         target, other = ("target_id", "non_target_id") if run == "run_a" else ("tp_id", "ntp_id")
         mine = docs.select("target_id", "w")
         pairs = mine.select(F.col("target_id").alias(target), F.explode("w").alias(other))
-        sinks.write_csv(pairs, f"{base}/{run}/{'target_non_target_pairs.csv' if run == 'run_a' else 'final_dataset.csv'}")
+        sinks.write_csv(pairs, f"{base}/{run}/{'target_non_target_pairs.csv' if run == 'run_a' else 'final_dataset.csv'}", **sinks.COMPACT)
         name = "mf_id" if run == "run_a" else "target_id"
         sinks.write_csv(
             mine.select(F.col("target_id").alias(name), F.size("w").alias("num_candidates"), F.array_join("w", ",").alias("candidates")),
-            f"{base}/{run}/{'mf_assignments.csv' if run == 'run_a' else 'target_assignments.csv'}",
+            f"{base}/{run}/{'mf_assignments.csv' if run == 'run_a' else 'target_assignments.csv'}", **sinks.COMPACT,
         )
         meta = mine.agg(F.count(F.lit(1)).alias("final_rows")).select(
             F.lit(run).alias("run_id"), F.lit(lang).alias("species_category"), F.lit(42).alias("random_seed"), "final_rows"
         )
         sinks.write_json(meta, f"{base}/{run}/run_metadata.json")
+    drop_table(spark, path)
     return base
 
 

@@ -13,6 +13,8 @@ from pairloom.operators.variants import bundle_summary, variant_manifest
 from pairloom.sources.runs import load_run, path_exists
 
 FORMATS = ("csv", "json", "parquet")
+# Text files that repeat their ids in every row shrink to a fraction at the fastest level already.
+COMPACT = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", **options) -> None:
@@ -31,14 +33,14 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def export_dataset(spark: SparkSession, base: str, run_id: str, path: str, fmt: str = "csv", include_metadata: bool = False) -> None:
-    """A run's pairs, optionally with metadata and assignments."""
+    """A run's pairs, optionally with metadata and assignments. Text files are compressed, since pairs repeat their ids and field names."""
     if fmt not in FORMATS:
         raise ValueError(f"unsupported format: {fmt}")
     run = load_run(spark, base, run_id)
-    run["pairs"].write.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(f"{path}/pairs")
+    run["pairs"].write.format(fmt).options(**({} if fmt == "parquet" else COMPACT), **({"header": "true"} if fmt == "csv" else {})).save(f"{path}/pairs")
     if include_metadata:
         write_json(run["metadata"], f"{path}/metadata")
-        write_csv(run["assignments"], f"{path}/assignments")
+        write_csv(run["assignments"], f"{path}/assignments", **COMPACT)
 
 
 def export_bundle(assignments: DataFrame, events: DataFrame, universe_manifest: DataFrame, path: str) -> None:

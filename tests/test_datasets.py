@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pairloom.operators import quality as dq
 from pairloom.operators import splits as sp
 from pairloom.operators import universe as un
 from pairloom.operators import variants as va
+from pairloom.plans.sources import write_runs
+from pairloom.session import shared_dir
 from pairloom.sources import files, runs, sinks
 
 
@@ -119,6 +122,34 @@ def test_run_directory(spark, tmp_path):
         runs.load_run(spark, base, "gone")
 
 
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+def test_export_takes_less_room_than_its_text(spark, tmp_path, fmt):
+    pairs = [(f"target{i // 400:04d}", f"candidate{i % 400:03d}") for i in range(8000)]
+    make_run(str(tmp_path / "base"), "r1", pairs, [("target0000", ["a", "b"])])
+    sinks.export_dataset(spark, str(tmp_path / "base"), "r1", str(tmp_path / "out"), fmt, include_metadata=True)
+    reader = spark.read.schema("tp_id string, ntp_id string").option("header", True)
+    assert sorted(map(tuple, reader.format(fmt).load(f"{tmp_path}/out/pairs").collect())) == sorted(pairs)
+    assert as_set(spark.read.option("header", True).csv(f"{tmp_path}/out/assignments"), "target_id") == {("target0000",)}
+    assert folder_bytes(tmp_path / "out" / "pairs") < 8000 * 24 / 4
+
+
+def test_runs_leave_no_scratch_table_behind(spark, tmp_path):
+    docs = [(i, "en" if i % 3 else "fr", f"w{i} " + "some words again, and again " * 20) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    base = write_runs(spark, f"{tmp_path}/in")
+    new = set(os.listdir(shared_dir(spark).removeprefix("file://"))) - before
+    assert new == {base.rsplit("/", 1)[1]}
+    run = runs.load_run(spark, base, "run_b")
+    words = [w for i, lang, text in docs if lang == "en" for w in re.split("[^A-Za-z0-9]+", text) if w]
+    assert run["pairs"].count() == len(words) and run["assignments"].count() == 26
+    assert runs.load_runs_union(spark, base, ["run_a", "run_b"]).where("run_id = 'run_b'").count() == len(words)
+
+
 def plan_size(df):
     """Characters of the logical plan."""
     return len(df._jdf.queryExecution().analyzed().toString())

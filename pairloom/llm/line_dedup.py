@@ -59,7 +59,7 @@ def _line_ends() -> Column:
     return bound_to(words, lambda n: _ends(F.col("line"), n))
 
 
-def _bitmap(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
+def bitmap(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFrame:
     """(slot, bits): a bitmap of the hashes in a fixed number of 64-bit slots (at most 2 MB), whatever their number."""
     placed = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("place"))
     return placed.select(F.shiftrightunsigned("place", 6).alias("slot"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
@@ -68,7 +68,7 @@ def _bitmap(hashes: DataFrame, column: str, bits: int = BITMAP_BITS) -> DataFram
 def _likely(rows: DataFrame, column: str, hashes: DataFrame, name: str, bits: int = BITMAP_BITS) -> DataFrame:
     """The rows whose ``column`` is one of the hashes, and a few more: a filter where the rows are read."""
     place = F.shiftrightunsigned(column, 64 - bits)
-    found = rows.withColumn("slot", F.shiftrightunsigned(place, 6)).join(F.broadcast(cut_lineage(_bitmap(hashes, column, bits), name)), "slot")
+    found = rows.withColumn("slot", F.shiftrightunsigned(place, 6)).join(F.broadcast(cut_lineage(bitmap(hashes, column, bits), name)), "slot")
     return found.where(F.getbit("bits", place.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("slot", "bits")
 
 

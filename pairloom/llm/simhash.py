@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.common import sliced
 from pairloom.llm.components import connected_components
-from pairloom.session import cut_lineage
+from pairloom.llm.line_dedup import BITMAP_BITS, bitmap
+from pairloom.session import cut_lineage, write_table
 
 BITS = 64
 SEED = 42
@@ -285,13 +286,21 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, sha
     return keep_first(docs, prints.join(groups, "fp"))
 
 
-def keep_first(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The documents that come first in their group; ``labelled`` has doc_id, text_key and label of every document."""
+def keep_first(docs: DataFrame, labelled: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """The documents that come first in their group; ``labelled`` has doc_id, text_key and label of every document.
+
+    A bitmap of a fixed size marks the documents that go or come more than once, and a few more; only the marked ones are shuffled.
+    """
     first = labelled.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))).alias("kept"))
-    kept = first.select(F.col("kept.id").alias("id"), F.col("kept.key").alias("key"))
+    kept, _ = write_table(first.select(F.col("kept.id").alias("id"), F.col("kept.key").alias("key")), "kept")
+    per = labelled.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    doubtful = per.join(kept.withColumn("stays", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left").where("n > 1 or stays is null")
+    marks, _ = write_table(bitmap(doubtful.select(F.xxhash64("doc_id", "text_key").alias("mark")), "mark", bits), "marks")
     rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("own_key"))
-    joined = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
+    place = F.shiftrightunsigned(F.xxhash64("own", "own_key"), 64 - bits)
+    found = rows.withColumn("place", place).withColumn("slot", F.shiftrightunsigned("place", 6)).join(F.broadcast(marks), "slot", "left")
+    marked = F.coalesce(F.getbit("bits", F.col("place").bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    joined = found.where(marked).select("doc", "own", "own_key").join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
     once = Window.partitionBy("own", "own_key").orderBy(F.lit(0))
-    return joined.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("doc.*")
-
+    return found.where(~marked).select("doc.*").unionByName(joined.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("doc.*"))

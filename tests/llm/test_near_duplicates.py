@@ -1,12 +1,17 @@
+import os
 import random
 
 import corpus_pipeline
 import numpy as np
 import pandas as pd
+import pytest
 from llm.helpers import awkward, clashing, table
+from pyspark.sql import functions as F
 
 from pairloom.llm import near_duplicates as nd
-from pairloom.session import cut_lineage
+from pairloom.llm.near_duplicates import drop_similar
+from pairloom.llm.simhash import keep_first
+from pairloom.session import cut_lineage, shared_dir
 
 
 def sets_of(text):
@@ -95,3 +100,28 @@ def test_a_group_is_searched_by_a_tree_and_gives_no_pairs(monkeypatch):
     assert len(links) == 299 and len(trees) == 2
     late = frame.assign(pos=40)  # what is left after position 40 of 100 is too little
     assert not len(pd.concat(nd._stars(22, 0.8)(iter([late]))))
+
+
+@pytest.mark.parametrize("bits", [6, 24])
+def test_only_marked_documents_are_shuffled(spark, bits):
+    rows = [(i, f"text {i}") for i in range(300)] + [(5, "text 5"), (5, "text 5"), (None, "text 7"), (None, "alone"), (None, "alone"), (8, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place int")
+    # every fourth text is one group; equal texts are one group
+    labelled = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.when(F.col("doc_id") % 4 == 0, -1).otherwise(F.xxhash64("text")).alias("label"))
+    kept = keep_first(docs, labelled, bits)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    texts = {(i, t) for i, t in rows if i is None or i % 4} | {(0, "text 0")}
+    texts -= {(None, "text 7")}  # (7, "text 7") is first
+    assert got == sorted((i is None, i or 0, t or "") for i, t in texts)
+    assert kept.columns == docs.columns
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan  # documents that surely stay are read and handed on
+
+
+def test_the_stage_leaves_no_sets_behind(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i % 30) * 100 + k}" for k in range(60)) + (" x" if i >= 30 else "")) for i in range(60)], "doc_id long, text string")
+    assert {r["doc_id"] for r in drop_similar(docs).collect()} == set(range(30))
+    left = {x.rsplit("-", 5)[0] for x in set(os.listdir(folder)) - before}
+    assert not {x.split("-")[0] for x in left} & {"shingles", "shared", "sets", "stars"}
